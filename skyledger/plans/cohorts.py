@@ -8,8 +8,11 @@ from skyledger.operators import labels as L
 from skyledger.operators.schedule import prediction_times
 from skyledger.plans.clocks import _DEP
 from skyledger.plans.oracle_views import FLIGHTS, div
+from skyledger.session import cut_lineage
 from skyledger.sources.adapters import flights
 
+COHORT_COLUMNS = ("flight_id", "flight_date", "prediction_utc", "completed", "cancelled_source", "severe_120", "delay_minutes",
+                  "original_split", "split", "regime", "embargoed", "eligible_cancellation", "eligible_severe", "eligible_regression")
 SHOCK_YEAR = 1996
 SEED = 42
 
@@ -20,9 +23,11 @@ def labelled(spark, folder, *extra):
 
 
 def cohort_frame(spark, folder, *extra):
+    """The cohort as a materialised stage. Clock conversion is a long expression chain; a filter pushed through it
+    would repeat the chain in every predicate, so the cohort is written once and filtered afterwards."""
     timing = ("dep_hhmm", "origin_zone")
     timed = prediction_times(labelled(spark, folder, *timing, *[e for e in extra if e not in timing]))
-    return L.cohort(timed)
+    return cut_lineage(L.cohort(timed).select(*COHORT_COLUMNS, *extra))
 
 
 def labels(spark, folder):
