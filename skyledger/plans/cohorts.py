@@ -11,7 +11,7 @@ from skyledger.plans.oracle_views import FLIGHTS, div
 from skyledger.session import cut_lineage
 from skyledger.sources.adapters import flights
 
-COHORT_COLUMNS = ("flight_id", "flight_date", "prediction_utc", "completed", "cancelled_source", "severe_120", "delay_minutes",
+COHORT_COLUMNS = ("flight_id", "flight_date", "prediction_utc", "completed", "cancelled_source", "diverted_source", "severe_120", "delay_minutes",
                   "original_split", "split", "regime", "embargoed", "eligible_cancellation", "eligible_severe", "eligible_regression")
 SHOCK_YEAR = 1996
 SEED = 42
