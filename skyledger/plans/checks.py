@@ -8,6 +8,7 @@ from skyledger.functions.values import is_binary, normalise_code, strict_binary,
 from skyledger.operators import labels as L
 from skyledger.operators import profile as P
 from skyledger.operators import schema as X
+from skyledger.operators.attach import attach_row
 from skyledger.operators.schedule import prediction_times, standardise as standardise_columns
 from skyledger.plans.cohorts import _COHORT, _REGIME, cohort_frame, labelled
 from skyledger.plans.oracle_views import FLIGHTS, div
@@ -178,7 +179,7 @@ def csv_round_trip(spark, folder):
     counts = typed.groupBy("carrier_code").agg(
         F.count("*").alias("rows"), F.min("flight_date").cast("string").alias("first_day"), F.sum("cancelled").alias("cancelled_events"),
         F.sum("arr_delay").alias("delay_sum"))
-    return counts.crossJoin(text.agg(F.sum(F.col("dep_hhmm").try_cast("double").isNull().cast("long")).alias("blank_clocks")))  # one row
+    return attach_row(counts, text.agg(F.sum(F.col("dep_hhmm").try_cast("double").isNull().cast("long")).alias("blank_clocks")))
 
 
 def published_table(spark, folder):
