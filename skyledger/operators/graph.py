@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from skyledger.functions.values import normalise_code, ratio
 from skyledger.session import cut_lineage
 
-PAGERANK_BLOCK = 8
-
 
 def route_edges(df: DataFrame, window: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
     """Validated directed edges ``(window, src, dst, weight)``: blank ends, self-loops and rows without a window left out."""
@@ -145,8 +143,8 @@ def betweenness(edges: DataFrame, levels: list[DataFrame], window: str) -> DataF
 def pagerank(edges: DataFrame, window: str, alpha: float = 0.85, tolerance: float = 1e-6, max_iterations: int = 100) -> DataFrame:
     """Weighted PageRank by power iteration; a dangling node spreads its rank evenly.
 
-    A window stops changing once its total change is below N * tolerance. Several iterations form one job before the
-    result is checkpointed and convergence is read.
+    A window stops changing once its total change is below N * tolerance. Every iteration is checkpointed, so the plan
+    does not grow with the number of iterations.
     """
     total = edges.groupBy(window, "src").agg(F.sum("weight").alias("_t"))
     moves = cut_lineage(edges.join(total, [window, "src"]).select(window, F.col("src").alias("node"), "dst", (F.col("weight") / F.col("_t")).alias("p")))
@@ -156,10 +154,8 @@ def pagerank(edges: DataFrame, window: str, alpha: float = 0.85, tolerance: floa
     start = every.join(size, window).join(sources, [window, "node"], "left").select(
         window, "node", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"), (1.0 / F.col("n")).alias("rank"), F.lit(False).alias("done"))
     ranks = cut_lineage(start)
-    for first in range(0, max_iterations, PAGERANK_BLOCK):
-        for _ in range(min(PAGERANK_BLOCK, max_iterations - first)):
-            ranks = _pagerank_step(ranks, moves, window, alpha, tolerance)
-        ranks = cut_lineage(ranks)
+    for _ in range(max_iterations):
+        ranks = cut_lineage(_pagerank_step(ranks, moves, window, alpha, tolerance))
         if ranks.where(~F.col("done")).isEmpty():
             return ranks.select(window, "node", F.col("rank").alias("pagerank"))
     raise ValueError(f"PageRank did not converge in {max_iterations} iterations")

@@ -64,7 +64,7 @@ def closeness(spark, folder):
 
 
 def pagerank(spark, folder):
-    return _round(G.pagerank(cut_lineage(_daily(spark, folder)), "day"), "pagerank")
+    return _round(G.pagerank(cut_lineage(_yearly(spark, folder)), "year"), "pagerank", digits=8)
 
 
 def _tables(spark, folder):
@@ -173,11 +173,11 @@ _EXPOSURE = f"""{_ALL}, {_ROUTES}, gsum AS (SELECT utc_year, any_value(n) AS nod
 tt AS (SELECT utc_year, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in D.COUNTS)}, count(*) AS route_count FROM ro GROUP BY 1),
 ap AS (SELECT utc_year, airport, sum(scheduled) AS n FROM (SELECT utc_year, unnest([origin, destination]) AS airport, scheduled FROM ro) GROUP BY 1, 2),
 ar AS (SELECT *, row_number() OVER (PARTITION BY utc_year ORDER BY n DESC, airport) AS r FROM ap),
-at AS (SELECT utc_year, count(*) AS airport_count, CAST(sum(n) AS BIGINT) AS airport_appearances, CAST(sum(n) FILTER (r <= 10) AS BIGINT) AS top_10_appearances FROM ar GROUP BY 1),
+apt AS (SELECT utc_year, count(*) AS airport_count, CAST(sum(n) AS BIGINT) AS airport_appearances, CAST(sum(n) FILTER (r <= 10) AS BIGINT) AS top_10_appearances FROM ar GROUP BY 1),
 md AS (SELECT utc_year, count(*) AS metric_airports, avg(betweenness) AS mean_betweenness, max(betweenness) AS max_betweenness, avg(outgoing_hhi) AS mean_outgoing_hhi, max(pagerank) AS max_pagerank FROM mt GROUP BY 1),
 xp AS (SELECT *, top_10_appearances::DOUBLE / airport_appearances AS top_10_share, {div('cancelled_flights', 'scheduled')} AS cancellation_rate, {div('diverted_flights', 'scheduled')} AS diversion_rate, {div('severe', 'completed')} AS severe_rate,
   scheduled_flights = scheduled AND edge_count = route_count AND node_count = airport_count AND node_count = metric_airports AND airport_appearances = 2 * scheduled AS reconciles
-  FROM gsum JOIN tt USING (utc_year) JOIN at USING (utc_year) JOIN md USING (utc_year))"""
+  FROM gsum JOIN tt USING (utc_year) JOIN apt USING (utc_year) JOIN md USING (utc_year))"""
 _M = "in_degree, out_degree, weighted_in, weighted_out"
 
 
@@ -200,7 +200,7 @@ wc AS (SELECT day, count(*) AS nodes, count(DISTINCT label) AS weak_components F
     "all_pairs_bfs": f"{_W}{_ED}, {_nodes('day')}, {_levels('day')} SELECT day, s AS source, count(*) AS reached, CAST(max(d) AS INT) AS eccentricity, CAST(sum(d) AS BIGINT) AS distance_sum FROM ds GROUP BY 1, 2",
     "betweenness": f"{_W}{_ED}, {_nodes('day')}, {_levels('day')}, {_sigma('day')} SELECT day, node, round(betweenness, 9) AS betweenness FROM bw",
     "closeness": f"{_W}{_ED}, {_nodes('day')}, {_levels('day')}, {_close('day')} SELECT day, node, round(closeness, 9) AS closeness FROM cl",
-    "pagerank": f"{_W}{_ED}, {_nodes('day')}, {_rank('day')} SELECT day, node, round(pagerank, 9) AS pagerank FROM pg",
+    "pagerank": f"{_W}{_EY}, {_nodes('year')}, {_rank('year')} SELECT year, node, round(pagerank, 8) AS pagerank FROM pg",
     "yearly_metrics": f"{_W}{_ALL} SELECT utc_year, node, {_M}, {_r(['outgoing_hhi', 'incoming_hhi', 'betweenness', 'closeness', 'pagerank'])} FROM mt",
     "network_exposure": f"{_W}{_EXPOSURE} SELECT * REPLACE ({', '.join(f'round({c}, 8) AS {c}' for c in EXPOSED)}) FROM xp",
     "network_regimes": f"""{_W}{_EXPOSURE}, sp AS (SELECT utc_year, median(betweenness) AS median_betweenness, quantile_cont(betweenness, 0.9) AS p90_betweenness, median(pagerank) AS median_pagerank, median(outgoing_hhi) AS median_outgoing_hhi FROM mt GROUP BY 1),
