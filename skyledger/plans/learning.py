@@ -84,6 +84,20 @@ def delay_regressions(spark, folder):
     return M.regression_metrics(rows, ["model"], "delay_minutes", "score", 120.0)
 
 
+def _regression_scores(spark, folder, **penalty):
+    df = model_frame(spark, folder).where(F.col("delay_minutes").isNotNull())
+    model = T.fit_linear(df.where(F.col("split") == L.DEVELOPMENT), LINEAR, "delay_minutes", **penalty)
+    return T.score_linear(model, df.where(F.col("split") == L.VALIDATION), LINEAR).select("flight_id", "delay_minutes", "score")
+
+
+def ridge_scores(spark, folder):
+    return _regression_scores(spark, folder, penalty=10.0)
+
+
+def elastic_net_scores(spark, folder):
+    return _regression_scores(spark, folder, penalty=1.0, l1_share=0.5, per_row_loss=True)
+
+
 def gbt_scores(spark, folder):
     fit, stop, valid = _parts(model_frame(spark, folder))
     return T.score_trees(T.fit_trees(fit, stop, TREES, LABEL, SMALL), valid).select("flight_id", F.col(LABEL).alias("label"), "score")
@@ -208,7 +222,7 @@ def contribution_top(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    logistic_scores, delay_regressions, gbt_scores, refit_check, feature_ladder, settings_search, training_ablation, yearly_backtest, disjoint_holdout,
+    logistic_scores, delay_regressions, ridge_scores, elastic_net_scores, gbt_scores, refit_check, feature_ladder, settings_search, training_ablation, yearly_backtest, disjoint_holdout,
     feature_variants, group_ablation, linear_contributions, contribution_check, contribution_summary, contribution_effects, contribution_top)}
 
 _VALID = f"{_COHORT}, k AS (SELECT count(*) AS rows FROM cohort WHERE split = 'validation' AND completed)"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.operators import bins as B
+from skyledger.operators.schema import enforce
 from skyledger.plans.oracle_views import MOVEMENTS, div
 from skyledger.sources.adapters import movements
+from skyledger.sources.files import publish, read_parquet, scratch_folder
 
 VALIDATION_FROM, FINAL_FROM = 1705795200, 1706227200  # 2024-01-21 and 2024-01-26 UTC
 WINDOW = B.LOOKBACK * B.BIN_HOURS * 3600
@@ -96,9 +98,17 @@ def sequence_shuffle(spark, folder):
     return shuffled.select("movement_id", B.channel_sum("departures").alias("departures"))
 
 
+def saved_bins(spark, folder):
+    """The bin table published as a checked Parquet table, partition-free and long, and read back with a pushed filter."""
+    df = _moves(spark, folder)
+    path = scratch_folder(spark)
+    publish(B.airport_bins(df, B.grid_for(df)), path, lambda t: enforce(t.agg(F.count("*").alias("n")), {"not empty": F.col("n") > 0}))
+    return read_parquet(spark, path, ["airport", "bin", "departures"], F.col("arrivals") > 0)
+
+
 QUERIES = {f.__name__: f for f in (
     airport_bins, lookback_sequences, lookback_guard, lookback_availability, trailing_counts, lookback_density, bin_recount, channel_scaler,
-    scaled_sequences, sequence_perturb, sequence_shuffle)}
+    scaled_sequences, sequence_perturb, sequence_shuffle, saved_bins)}
 
 _PLACED = "(elapsed > 0 AND elapsed <= 1440)"
 _BINS = f"""{MOVEMENTS}, mv AS (SELECT *, dep_seconds - 7200 AS prediction_seconds, CASE WHEN dep_seconds < {VALIDATION_FROM} THEN 'development' WHEN dep_seconds < {FINAL_FROM} THEN 'validation' ELSE 'final_test' END AS split,
@@ -134,6 +144,7 @@ _CHANGES = [("baseline", "false"), ("no_sequence", "true"), ("keep_newest_1", "p
             ("mask_second_newest_quarter", "position BETWEEN 8 AND 11"), ("mask_newest_quarter", "position >= 12")]
 
 SQL = {
+    "saved_bins": f"WITH {_BINS} SELECT airport, bin, departures FROM bins WHERE arrivals > 0",
     "airport_bins": f"WITH {_BINS} SELECT * FROM bins",
     "lookback_sequences": f"WITH {_LOOK} SELECT movement_id, end_bin, valid_bins, position, departures, arrivals, distinct_destinations, real FROM sq",
     "lookback_guard": f"WITH {_BINS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS late_rows, CAST(min(least(greatest(end_bin - 8, 0), 16)) AS INT) AS least_valid_bins, CAST(max(least(greatest(end_bin - 8, 0), 16)) AS INT) AS most_valid_bins FROM x",

@@ -38,7 +38,7 @@ def flight_columns(days_between) -> dict[str, tuple[str, str]]:
     days = days_between("CAST(l_shipdate AS DATE)", "CAST(o_orderdate AS DATE)")
     tail = f"CAST((({days} % 997) + 997) % 997 AS BIGINT)"
     shock = "CASE WHEN year(o_orderdate) = 1996 THEN 40 ELSE 0 END"
-    raw_delay = f"(floor({tail} * {tail} * {tail} * {tail} / 4000000000.0E0) - 20 + l_suppkey % 18 - {shock})"
+    raw_delay = f"(floor({tail} * {tail} * {tail} * {tail} / 4000000000.0E0) - 60 + l_suppkey % 18 * 3 + floor({_M} / 72) - {shock})"
     delay = f"CASE WHEN {_CANCELLED} OR {_DIVERTED} OR l_partkey % 883 = 0 THEN NULL ELSE CAST({raw_delay} AS DOUBLE) END"
     flown_from = f"CAST({raw_delay} AS BIGINT)"
     reported = f"(({_M} + {flown_from} - {_SHIFT} + {_FLOWN} + {offsets} * 60 + 14400) % 1440)"
