@@ -3,7 +3,9 @@ depend on the session time zone; every expression is row-local and stays inside
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86400
@@ -61,21 +63,39 @@ def wall_seconds(utc: Column, zone: Column) -> Column:
     return F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds(utc), zone))
 
 
-def with_instant(df, local: str, zone: str, out: str):
+def zone_calendar(spark: SparkSession, zones: tuple[str, ...], first: str = "1987-01-01", last: str = "2030-12-31") -> DataFrame:
+    """``(cal_zone, cal_day, cal_offset)`` for the days on which a zone keeps one offset: zones times days rows.
+
+    A day qualifies when its midnight and the next one are 24 hours apart; days with a clock change are absent.
+    """
+    low, high = ((dt.date.fromisoformat(d) - dt.date(1970, 1, 1)).days for d in (first, last))
+    grid = spark.range(low, high + 1).select(F.explode(F.array(*[F.lit(z) for z in zones])).alias("cal_zone"), F.col("id").alias("cal_day"))
+    ends = grid.select("*", *[utc_seconds((F.col("cal_day") + k) * DAY, F.col("cal_zone")).alias(f"_m{k}") for k in (0, 1)])
+    return ends.where(F.col("_m1") - F.col("_m0") == DAY).select("cal_zone", "cal_day", (F.col("cal_day") * DAY - F.col("_m0")).alias("cal_offset"))
+
+
+def with_instant(df: DataFrame, local: str, zone: str, out: str, calendar: DataFrame) -> DataFrame:
     """Add ``{out}_state`` (``unique``, ``ambiguous``, ``nonexistent``) and ``{out}`` (UTC second, null unless unique).
 
-    Spark resolves an overlap to the earlier instant and moves a gap forward, so a round trip shows the gap and
-    one hour later the overlap. The steps are separate columns so the optimiser evaluates each conversion once.
+    Nearly all days keep one offset, which is looked up per (zone, day) in the small calendar (fixed size: supported
+    zones times calendar days, so it is broadcast). Other rows are converted one by one: Spark resolves an overlap to
+    the earlier instant and moves a gap forward, so a round trip shows the gap and one hour later the overlap. The
+    steps are separate columns so the optimiser evaluates each conversion once.
     """
     first, back, later = f"_{out}_first", f"_{out}_back", f"_{out}_later"
-    df = df.withColumn(first, utc_seconds(F.col(local), F.col(zone)))
-    df = df.withColumns({back: wall_seconds(F.col(first), F.col(zone)), later: wall_seconds(F.col(first) + 3600, F.col(zone))})
+    columns = df.columns
+    df = df.withColumn("_day", F.floor(F.col(local) / DAY))
+    df = df.join(F.broadcast(calendar), (F.col(zone) == F.col("cal_zone")) & (F.col("_day") == F.col("cal_day")), "left")
+    known = F.col("cal_offset").isNotNull()
+    df = df.withColumn(first, F.when(known, F.col(local) - F.col("cal_offset")).otherwise(utc_seconds(F.col(local), F.col(zone))))
+    df = df.withColumns({back: F.when(known, F.col(local)).otherwise(wall_seconds(F.col(first), F.col(zone))),
+                         later: F.when(~known, wall_seconds(F.col(first) + 3600, F.col(zone)))})
     state = (
         F.when(F.col(back) != F.col(local), "nonexistent").when(F.col(later) == F.col(local), "ambiguous")
         .when(F.col(back).isNotNull(), "unique")
     )
     df = df.withColumn(f"{out}_state", state)
-    return df.withColumn(out, F.when(F.col(f"{out}_state") == "unique", F.col(first))).drop(first, back, later)
+    return df.select(*columns, f"{out}_state", F.when(F.col(f"{out}_state") == "unique", F.col(first)).alias(out))
 
 
 def iso_utc(seconds: Column) -> Column:

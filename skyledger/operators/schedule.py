@@ -20,7 +20,7 @@ def local_to_utc(df: DataFrame, day: str, raw: str, zone: str, out: str) -> Data
     """Add ``{out}_local`` and ``{out}_utc`` (seconds) and ``{out}_input`` (why a row has no instant)."""
     df = df.withColumns({f"_{out}_min": C.clock_minutes(F.col(raw)), f"_{out}_zone": known_zone(F.col(zone))})
     df = df.withColumn(f"{out}_local", C.local_seconds(F.col(day), F.col(f"_{out}_min")))
-    df = C.with_instant(df, f"{out}_local", f"_{out}_zone", f"{out}_utc")
+    df = C.with_instant(df, f"{out}_local", f"_{out}_zone", f"{out}_utc", C.zone_calendar(df.sparkSession, ZONES))
     status = (
         F.when(F.col(f"_{out}_min").isNull(), C.clock_status(F.col(raw), F.col(f"_{out}_min")))
         .when(F.col(day).isNull(), "invalid_date")
@@ -62,8 +62,9 @@ def reconcile_arrivals(df: DataFrame, max_day_offset: int = 2, tolerance_minutes
     work = df.withColumns({"_min": C.clock_minutes(F.col("arr_hhmm")), "_zone": known_zone(F.col("destination_zone"))})
     base = C.local_seconds(F.col("flight_date"), F.col("_min"))
     work = work.withColumns({f"_local{k}": base + k * C.DAY for k in days})
+    calendar = C.zone_calendar(df.sparkSession, ZONES)
     for k in days:
-        work = C.with_instant(work, f"_local{k}", "_zone", f"_utc{k}")
+        work = C.with_instant(work, f"_local{k}", "_zone", f"_utc{k}", calendar)
     work = work.withColumns({f"_dur{k}": (F.col(f"_utc{k}") - F.col("departure_utc")) / 60.0 for k in days})
     candidates = F.array(*[
         F.when(F.col(f"_dur{k}") >= 0, F.struct(

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM does not compile methods above this many bytes; longer generated code is split per operator instead.
+COMPILED_METHOD_LIMIT = "8000"
+
+
 def build_session(app: str = "skyledger", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators expect. On a cluster the master comes from spark-submit."""
     builder = (
@@ -15,6 +19,7 @@ def build_session(app: str = "skyledger", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_LIMIT)
     )
     if master:
         builder = builder.master(master)
@@ -24,8 +29,9 @@ def build_session(app: str = "skyledger", master: str | None = None, shuffle_par
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on. Safe to call before every query."""
+    """Pin the time zone the results depend on and the code-size limit. Safe to call before every query."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_LIMIT)
     return spark
 
 

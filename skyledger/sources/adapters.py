@@ -84,17 +84,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a source has fewer splits than cores (one small file); larger sources are left alone."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores when a source has fewer splits than cores (one small file); larger sources are left alone.
+
+    Hashing on near-unique keys avoids the sort a round-robin repartition needs.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def flights(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The flight view, restricted to ``columns`` (all of them when none are named)."""
     names = columns or tuple(FLIGHT_COLUMNS)
     needed = "".join(FLIGHT_COLUMNS[n][0] for n in names)
-    df = spread(table(spark, folder, "lineitem"))
+    df = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber")
     if "o" in needed:
         orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
         df = df.join(orders, df.l_orderkey == orders.o_orderkey, "left")
@@ -118,7 +121,7 @@ MOVEMENT_COLUMNS = {
 
 def movements(spark: SparkSession, folder: str) -> DataFrame:
     """Departures with an exact UTC second, from the events table."""
-    df = spread(table(spark, folder, "events"))
+    df = spread(table(spark, folder, "events"), "event_id")
     picked = [F.expr(e).alias(n) for n, e in MOVEMENT_COLUMNS.items()]
     return df.select(*picked, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("dep_seconds"))
 
