@@ -6,8 +6,6 @@ table and its distributed running sums, so ties are handled exactly and no row-l
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,7 +270,3 @@ def rank_correlation(df: DataFrame, first: str, second: str) -> DataFrame:
     a, b = average_rank(df, [], first, "_ra"), average_rank(df, [], second, "_rb")
     joined = df.select(first, second).join(a, first).join(b, second)
     return joined.agg(F.count("*").alias("rows"), F.corr("_ra", "_rb").alias("spearman"), F.corr(first, second).alias("pearson"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

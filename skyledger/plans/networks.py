@@ -130,11 +130,6 @@ def _degree(w: str) -> str:
   FROM (SELECT {w}, src AS node, 0 AS i, 1 AS o, weight FROM e UNION ALL SELECT {w}, dst, 1, 0, weight FROM e) GROUP BY 1, 2)"""
 
 
-def _paths(w: str) -> str:
-    return f"""bf({w}, s, v, d) AS (SELECT {w}, node, node, 0 FROM nd UNION SELECT b.{w}, s, dst, d + 1 FROM bf b JOIN e ON e.{w} = b.{w} AND e.src = v WHERE d < 24 AND dst <> s),
-ds AS (SELECT {w}, s, v, min(d) AS d FROM bf GROUP BY 1, 2, 3)"""
-
-
 def _levels(w: str) -> str:
     """Breadth-first search that keeps only first visits, one level per recursion step."""
     return f"""bf({w}, s, v, d, seen) AS (SELECT {w}, node, node, 0, [node] FROM nd UNION ALL
