@@ -336,3 +336,12 @@ def test_failed_publish_keeps_the_old_table(spark, tmp_path):
 def test_settings_draws_are_distinct():
     found = T.sample_settings(T.TreeSettings(), {"depth": [2, 3], "step": [0.1, 0.2]}, 3, 1)
     assert len(set(found)) == 4 and found[0] == T.TreeSettings()
+
+
+def test_changed_tables_are_named(spark):
+    from skyledger.sources.fingerprint import changed_tables, fingerprint
+
+    first, second = spark.range(10), spark.range(20)
+    stored = fingerprint(first, "a").unionByName(fingerprint(second, "b"))
+    current = fingerprint(first.repartition(3), "a").unionByName(fingerprint(spark.range(21), "b"))
+    assert rows_of(changed_tables(current, stored), "table_name") == [("b",)]
