@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from skyledger.llm import mixing, urls
+from skyledger.llm import language_masks, line_rules, mixing, urls
 
 QUERIES = {
+    "op4_line_rules": line_rules.query,
     "op5_source_mix": mixing.query,
+    "op6_language_masks": language_masks.query,
     "op10_url_filter": urls.query,
 }
 SQL = {
+    "op4_line_rules": line_rules.SQL,
     "op5_source_mix": mixing.SQL,
     "op10_url_filter": urls.SQL,
 }
