@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skyledger.llm import language_masks, line_rules, mixing, urls
+from skyledger.llm import language_masks, line_rules, mixing, toxicity, urls
 
 QUERIES = {
     "op4_line_rules": line_rules.query,
     "op5_source_mix": mixing.query,
     "op6_language_masks": language_masks.query,
+    "op9_toxicity": toxicity.query,
     "op10_url_filter": urls.query,
 }
 SQL = {
