@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyledger.llm import language_masks, line_rules, mixing, toxicity, urls
+from skyledger.llm import archives, language_masks, line_rules, mixing, toxicity, urls
 
 QUERIES = {
+    "op1_arc_to_warc": archives.query,
     "op4_line_rules": line_rules.query,
     "op5_source_mix": mixing.query,
     "op6_language_masks": language_masks.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_url_filter": urls.query,
 }
 SQL = {
+    "op1_arc_to_warc": archives.SQL,
     "op4_line_rules": line_rules.SQL,
     "op5_source_mix": mixing.SQL,
     "op10_url_filter": urls.SQL,
