@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,22 +69,36 @@ def from_payload(payload) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch with a column ``text`` into compact ones of at most ``most`` bytes of text, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_pylist()
+    first, held = 0, 0
+    for row, size in enumerate(sizes):
+        if row > first and held + size > most:
+            yield _compact(batch, first, row)
+            first, held = row, 0
+        held += size
+    if first < len(sizes):
+        yield _compact(batch, first, len(sizes))
+
+
+def _compact(batch: pa.RecordBatch, first: int, last: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(first, last - first)]) for c in batch.columns], schema=batch.schema)
+
+
+def numbered_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The slices of all batches of a task, each with a number that no other task gives."""
     partition, serial = TaskContext.get().partitionId(), 0
     for batch in batches:
-        sizes = batch.column("text").cast(pa.binary()).fill_null(b"")
-        ends = pa.compute.cumulative_sum(pa.compute.binary_length(sizes).cast(pa.int64())).to_pylist()
-        first = 0
-        for row in range(batch.num_rows):
-            if row + 1 == batch.num_rows or ends[row + 1] - (ends[first - 1] if first else 0) > BLOCK_BYTES:
-                part = batch.slice(first, row + 1 - first)
-                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema)
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([partition << 32 | serial], pa.int64()),
-                    "n_rows": pa.array([part.num_rows], pa.int32()),
-                    "payload": pa.array([to_payload(part)], pa.binary()),
-                })
-                first, serial = row + 1, serial + 1
+        for part in text_slices(batch):
+            yield partition << 32 | serial, part
+            serial += 1
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, part in numbered_slices(batches):
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([block], pa.int64()), "n_rows": pa.array([part.num_rows], pa.int32()), "payload": pa.array([to_payload(part)], pa.binary())})
 
 
 def pack(docs: DataFrame, name: str, *columns) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skyledger.llm import archives, language_masks, line_rules, mixing, toxicity, urls
+from skyledger.llm import archives, language_masks, line_rules, mixing, phrase_index, toxicity, urls
 
 QUERIES = {
     "op1_arc_to_warc": archives.query,
+    "op3_phrase_index": phrase_index.query,
     "op4_line_rules": line_rules.query,
     "op5_source_mix": mixing.query,
     "op6_language_masks": language_masks.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op1_arc_to_warc": archives.SQL,
+    "op3_phrase_index": phrase_index.SQL,
     "op4_line_rules": line_rules.SQL,
     "op5_source_mix": mixing.SQL,
     "op10_url_filter": urls.SQL,
