@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skyledger.llm import archives, language_masks, line_rules, mixing, phrase_index, toxicity, urls
+from skyledger.llm import archives, language_masks, line_rules, markov, mixing, phrase_index, toxicity, urls
 
 QUERIES = {
     "op1_arc_to_warc": archives.query,
+    "op2_markov_model": markov.query,
     "op3_phrase_index": phrase_index.query,
     "op4_line_rules": line_rules.query,
     "op5_source_mix": mixing.query,
