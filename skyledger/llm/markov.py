@@ -1,8 +1,8 @@
 """A hidden Markov language model trained by Baum-Welch counts that Spark sums over partitions.
 
 States emit classes of words, ``CLASSES`` hash classes and one for the end of a text, and a class emits a word by its
-share of the class's mass: count + 0.5, and 0.5 / ``CLASSES`` for all unknown words of the class together. The model so
-gives every text, also one with unknown words, a true probability. Its parameters are bounded by ``STATES`` and
+share of the class's mass: count + 0.5, and for all unknown words of the class together 0.5 and as much as the class
+has words seen once. The model so gives every text a true probability; an unknown word is known by its class alone. Its parameters are bounded by ``STATES`` and
 ``CLASSES``; the word counts grow with the corpus and stay a table.
 
 A sequence is cut into segments of ``SEGMENT`` tokens. The product of a segment's step matrices is found for all
@@ -274,13 +274,19 @@ def _likelihood(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number in range(batch.num_rows):
-            row = batch.slice(number, 1).to_pylist()[0]
-            value, first = np.frombuffer(row["rare"], np.int64), np.array(row["rare_first"])
-            of = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(value), row["block"])), "row": pa.array(of), "rare_word": pa.array(value)})
+def _rare(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each word that is not frequent, with what it adds to a text's score if it is unknown."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = shared.value
+        for batch in batches:
+            for number in range(batch.num_rows):
+                row = batch.slice(number, 1).to_pylist()[0]
+                value, first = np.frombuffer(row["rare"], np.uint64), np.array(row["rare_first"])
+                of = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array(np.full(len(value), row["block"])), "row": pa.array(of), "rare_word": pa.array(value.view(np.int64)), "if_unknown": pa.array(unknown[_classes(value).astype(int)])})
+
+    return run
 
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
@@ -292,9 +298,11 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     summary = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = summary[0] + (n_texts > 0), summary[1] + n_texts
     # ``word`` holds the unsigned hash's bits; the class is bits 40 to 52 of them.
-    by_class = counts.groupBy(F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum(F.col("n") + 0.5).alias("mass")).toArrow()
-    mass = np.full(CLASSES + 1, 0.5 / CLASSES)
-    mass[by_class["class"].to_numpy()] += by_class["mass"].to_numpy()
+    by_class = counts.groupBy(F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum(F.col("n") + 0.5).alias("mass"), F.count_if(F.col("n") == 1).alias("once")).toArrow()
+    unseen, mass = np.full(CLASSES, 0.5), np.zeros(CLASSES + 1)
+    unseen[by_class["class"].to_numpy()] += by_class["once"].to_numpy()
+    mass[by_class["class"].to_numpy()] = by_class["mass"].to_numpy()
+    mass[:CLASSES] += unseen
     mass[CLASSES] = n_texts + 0.5
     top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()  # at most TOP_WORDS rows
     words = top["word"].to_numpy().astype(np.int64).view(np.uint64)
@@ -306,17 +314,17 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     in_class[CLASSES] = 0.0
     likely = tokens.select("block", "ids", "held", "n_tokens", "known", "logs", "classes").mapInArrow(
         _likelihood(spark.sparkContext.broadcast((model, in_class))), "block long, row int, doc_id long, held_out boolean, n_tokens long, known long, logs double, classed double")
-    rare = tokens.select("block", "rare_first", "rare").mapInArrow(_rare, "block long, row int, rare_word long")
-    joined = rare.join(counts, F.col("rare_word") == F.col("word"))
-    rare_sums = joined.groupBy(F.col("block").alias("b"), F.col("row").alias("r")).agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("rare_logs"))
+    rare = tokens.select("block", "rare_first", "rare").mapInArrow(_rare(spark.sparkContext.broadcast(np.log10(unseen))), "block long, row int, rare_word long, if_unknown double")
+    joined = rare.join(counts, F.col("rare_word") == F.col("word"), "left")
+    rare_sums = joined.groupBy(F.col("block").alias("b"), F.col("row").alias("r")).agg(
+        F.count("n").alias("rare_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("rare_logs"), F.sum(F.when(F.col("n").isNull(), F.col("if_unknown"))).alias("unknown_logs"))
     every = likely.join(rare_sums, (F.col("block") == F.col("b")) & (F.col("row") == F.col("r")), "left")
     known = F.col("known") + F.coalesce("rare_known", F.lit(0))
     word_logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     unknown = F.col("n_tokens") - known
     end_log = float(np.log10(n_texts + 0.5))
     base = word_logs + unknown * F.log10(F.lit(0.5)) + (F.lit(end_log) if n_texts else F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + 0.5 * (distinct + 1))))
-    unknown_words = unknown - (0 if n_texts else 1)
-    score = F.col("classed") + word_logs + unknown_words * F.log10(F.lit(0.5 / CLASSES))
+    score = F.col("classed") + word_logs + F.coalesce("unknown_logs", F.lit(0.0))
     return every.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
