@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import numbered_slices, stage, table
+from skyledger.llm.common import from_payload, numbered_slices, pack, stage, table
 from skyledger.llm.words import NOT_ALNUM, words_of
 
 WINDOW, GAP, BATCH_WORDS = 10, 128, 1 << 20
@@ -47,31 +47,40 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return stage(benchmark.select(item.alias("item"), "text").mapInArrow(run, "item string, terms array<long>"), "items")
 
 
+def index_row(block: int, ids: pa.Array, texts: pa.Array, known: np.ndarray | None) -> pa.RecordBatch:
+    """The lists of one block: only of the terms in ``known``, if given."""
+    words = words_of(texts, NOT_ALNUM, lower=True)
+    value, place = words.hashes(), np.arange(len(words.start)) + words.text_of() * GAP
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
+        keep = known[at] == value if len(known) else np.zeros(len(value), bool)
+        value, place = at[keep].astype(np.uint32), place[keep]
+    order = np.argsort(value, kind="stable")
+    terms, count = np.unique(value[order], return_counts=True)
+    steps = np.diff(place[order].astype(np.int64), prepend=0).astype(np.int32)
+    return pa.RecordBatch.from_pydict({
+        "block": pa.array([block], pa.int64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "n_words": pa.array([words.count], pa.list_(pa.int64())),
+        "terms": pa.array([(terms if known is None else known[terms]).tobytes()], pa.binary()), "counts": pa.array([count.astype(np.uint32).tobytes()], pa.binary()), "places": pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary())})
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The staged index of ``docs``; ``vocabulary``: sorted hashes of the terms to keep."""
+    """The staged index of ``docs``, or of packed blocks of them; ``vocabulary``: sorted hashes of the terms to keep."""
     shared = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if shared is None else shared.value
         for block, part in numbered_slices(batches):
-            words = words_of(part.column("text"), NOT_ALNUM, lower=True)
-            value, place = words.hashes(), np.arange(len(words.start)) + words.text_of() * GAP
-            if known is not None:
-                at = np.minimum(np.searchsorted(known, value), max(len(known) - 1, 0))
-                keep = known[at] == value if len(known) else np.zeros(len(value), bool)
-                at, place = at[keep].astype(np.uint32), place[keep]
-                order = np.argsort(at, kind="stable")
-                numbers, count = np.unique(at[order], return_counts=True)
-                terms = known[numbers]
-            else:
-                order = np.argsort(value, kind="stable")
-                terms, count = np.unique(value[order], return_counts=True)
-            ordered = place[order].astype(np.int64)
-            steps = np.diff(ordered, prepend=0).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array([block], pa.int64()), "ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "n_words": pa.array([words.count], pa.list_(pa.int64())),
-                "terms": pa.array([terms.tobytes()], pa.binary()), "counts": pa.array([count.astype(np.uint32).tobytes()], pa.binary()), "places": pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary())})
+            yield index_row(block, part.column("doc_id"), part.column("text"), known)
+
+    def run_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if shared is None else shared.value
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                rows = from_payload(payload.as_buffer())
+                yield index_row(block, rows["doc_id"], rows["text"], known)
 
+    if "payload" in docs.columns and "text" not in docs.columns:
+        return stage(docs.select("block", "payload").mapInArrow(run_packed, INDEX_SCHEMA), "positions")
     return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX_SCHEMA), "positions")
 
 
@@ -190,7 +199,7 @@ def _search(shared, within: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, within: int = 0) -> DataFrame:
-    """A row for each document: merged ``spans`` of words hit (places in the document) and the ``items`` that hit.
+    """A row for each document of ``docs``, plain or packed: merged ``spans`` of words hit (places in the document) and the ``items`` that hit.
 
     ``within`` asks for proximity instead of phrases: all words of a window, in any order, in a run of so many words.
     """
@@ -230,6 +239,22 @@ def n_hit():
     return F.aggregate(F.array_sort("spans"), start, step, lambda state: state["n"])
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs."""
+    blocks = pack(docs, "clean", *docs.columns)
+    hit = matched(blocks, benchmark).where(F.size("spans") > 0).groupBy(F.col("block").alias("of")).agg(F.collect_list("row").alias("hit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, gone in zip(batch.column("payload"), batch.column("hit").to_pylist()):
+                rows = from_payload(payload.as_buffer())
+                keep = np.ones(rows.num_rows, bool)
+                keep[gone or []] = False
+                yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return blocks.join(hit, F.col("block") == F.col("of"), "left").select("payload", "hit").mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     found = matched(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(

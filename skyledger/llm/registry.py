@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import archives, language_masks, line_rules, markov, mixing, phrase_index, repeats, toxicity, urls
+from skyledger.llm import archives, language_masks, line_rules, markov, mixing, phrase_index, prefix_tree, repeats, toxicity, urls
 
 QUERIES = {
     "op1_arc_to_warc": archives.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_rules": line_rules.query,
     "op5_source_mix": mixing.query,
     "op6_language_masks": language_masks.query,
+    "op7_prefix_tree": prefix_tree.query,
     "op8_repeated_spans": repeats.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filter": urls.query,
