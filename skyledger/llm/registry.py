@@ -21,6 +21,7 @@ SQL = {
     "op3_phrase_index": phrase_index.SQL,
     "op4_line_rules": line_rules.SQL,
     "op5_source_mix": mixing.SQL,
+    "op7_prefix_tree": prefix_tree.SQL,
     "op8_repeated_spans": repeats.SQL,
     "op10_url_filter": urls.SQL,
 }
