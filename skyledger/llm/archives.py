@@ -43,6 +43,8 @@ KEY_FIELD, REFERS_FIELD = "X-Page-Id", "X-Refers-To-Page-Id"
 #: Date of all records that the query writes; the pages carry none.
 CRAWL_DATE = "20200101000000"
 SMALL = 1 << 24
+#: Bytes of an archive that are unpacked at once.
+READ = 1 << 14
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 
 ARC_SCHEMA = "archive string, offset long, version int, url string, ip string, date string, mime string, damaged boolean, block binary"
@@ -52,7 +54,7 @@ WARC_SCHEMA = "archive string, offset long, type string, id string, url string,
 
 def member(record: bytes) -> bytes:
     """A gzip member for the text writer: without the last zero, which the writer adds."""
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     data = packer.compress(record) + packer.flush()
     return (data if len(record) < SMALL else data + EMPTY_MEMBER)[:-1]
 
@@ -61,11 +63,13 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
     """Place and content of each gzip member."""
     at, view = 0, memoryview(data)
     while at < len(data):
-        opener = zlib.decompressobj(31)
-        content = opener.decompress(view[at:]) + opener.flush()
-        if content:
-            yield at, content
-        at = len(data) - len(opener.unused_data)
+        opener, parts, upto = zlib.decompressobj(31), [], at
+        while not opener.eof and upto < len(data):
+            parts.append(opener.decompress(view[upto:upto + READ]))
+            upto += READ
+        if any(parts):
+            yield at, b"".join(parts)
+        at = min(upto, len(data)) - len(opener.unused_data)
 
 
 def write_members(records: DataFrame, path: str) -> None:
@@ -186,7 +190,7 @@ def _arc_rows(full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     key = field_of(head, KEY_FIELD)
                     rows.append({
                         "archive": _name(path), "offset": offset, "url": fields["URL"], "ip": fields["IP-address"], "date": fields["Archive-date"], "mime": fields["Content-type"],
-                        "key": int(key) if key else None, "digest": sha1_base32(payload), "size": len(payload), **({"block": zlib.compress(block, 1)} if full else {})})
+                        "key": int(key) if key else None, "digest": sha1_base32(payload), "size": len(payload), **({"block": zlib.compress(block, 6)} if full else {})})
                     if len(rows) == 500:
                         yield _batch(rows, full)
                         rows = []
