@@ -63,13 +63,26 @@ def wall_seconds(utc: Column, zone: Column) -> Column:
     return F.unix_timestamp(F.from_utc_timestamp(F.timestamp_seconds(utc), zone))
 
 
+def zones_in(df: DataFrame, *columns: str) -> tuple[str, ...]:
+    """The zone names in the columns that the JVM knows. There are some hundreds of names in all, so the list is bounded."""
+    names = F.explode(F.array(*[F.trim(F.col(c)) for c in columns]))
+    found = {r[0] for r in df.select(names.alias("zone")).where(F.col("zone").isin(*known_zones(df.sparkSession))).distinct().collect()}
+    return tuple(sorted(found))
+
+
+def known_zones(spark: SparkSession) -> list[str]:
+    """All region names of the JVM's time-zone data."""
+    return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
+
+
 def zone_calendar(spark: SparkSession, zones: tuple[str, ...], first: str = "1987-01-01", last: str = "2030-12-31") -> DataFrame:
     """``(cal_zone, cal_day, cal_offset)`` for the days on which a zone keeps one offset: zones times days rows.
 
     A day qualifies when its midnight and the next one are 24 hours apart; days with a clock change are absent.
     """
     low, high = ((dt.date.fromisoformat(d) - dt.date(1970, 1, 1)).days for d in (first, last))
-    grid = spark.range(low, high + 1).select(F.explode(F.array(*[F.lit(z) for z in zones])).alias("cal_zone"), F.col("id").alias("cal_day"))
+    names = F.array(*[F.lit(z) for z in zones]) if zones else F.array().cast("array<string>")
+    grid = spark.range(low, high + 1).select(F.explode(names).alias("cal_zone"), F.col("id").alias("cal_day"))
     ends = grid.select("*", *[utc_seconds((F.col("cal_day") + k) * DAY, F.col("cal_zone")).alias(f"_m{k}") for k in (0, 1)])
     return ends.where(F.col("_m1") - F.col("_m0") == DAY).select("cal_zone", "cal_day", (F.col("cal_day") * DAY - F.col("_m0")).alias("cal_offset"))
 
@@ -77,25 +90,27 @@ def zone_calendar(spark: SparkSession, zones: tuple[str, ...], first: str = "198
 def with_instant(df: DataFrame, local: str, zone: str, out: str, calendar: DataFrame) -> DataFrame:
     """Add ``{out}_state`` (``unique``, ``ambiguous``, ``nonexistent``) and ``{out}`` (UTC second, null unless unique).
 
-    Nearly all days keep one offset, which is looked up per (zone, day) in the small calendar (fixed size: supported
-    zones times calendar days, so it is broadcast). Other rows are converted one by one: Spark resolves an overlap to
-    the earlier instant and moves a gap forward, so a round trip shows the gap and one hour later the overlap. The
-    steps are separate columns so the optimiser evaluates each conversion once.
+    Nearly all days keep one offset, which is looked up per (zone, day) in the calendar of the zones at hand (at most the
+    known zones times calendar days). Other rows are converted one by one with the offsets of the day before and the day
+    after: an instant is right if its wall clock shows the local time again. Both right: the time occurs twice; neither:
+    never. Clock changes of any size are covered. The steps are separate columns so that each is evaluated once.
     """
-    first, back, later = f"_{out}_first", f"_{out}_back", f"_{out}_later"
+    first, early, late, back, later = (f"_{out}_{x}" for x in ("first", "early", "late", "back", "later"))
     columns = df.columns
     df = df.withColumn("_day", F.floor(F.col(local) / DAY))
     df = df.join(F.broadcast(calendar), (F.col(zone) == F.col("cal_zone")) & (F.col("_day") == F.col("cal_day")), "left")
     known = F.col("cal_offset").isNotNull()
-    df = df.withColumn(first, F.when(known, F.col(local) - F.col("cal_offset")).otherwise(utc_seconds(F.col(local), F.col(zone))))
-    df = df.withColumns({back: F.when(known, F.col(local)).otherwise(wall_seconds(F.col(first), F.col(zone))),
-                         later: F.when(~known, wall_seconds(F.col(first) + 3600, F.col(zone)))})
+    df = df.withColumn(first, F.when(~known, utc_seconds(F.col(local), F.col(zone))))
+    for name, shift in ((early, -DAY), (late, DAY)):
+        df = df.withColumn(name, F.col(local) - (wall_seconds(F.col(first) + shift, F.col(zone)) - (F.col(first) + shift)))
+    df = df.withColumns({back: wall_seconds(F.col(early), F.col(zone)) == F.col(local), later: wall_seconds(F.col(late), F.col(zone)) == F.col(local)})
     state = (
-        F.when(F.col(back) != F.col(local), "nonexistent").when(F.col(later) == F.col(local), "ambiguous")
-        .when(F.col(back).isNotNull(), "unique")
+        F.when(known, "unique").when(F.col(back) & F.col(later) & (F.col(early) != F.col(late)), "ambiguous")
+        .when(F.col(back) | F.col(later), "unique").when(F.col(first).isNotNull(), "nonexistent")
     )
+    instant = F.when(known, F.col(local) - F.col("cal_offset")).when(F.col(back), F.col(early)).otherwise(F.col(late))
     df = df.withColumn(f"{out}_state", state)
-    return df.select(*columns, f"{out}_state", F.when(F.col(f"{out}_state") == "unique", F.col(first)).alias(out))
+    return df.select(*columns, f"{out}_state", F.when(F.col(f"{out}_state") == "unique", instant).alias(out))
 
 
 def iso_utc(seconds: Column) -> Column:

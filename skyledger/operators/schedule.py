@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import clocks as C
 from skyledger.functions.values import normalise_code, tolerant_number
-from skyledger.sources.adapters import ZONES
 
 
-def known_zone(zone: Column, zones=ZONES) -> Column:
-    """The zone when it is in the supported list, else null. An unknown zone name would stop the job."""
+def known_zone(zone: Column, zones: tuple[str, ...]) -> Column:
+    """The zone when it is one of ``zones``, else null. A name that the JVM does not know would stop the job."""
     text = F.trim(zone)
     return F.when(text.isin(*zones), text)
 
 
-def local_to_utc(df: DataFrame, day: str, raw: str, zone: str, out: str) -> DataFrame:
-    """Add ``{out}_local`` and ``{out}_utc`` (seconds) and ``{out}_input`` (why a row has no instant)."""
-    df = df.withColumns({f"_{out}_min": C.clock_minutes(F.col(raw)), f"_{out}_zone": known_zone(F.col(zone))})
+def local_to_utc(df: DataFrame, day: str, raw: str, zone: str, out: str, zones: tuple[str, ...] | None = None) -> DataFrame:
+    """Add ``{out}_local`` and ``{out}_utc`` (seconds) and ``{out}_input`` (why a row has no instant).
+
+    ``zones`` are the zone names to convert; left out, they are read from the column: every IANA zone is accepted.
+    """
+    zones = C.zones_in(df, zone) if zones is None else zones
+    df = df.withColumns({f"_{out}_min": C.clock_minutes(F.col(raw)), f"_{out}_zone": known_zone(F.col(zone), zones)})
     df = df.withColumn(f"{out}_local", C.local_seconds(F.col(day), F.col(f"_{out}_min")))
-    df = C.with_instant(df, f"{out}_local", f"_{out}_zone", f"{out}_utc", C.zone_calendar(df.sparkSession, ZONES))
+    df = C.with_instant(df, f"{out}_local", f"_{out}_zone", f"{out}_utc", C.zone_calendar(df.sparkSession, zones))
     status = (
         F.when(F.col(f"_{out}_min").isNull(), C.clock_status(F.col(raw), F.col(f"_{out}_min")))
         .when(F.col(day).isNull(), "invalid_date")
@@ -32,9 +35,9 @@ def local_to_utc(df: DataFrame, day: str, raw: str, zone: str, out: str) -> Data
     return df.withColumn(f"{out}_input", status).drop(f"_{out}_min", f"_{out}_zone", f"{out}_utc_state")
 
 
-def reconcile_departures(df: DataFrame, lead_seconds: int = 7200) -> DataFrame:
+def reconcile_departures(df: DataFrame, lead_seconds: int = 7200, zones: tuple[str, ...] | None = None) -> DataFrame:
     """Departure status, UTC second, day offset and prediction second (departure minus the lead)."""
-    work = local_to_utc(df, "flight_date", "dep_hhmm", "origin_zone", "departure")
+    work = local_to_utc(df, "flight_date", "dep_hhmm", "origin_zone", "departure", zones)
     raw = F.col("departure_input")
     status = (
         F.when(raw == "valid", "reconciled")
@@ -50,7 +53,7 @@ def reconcile_departures(df: DataFrame, lead_seconds: int = 7200) -> DataFrame:
     )
 
 
-def reconcile_arrivals(df: DataFrame, max_day_offset: int = 2, tolerance_minutes: float = 30.0) -> DataFrame:
+def reconcile_arrivals(df: DataFrame, max_day_offset: int = 2, tolerance_minutes: float = 30.0, zones: tuple[str, ...] | None = None) -> DataFrame:
     """Choose the arrival day whose UTC duration is closest to the scheduled one.
 
     Needs ``departure_utc``, ``flight_date``, ``arr_hhmm``, ``destination_zone`` and ``sched_elapsed``. The candidate
@@ -59,10 +62,11 @@ def reconcile_arrivals(df: DataFrame, max_day_offset: int = 2, tolerance_minutes
     if max_day_offset < 0 or tolerance_minutes < 0:
         raise ValueError("day offset and tolerance must not be negative")
     days = range(max_day_offset + 1)
-    work = df.withColumns({"_min": C.clock_minutes(F.col("arr_hhmm")), "_zone": known_zone(F.col("destination_zone"))})
+    zones = C.zones_in(df, "destination_zone") if zones is None else zones
+    work = df.withColumns({"_min": C.clock_minutes(F.col("arr_hhmm")), "_zone": known_zone(F.col("destination_zone"), zones)})
     base = C.local_seconds(F.col("flight_date"), F.col("_min"))
     work = work.withColumns({f"_local{k}": base + k * C.DAY for k in days})
-    calendar = C.zone_calendar(df.sparkSession, ZONES)
+    calendar = C.zone_calendar(df.sparkSession, zones)
     for k in days:
         work = C.with_instant(work, f"_local{k}", "_zone", f"_utc{k}", calendar)
     work = work.withColumns({f"_dur{k}": (F.col(f"_utc{k}") - F.col("departure_utc")) / 60.0 for k in days})
@@ -98,13 +102,14 @@ def reconcile_arrivals(df: DataFrame, max_day_offset: int = 2, tolerance_minutes
 
 
 def normalise_schedule(df: DataFrame, tolerance_minutes: float = 60.0) -> DataFrame:
-    """Departure and arrival reconciliation in one row-local pass."""
-    return reconcile_arrivals(reconcile_departures(df), tolerance_minutes=tolerance_minutes)
+    """Departure and arrival reconciliation in one row-local pass, over all zones of either column."""
+    zones = C.zones_in(df, "origin_zone", "destination_zone")
+    return reconcile_arrivals(reconcile_departures(df, zones=zones), tolerance_minutes=tolerance_minutes, zones=zones)
 
 
-def prediction_times(df: DataFrame, lead_seconds: int = 7200) -> DataFrame:
+def prediction_times(df: DataFrame, lead_seconds: int = 7200, zones: tuple[str, ...] | None = None) -> DataFrame:
     """Prediction instants with explicit daylight-saving flags and conversion status."""
-    work = local_to_utc(df, "flight_date", "dep_hhmm", "origin_zone", "departure")
+    work = local_to_utc(df, "flight_date", "dep_hhmm", "origin_zone", "departure", zones)
     raw = F.col("departure_input")
     status = (
         F.when(F.col("flight_date").isNull(), "invalid_flight_date")
@@ -152,10 +157,10 @@ def outcome_times(df: DataFrame, locked_from: str) -> DataFrame:
     return work.select(*df.columns, "outcome_status", F.when(usable, candidate).alias("candidate_arrival_utc"))
 
 
-def arrival_clock_check(df: DataFrame, tolerance_minutes: int = 1) -> DataFrame:
+def arrival_clock_check(df: DataFrame, tolerance_minutes: int = 1, zones: tuple[str, ...] | None = None) -> DataFrame:
     """Compare the candidate arrival, shown on the destination clock, with the reported clock."""
     work = df.withColumns({
-        "_zone": known_zone(F.col("destination_zone")),
+        "_zone": known_zone(F.col("destination_zone"), C.zones_in(df, "destination_zone") if zones is None else zones),
         "_reported": C.clock_minutes(F.col("reported_arr_hhmm")) % 1440,
     })
     local = C.wall_seconds(F.col("candidate_arrival_utc"), F.col("_zone"))

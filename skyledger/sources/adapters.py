@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix", "America/Anchorage")
-STANDARD_OFFSET_HOURS = (-5, -6, -7, -8, -7, -9)
+ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix", "America/Anchorage",
+         "Pacific/Honolulu", "America/Puerto_Rico", "America/Detroit", "America/Boise", "Australia/Sydney")
+STANDARD_OFFSET_HOURS = (-5, -6, -7, -8, -7, -9, -10, -4, -5, -7, 10)
 
 _M = "((l_partkey * 37 + l_linenumber * 53) % 1441)"
 _SCHED = "(45 + (l_suppkey * 13 + l_partkey) % 300)"

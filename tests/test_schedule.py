@@ -64,3 +64,26 @@ def test_outcome_and_clock(spark):
         "*", F.lit("usable_candidate").alias("outcome_status"), F.lit(utc(2023, 1, 5, 19, 0)).alias("candidate_arrival_utc"), F.lit(NY).alias("destination_zone"))
     got = {r["id"]: r["clock_status"] for r in S.arrival_clock_check(df).collect()}
     assert got == {1: "validated_event_time", 2: "validated_event_time", 3: "arrival_clock_mismatch", 4: "invalid_reported_arrival_clock"}
+
+
+ZONE_CASES = [
+    # zone, date, clock, status, UTC
+    ("Pacific/Honolulu", "2023-06-01", 900.0, "valid", utc(2023, 6, 1, 19, 0)),
+    ("America/Puerto_Rico", "2023-06-01", 900.0, "valid", utc(2023, 6, 1, 13, 0)),
+    ("America/Boise", "2023-03-12", 230.0, "nonexistent_local_time", None),
+    ("Australia/Sydney", "2023-04-02", 230.0, "ambiguous_local_time", None),
+    ("Australia/Sydney", "2023-04-02", 330.0, "valid", utc(2023, 4, 1, 17, 30)),
+    ("Australia/Lord_Howe", "2023-04-02", 145.0, "ambiguous_local_time", None),
+    ("Australia/Lord_Howe", "2023-04-02", 115.0, "valid", utc(2023, 4, 1, 14, 15)),
+    ("Australia/Lord_Howe", "2023-10-01", 215.0, "nonexistent_local_time", None),
+    ("Asia/Kathmandu", "2023-06-01", 0.0, "valid", utc(2023, 5, 31, 18, 15)),
+    (" Asia/Tokyo ", "2023-06-01", 2400.0, "valid", utc(2023, 6, 1, 15, 0)),
+    ("Mars/Base", "2023-06-01", 900.0, "invalid_timezone", None),
+    (None, "2023-06-01", 900.0, "invalid_timezone", None),
+]
+
+
+def test_any_zone_name_is_accepted(spark):
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(ZONE_CASES)], "id int, zone string, d string, hhmm double").withColumn("day", F.to_date("d"))
+    out = {r["id"]: (r["t_input"], r["t_utc"]) for r in S.local_to_utc(df, "day", "hhmm", "zone", "t").collect()}
+    assert out == {i: c[3:] for i, c in enumerate(ZONE_CASES)}
