@@ -13,6 +13,7 @@ from skyledger.operators.schedule import prediction_times, standardise as standa
 from skyledger.plans.cohorts import _COHORT, _REGIME, cohort_frame, labelled
 from skyledger.plans.oracle_views import FLIGHTS, div
 from skyledger.sources import files
+from skyledger.session import scratch_folder
 from skyledger.sources.adapters import FLIGHT_COLUMNS, ZONES, flights, table
 from skyledger.sources.fingerprint import fingerprint
 
@@ -172,7 +173,7 @@ CSV_TYPES = {"flight_id": "text", "flight_date": "date", "carrier_code": "code",
 def csv_round_trip(spark, folder):
     """Write a CSV copy, read it back all-text with pruning and typed by role, and profile the result."""
     df = flights(spark, folder, "flight_id", "flight_date", "carrier_code", "dep_hhmm", "cancelled", "arr_delay", "distance")
-    path = files.scratch_folder(spark)
+    path = scratch_folder(spark)
     files.write_csv(df.withColumn("cancelled", F.col("cancelled").cast("int")), path)
     typed = files.read_csv_typed(spark, path, df.columns, CSV_TYPES)
     text = files.read_csv_text(spark, path, df.columns, ["dep_hhmm"])
@@ -185,7 +186,7 @@ def csv_round_trip(spark, folder):
 def published_table(spark, folder):
     """Publish a typed Parquet table through a checked staging folder and read it with a pushed filter."""
     df = labelled(spark, folder).withColumn("split", L.date_split(F.col("flight_date")))
-    path = files.scratch_folder(spark)
+    path = scratch_folder(spark)
 
     def complete(written):
         X.enforce(written.agg(F.count("*").alias("n"), F.countDistinct("flight_id").alias("k")), {"unique ids": F.col("n") == F.col("k")})

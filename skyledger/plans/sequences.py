@@ -8,7 +8,8 @@ from skyledger.operators import bins as B
 from skyledger.operators.schema import enforce
 from skyledger.plans.oracle_views import MOVEMENTS, div
 from skyledger.sources.adapters import movements
-from skyledger.sources.files import publish, read_parquet, scratch_folder
+from skyledger.session import scratch_folder
+from skyledger.sources.files import publish, read_parquet
 
 VALIDATION_FROM, FINAL_FROM = 1705795200, 1706227200  # 2024-01-21 and 2024-01-26 UTC
 WINDOW = B.LOOKBACK * B.BIN_HOURS * 3600

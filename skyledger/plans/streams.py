@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyledger.plans.oracle_views import MOVEMENTS
 from skyledger.sources.adapters import MOVEMENT_COLUMNS
-from skyledger.sources.files import scratch_folder
+from skyledger.session import scratch_folder
 from skyledger.streaming import airport as A
 from skyledger.streaming import ingest as I
 
@@ -22,12 +22,12 @@ def stream_ingest_counts(spark, folder):
 
 
 def stream_airport_bins(spark, folder):
-    """Three-hour airport activity of all windows the watermark has closed."""
+    """Three-hour airport activity of the whole stream, windows that are still open included."""
     scratch = scratch_folder(spark)
     stream = I.file_stream(spark, f"{folder}/events*.parquet")
     moves = stream.select(*[F.expr(e).alias(n) for n, e in MOVEMENT_COLUMNS.items()], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("dep_seconds"))
-    I.run_to_table(A.windowed_counts(A.activity(moves)), f"{scratch}/table", f"{scratch}/progress")
-    return A.bin_table(spark.read.parquet(f"{scratch}/table"))
+    I.run_to_table(A.windowed_counts(A.activity(moves)), f"{scratch}/table", f"{scratch}/progress", "update")
+    return A.bin_table(A.latest_counts(spark.read.parquet(f"{scratch}/table")))
 
 
 QUERIES = {f.__name__: f for f in (stream_ingest_counts, stream_airport_bins)}
@@ -37,6 +37,6 @@ SQL = {
 count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL""",
     "stream_airport_bins": f"""WITH {MOVEMENTS}, a AS (SELECT dep_seconds AS s, airport, destination AS other, 'departure' AS role FROM movements
 UNION ALL SELECT dep_seconds + CAST(round_even(elapsed * 60, 0) AS BIGINT), destination, '', 'arrival' FROM movements WHERE elapsed > 0 AND elapsed <= 1440),
-b AS (SELECT CAST(floor(s / 10800.0) AS BIGINT) * 10800 AS bin_start, airport, other, role FROM a WHERE (floor(s / 10800.0) + 1) * 10800 <= (SELECT max(s) FROM a) - 3600)
+b AS (SELECT CAST(floor(s / 10800.0) AS BIGINT) * 10800 AS bin_start, airport, other, role FROM a)
 SELECT bin_start, airport, count(*) FILTER (role = 'departure') AS departures, count(*) FILTER (role = 'arrival') AS arrivals, count(DISTINCT other) FILTER (role = 'departure') AS distinct_destinations FROM b GROUP BY 1, 2""",
 }

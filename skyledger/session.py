@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +49,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a shared folder; a machine-local folder is lost with its executor")
         shared = tempfile.mkdtemp(prefix="skyledger-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
     return shared
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for this application inside the shared checkpoint folder. It is deleted when the driver ends."""
+    root = f"{ensure_checkpoint_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _scratch:
+        _scratch.add(root)
+        atexit.register(_delete, spark, root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+_scratch: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if spark.sparkContext._jsc is None or jvm is None:
+        return
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df: DataFrame, *partitions: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the scratch folder and read it back: lineage is cut, and what follows still
+    prunes columns and partitions and pushes its filters into the scan."""
+    path = scratch_folder(df.sparkSession)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so later steps neither recompute nor re-partition it."""
     ensure_checkpoint_dir(df.sparkSession)

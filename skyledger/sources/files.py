@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from skyledger.functions.values import normalise_code
 from skyledger.operators.schema import require_columns
-from skyledger.session import ensure_checkpoint_dir
 
 # Roles of a typed column and the tolerant conversion from text.
 CONVERSIONS: dict[str, Callable[[Column], Column]] = {
@@ -102,8 +101,3 @@ def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None
     if system.exists(previous):
         system.delete(previous, True)
     return spark.read.parquet(path)
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder inside the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"

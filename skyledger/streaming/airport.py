@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.bins import placeable
+from skyledger.operators.bins import MAX_ELAPSED, placeable
 
 
 def activity(df: DataFrame) -> DataFrame:
@@ -20,15 +20,25 @@ def activity(df: DataFrame) -> DataFrame:
     return df.select(rows.alias("r")).select(F.timestamp_seconds("r.s").alias("event_time"), "r.airport", "r.other", "r.role")
 
 
-def windowed_counts(events: DataFrame, width: str = "3 hours", delay: str = "1 hour") -> DataFrame:
-    """Rows per (window, airport, other, role). A window is emitted once, when the watermark passes its end; rows later
-    than the watermark are dropped. Keeping the other end in the key makes the later distinct count exact."""
+def windowed_counts(events: DataFrame, width: str = "3 hours", lateness_hours: int = 1) -> DataFrame:
+    """Rows per (window, airport, other, role), sent again whenever they change (update mode).
+
+    An arrival lies up to the longest flight after its departure, so it may push the largest event time that far ahead
+    of the departures that are still to come. The watermark therefore trails by the longest flight and the lateness
+    allowed: a departure no later than that behind the latest one is never dropped, whatever the batches are. Keeping
+    the other end in the key makes the later distinct count exact."""
+    delay = f"{lateness_hours * 60 + int(MAX_ELAPSED)} minutes"
     return (events.withWatermark("event_time", delay).groupBy(F.window("event_time", width), "airport", "other", "role")
             .agg(F.count("*").alias("n")).select(F.unix_timestamp(F.col("window.start")).alias("bin_start"), "airport", "other", "role", "n"))
 
 
+def latest_counts(updates: DataFrame) -> DataFrame:
+    """The last state of every key in a table of updates, open windows included; counts only grow."""
+    return updates.groupBy("bin_start", "airport", "other", "role").agg(F.max("n").alias("n"))
+
+
 def bin_table(counts: DataFrame) -> DataFrame:
-    """Departures, arrivals and distinct destinations per (bin start, airport) from the emitted counts."""
+    """Departures, arrivals and distinct destinations per (bin start, airport) from the latest counts."""
     departure = F.col("role") == "departure"
     return counts.groupBy("bin_start", "airport").agg(
         F.sum(F.when(departure, F.col("n")).otherwise(0)).alias("departures"), F.sum(F.when(~departure, F.col("n")).otherwise(0)).alias("arrivals"),

@@ -21,11 +21,11 @@ def clean_stream(df: DataFrame, codes: list[str], flags: list[str]) -> DataFrame
     return df.withColumns({**{c: normalise_code(F.col(c)) for c in codes}, **{c: tolerant_binary(F.col(c)) for c in flags}})
 
 
-def run_to_table(df: DataFrame, target: str, checkpoint: str) -> None:
+def run_to_table(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now and stop. Restarting continues after the last finished batch."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    query = df.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
