@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,37 +40,6 @@ def entity_days(df: DataFrame, entity: str, before: Column | None = None) -> Dat
         F.sum("completed").alias("completed"), F.sum("severe").alias("severe")).withColumn("severe_rate", ratio(F.col("severe"), F.col("completed")))
 
 
-EPISODE_SCHEMA = "scenario string, entity string, start_day int, end_day int, duration_days int, recovered int, end_reason string, start_rate double"
-
-
-def _episodes_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the days of one (scenario, entity). The list is as long as the calendar, not the data."""
-    pdf = pdf.sort_values("day")
-    first = pdf.iloc[0]
-    start_at, normal_at, needed = float(first["start_limit"]), float(first["normal_limit"]), int(first["normal_days"])
-    found, opened, opened_rate, calm, previous = [], None, None, 0, None
-
-    def close(day: int, reason: str) -> None:
-        found.append((first["scenario"], first["entity"], opened, day, day - opened + 1, int(reason == RECOVERED), reason, opened_rate))
-
-    for day, rate in zip(pdf["day"].tolist(), pdf["severe_rate"].tolist()):
-        if opened is not None and day - previous > 1:
-            close(previous, GAP)
-            opened = None
-        if opened is None:
-            if rate >= start_at:
-                opened, opened_rate, calm = day, rate, 0
-        else:
-            calm = calm + 1 if rate <= normal_at else 0
-            if calm >= needed:
-                close(day, RECOVERED)
-                opened = None
-        previous = day
-    if opened is not None:
-        close(previous, LAST_DAY)
-    return pd.DataFrame(found, columns=["scenario", "entity", "start_day", "end_day", "duration_days", "recovered", "end_reason", "start_rate"])
-
-
 def qualifying_days(days: DataFrame, rules: list[Rules]) -> DataFrame:
     """Entity-days of every scenario with enough completed flights, from an exploded array of rules."""
     scenarios = F.explode(F.array(*[F.struct(
@@ -82,8 +50,33 @@ def qualifying_days(days: DataFrame, rules: list[Rules]) -> DataFrame:
 
 
 def episodes(days: DataFrame, rules: list[Rules]) -> DataFrame:
-    """Disruption episodes per scenario and entity. Thin days are removed first, so they make a gap."""
-    return qualifying_days(days, rules).groupBy("scenario", "entity").applyInPandas(_episodes_of, EPISODE_SCHEMA)
+    """Disruption episodes per scenario and entity. Thin days are removed first, so they make a gap.
+
+    Days without a gap between them form an island. A day ends an episode if it closes a run of enough normal days; every
+    triggering day belongs to the next such day of its island, and the first trigger that belongs to it is the start.
+    Triggers before no such day are open until their island ends. An entity has no more days than the calendar.
+    """
+    if any(r.start_rate <= r.normal_rate for r in rules):
+        raise ValueError("the start rate must be above the normal rate")
+    entity = Window.partitionBy("scenario", "entity")
+    in_time = entity.orderBy("day")
+    upto = in_time.rowsBetween(Window.unboundedPreceding, 0)
+    broken = F.coalesce((F.col("day") - F.lag("day").over(in_time) > 1).cast("int"), F.lit(0))
+    placed = qualifying_days(days, rules).withColumn("broken", broken).withColumn("island", F.sum("broken").over(upto))
+    island = Window.partitionBy("scenario", "entity", "island").orderBy("day")
+    normal = F.col("severe_rate") <= F.col("normal_limit")
+    strained = F.sum(F.when(normal, 0).otherwise(1)).over(island.rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("normal", normal).withColumn("strained", strained)
+    calm = F.sum(F.col("normal").cast("int")).over(Window.partitionBy("scenario", "entity", "island", "strained").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("calm", calm)
+    ending = F.min(F.when(F.col("calm") >= F.col("normal_days"), F.col("day"))).over(island.rowsBetween(1, Window.unboundedFollowing))
+    placed = placed.withColumns({"recovery": ending, "island_end": F.max("day").over(island.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "last_day": F.max("day").over(entity)})
+    first = placed.where(F.col("severe_rate") >= F.col("start_limit")).groupBy("scenario", "entity", "island", "recovery").agg(
+        F.min("day").alias("start_day"), F.min_by("severe_rate", "day").alias("start_rate"), F.first("island_end").alias("island_end"), F.first("last_day").alias("last_day"))
+    end = F.coalesce("recovery", "island_end")
+    reason = F.when(F.col("recovery").isNotNull(), RECOVERED).when(F.col("island_end") < F.col("last_day"), GAP).otherwise(LAST_DAY)
+    return first.select("scenario", "entity", "start_day", end.alias("end_day"), (end - F.col("start_day") + 1).alias("duration_days"),
+                        F.col("recovery").isNotNull().cast("int").alias("recovered"), reason.alias("end_reason"), "start_rate")
 
 
 def sensitivity(days: DataFrame, rules: list[Rules]) -> DataFrame:
