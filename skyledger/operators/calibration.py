@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.values import clip_probability, from_logit, log1p_exp, to_logit
+from skyledger.functions.values import clip_probability, from_logit, to_logit
 from skyledger.operators.schema import enforce, period_guard
 from skyledger.session import cut_lineage
 
@@ -34,45 +34,35 @@ def logit_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     return cut_lineage(grouped.select(to_logit(F.col("_s")).alias("z"), "n", "e"))
 
 
+def _weighted_line(counts: DataFrame, a: float, b: float) -> tuple[float, float, float, float, float, float]:
+    """Means and spreads of the working response on the logit under the current fit, and the largest score equation."""
+    eta = F.lit(a) + F.lit(b) * F.col("z")
+    mu = from_logit(eta)
+    weight, residual = F.col("n") * mu * (1 - mu), F.col("e") - F.col("n") * mu
+    response = weight * eta + residual  # weight times the working response, also where the weight vanishes
+    row = counts.agg(F.sum(weight), F.sum(weight * F.col("z")), F.sum(weight * F.col("z") * F.col("z")), F.sum(response), F.sum(response * F.col("z")),
+                     F.greatest(F.abs(F.sum(residual)), F.abs(F.sum(residual * F.col("z"))))).first()
+    return tuple(math.nan if v is None else float(v) for v in row)
+
+
 def fit_logistic(counts: DataFrame, slope: bool = True, max_iter: int = 60, tol: float = 1e-10) -> LogisticFit:
-    """Unpenalised logistic fit of events on the logit by Newton steps with halving; ``slope=False`` fixes the slope at 1."""
-
-    def sums(a: float, b: float) -> tuple[float, ...]:
-        eta = F.lit(a) + F.lit(b) * F.col("z")
-        mu = from_logit(eta)
-        residual, spread = F.col("e") - F.col("n") * mu, F.col("n") * mu * (1 - mu)
-        row = counts.agg(
-            F.sum(F.col("e") * eta - F.col("n") * log1p_exp(eta)), F.sum(residual), F.sum(residual * F.col("z")),
-            F.sum(spread), F.sum(spread * F.col("z")), F.sum(spread * F.col("z") * F.col("z"))).first()
-        return tuple(float(v) for v in row)
-
-    totals = counts.agg(F.sum("n"), F.sum("e"), F.sum(F.col("n") * F.col("z"))).first()
-    n, e, z = (float(v) for v in totals)
-    if not 0 < e < n:
+    """Unpenalised logistic fit of events on the logit by iteratively reweighted least squares: each round is the
+    weighted line through the working response. ``slope=False`` keeps the slope at 1 and fits the level alone."""
+    present = counts.agg(F.sum("e"), F.sum(F.col("n") - F.col("e"))).first()
+    if not all(present):
         raise ValueError("both classes are needed to fit a calibrator")
-    a, b = (0.0, 0.0) if slope else (math.log(e / (n - e)) - z / n, 1.0)
-    current = sums(a, b)
+    share = present[0] / (present[0] + present[1])
+    a, b = (math.log(share / (1 - share)), 0.0) if slope else (0.0, 1.0)
     for iteration in range(1, max_iter + 1):
-        _, g0, g1, h00, h01, h11 = current
-        if slope:
-            det = (h00 + 1e-12) * (h11 + 1e-12) - h01 * h01
-            step = (((h11 + 1e-12) * g0 - h01 * g1) / det, ((h00 + 1e-12) * g1 - h01 * g0) / det)
-        else:
-            step = (g0 / (h00 + 1e-12), 0.0)
-        scale = 1.0
-        while True:
-            moved = (a + scale * step[0], b + scale * step[1])
-            candidate = sums(*moved)
-            if candidate[0] >= current[0] - 1e-12 * max(1.0, abs(current[0])):
-                break
-            scale /= 2
-            if scale <= 1e-8:
-                raise ValueError("the logistic fit could not improve the likelihood")
-        (a, b), current = moved, candidate
-        if max(abs(scale * s) for s in step) < tol:
-            if not (math.isfinite(a) and math.isfinite(b)):
-                raise ValueError("the logistic fit is not finite")
-            return LogisticFit(a, b, iteration, max(abs(current[1]), abs(current[2]) if slope else 0.0))
+        w, wz, wzz, r, rz, equation = _weighted_line(counts, a, b)
+        spread = w * wzz - wz * wz
+        new_b = (w * rz - wz * r) / spread if slope and spread > 0 else b
+        new_a = (r - new_b * wz) / w if w > 0 else math.nan
+        if not (math.isfinite(new_a) and math.isfinite(new_b)):
+            raise ValueError("the classes are separated by the score, so the logistic fit has no finite solution")
+        moved, (a, b) = max(abs(new_a - a), abs(new_b - b)), (new_a, new_b)
+        if moved < tol:
+            return LogisticFit(a, b, iteration, equation)
     raise ValueError("the logistic fit did not converge")
 
 
@@ -116,22 +106,21 @@ def calibrate(fit: DataFrame, apply: DataFrame, second: str, locked_from: Column
     return apply_isotonic(fit_isotonic(fit, score), out, score, "isotonic")
 
 
-def choose_method(brier: dict[str, float], high: dict[str, float], high_isotonic_vs_platt: float) -> str:
-    """The simplest method whose selection-half gain is confirmed: interval of its Brier difference wholly below zero."""
+def method_column(difference_high: str = "{}_high", brier: str = "brier_{}", pair: str = "isotonic_over_platt_high") -> Column:
+    """The chosen method of a one-row table of metrics.
 
-    def below(value: float) -> bool:
-        return math.isfinite(value) and value < 0
+    A method qualifies if its selection-half Brier score is below the raw score's and the upper end of the interval of
+    its difference on the other half is below zero; between two that do, isotonic needs the same against Platt.
+    """
+    def confirmed(name: str) -> Column:
+        high = F.nanvl(F.col(difference_high.format(name)), F.lit(0.0))
+        return F.coalesce((F.col(brier.format(name)) < F.col(brier.format("uncalibrated"))) & (high < 0), F.lit(False))
 
-    better = [m for m in ("platt", "isotonic") if brier[m] < brier["uncalibrated"] and below(high.get(m, math.nan))]
-    if not better:
-        return "uncalibrated"
-    if len(better) == 1:
-        return better[0]
-    return "isotonic" if below(high_isotonic_vs_platt) else "platt"
+    platt, isotonic, ahead = confirmed("platt"), confirmed("isotonic"), F.coalesce(F.nanvl(F.col(pair), F.lit(0.0)) < 0, F.lit(False))
+    return F.when(isotonic & (~platt | ahead), "isotonic").when(platt, "platt").otherwise("uncalibrated")
 
 
-def choose_fit_source(method: str, high_recent_vs_old: float) -> str:
-    """Which rows the final calibrator is fitted on."""
-    if method == "uncalibrated":
-        return "none"
-    return "recent_year" if math.isfinite(high_recent_vs_old) and high_recent_vs_old < 0 else "same_as_here"
+def fit_source_column(method: str, recent_high: str = "recent_high") -> Column:
+    """Which rows the final calibrator is fitted on: the recent ones only if they are confirmed to be better."""
+    better = F.coalesce(F.nanvl(F.col(recent_high), F.lit(0.0)) < 0, F.lit(False))
+    return F.when(F.col(method) == "uncalibrated", "none").when(better, "recent_year").otherwise("same_as_here")

@@ -5,6 +5,7 @@ Everything learned (medians, levels, rates, coefficients, trees) comes from an e
 
 from __future__ import annotations
 
+import itertools
 import random
 from dataclasses import dataclass, field, replace
 from itertools import chain
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators.attach import attach_row
 from skyledger.operators.baselines import apply_rate, rate_table
-from skyledger.operators.schema import MISSING_LEVEL
+from skyledger.operators.schema import MISSING_LEVEL, checked_predictors
 from skyledger.session import ensure_checkpoint_dir
 
 
@@ -55,7 +56,8 @@ class FittedTrees:
 
 
 def clean(df: DataFrame, features: Features) -> DataFrame:
-    """Doubles for numbers, an explicit level for missing categories."""
+    """Doubles for numbers, an explicit level for missing categories. Every fit passes here, so no outcome can be a predictor."""
+    checked_predictors((*features.numeric, *features.categorical, *features.encoded))
     return df.withColumns({**{c: F.col(c).cast("double") for c in features.numeric},
                            **{c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) for c in (*features.categorical, *features.encoded)}})
 
@@ -149,18 +151,12 @@ def score_trees(fitted: FittedTrees, df: DataFrame, out: str = "score") -> DataF
 
 
 def sample_settings(base: TreeSettings, space: dict[str, list], draws: int, seed: int) -> list[TreeSettings]:
-    """The base settings, then distinct random draws from the space."""
-    generator, found = random.Random(seed), [base]
-    total = 1
-    for values in space.values():
-        total *= len(values)
-    if draws >= total:
+    """The base settings, then distinct other cells of the grid that the space spans, in a seeded order."""
+    cells = [replace(base, **dict(zip(space, values))) for values in itertools.product(*space.values())]
+    others = [c for c in dict.fromkeys(cells) if c != base]
+    if draws > len(others):
         raise ValueError("more draws than settings")
-    while len(found) <= draws:
-        draw = replace(base, **{k: generator.choice(v) for k, v in space.items()})
-        if draw not in found:
-            found.append(draw)
-    return found
+    return [base, *(others[i] for i in random.Random(seed).sample(range(len(others)), draws))]
 
 
 def reproduction(first: DataFrame, second: DataFrame, identity: str = "flight_id") -> DataFrame:

@@ -8,6 +8,7 @@ from skyledger.functions.values import clip_probability, from_logit, to_logit
 from skyledger.operators import calibration as K
 from skyledger.operators import metrics as M
 from skyledger.operators import resampling as R
+from skyledger.operators.attach import attach_row
 from skyledger.operators.labels import seconds_of
 from skyledger.plans.evaluation import REPLICATES
 from skyledger.plans.oracle_views import SCORED
@@ -80,20 +81,25 @@ def calibration_choice(spark, folder):
     """The chosen method and fit source by the confirmation rules, from paired day intervals."""
     df, held, _ = _calibrated(spark, folder)
     selection, confirmation = held.where(F.col("half") == "selection"), held.where(F.col("half") == "confirmation")
-    brier = selection.agg(*[F.avg(F.pow(F.col(m) - F.col("label"), F.lit(2))).alias(m) for m in K.METHODS]).first().asDict()
-
-    def high(source, reference, challenger):
-        return R.brier_bootstrap(source, reference, challenger, "day", REPLICATES).first()["difference_high"]
-
-    confirmed = {m: high(confirmation, "uncalibrated", m) for m in ("platt", "isotonic")}
-    chosen = K.choose_method(brier, confirmed, high(confirmation, "platt", "isotonic"))
-    source = "none"
+    brier = selection.agg(*[F.avg(F.pow(F.col(m) - F.col("label"), F.lit(2))).alias(f"brier_{m}") for m in K.METHODS])
+
+    def high(source, reference, challenger, name):
+        return R.brier_bootstrap(source, reference, challenger, "day", REPLICATES).select(F.col("difference_high").alias(name))
+
+    table = brier
+    for row in (high(confirmation, "uncalibrated", "platt", "platt_high"), high(confirmation, "uncalibrated", "isotonic", "isotonic_high"),
+                high(confirmation, "platt", "isotonic", "isotonic_over_platt_high")):
+        table = attach_row(table, row)
+    table = cut_lineage(table.withColumn("method", K.method_column()))
+    chosen = table.first()["method"]
+    recent = None
     if chosen != "uncalibrated":
         valid = df.where(F.col("period") == "validation")
-        recent = K.calibrate(valid.where(F.col("half") == "selection"), valid.where(F.col("half") == "confirmation"), "second", seconds_of("2001-01-01"))
-        both = confirmation.select("flight_id", "label", "day", F.col(chosen).alias("old")).join(recent.select("flight_id", F.col(chosen).alias("new")), "flight_id")
-        source = K.choose_fit_source(chosen, high(both, "old", "new"))
-    return spark.createDataFrame([(chosen, source, *(float(brier[m]) for m in K.METHODS))], "method string, fit_source string, " + ", ".join(f"brier_{m} double" for m in K.METHODS))
+        newer = K.calibrate(valid.where(F.col("half") == "selection"), valid.where(F.col("half") == "confirmation"), "second", seconds_of("2001-01-01"))
+        both = confirmation.select("flight_id", "label", "day", F.col(chosen).alias("old")).join(newer.select("flight_id", F.col(chosen).alias("new")), "flight_id")
+        recent = high(both, "old", "new", "recent_high")
+    table = attach_row(table, recent) if recent is not None else table.withColumn("recent_high", F.lit(None).cast("double"))
+    return table.select("method", K.fit_source_column("method").alias("fit_source"), *[f"brier_{m}" for m in K.METHODS])
 
 
 QUERIES = {f.__name__: f for f in (

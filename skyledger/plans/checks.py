@@ -65,14 +65,18 @@ def id_set_diff(spark, folder):
 
 
 def guard_violations(spark, folder):
-    df = cohort_frame(spark, folder).where(F.col("prediction_utc").isNotNull())
-    fit, later = df.where(F.col("original_split") == L.DEVELOPMENT), df.where(F.col("original_split") != L.DEVELOPMENT)
-    return X.period_guard(fit, later, "flight_id", "prediction_utc", L.seconds_of("2001-01-01"))
+    """The period guard where some evaluation rows are among the calibration rows too, so that it has something to find."""
+    df = cohort_frame(spark, folder, "flight_number").where(F.col("prediction_utc").isNotNull())
+    early = F.col("original_split") == L.DEVELOPMENT
+    return X.period_guard(df.where(early), df.where(~early | (F.col("flight_number") % 151 == 0)), "flight_id", "prediction_utc", L.seconds_of("2001-01-01"))
 
 
 def fixed_lead(spark, folder):
-    df = prediction_times(flights(spark, folder, "flight_date", "dep_hhmm", "origin_zone"))
-    return X.lead_violations(df, "departure_utc", "prediction_utc")
+    """The fixed lead where some predictions are lost and some are shifted by a minute."""
+    df = prediction_times(flights(spark, folder, "flight_date", "dep_hhmm", "origin_zone", "flight_number"))
+    number = F.col("flight_number")
+    broken = F.when(number % 211 != 0, F.col("prediction_utc") + F.when(number % 223 == 0, 60).otherwise(0))
+    return X.lead_violations(df.withColumn("prediction_utc", broken), "departure_utc", "prediction_utc")
 
 
 def key_uniqueness(spark, folder):
@@ -84,8 +88,12 @@ def key_uniqueness(spark, folder):
 
 
 def label_audit(spark, folder):
-    """Labels against the rule applied to the source, counted in one pass."""
-    df = labelled(spark, folder)
+    """Labels against the rule applied to the source, counted in one pass over a copy in which some labels are spoiled."""
+    df, number = labelled(spark, folder, "flight_number"), F.col("flight_number")
+    df = df.withColumns({
+        "completed": F.when(number % 89 == 0, ~F.col("completed")).otherwise(F.col("completed")),
+        "severe_120": F.when(number % 97 == 0, 1 - F.col("severe_120")).when(number % 101 == 0, F.lit(None)).otherwise(F.col("severe_120")),
+        "exclusion_reason": F.when(number % 103 == 0, "spoiled").otherwise(F.col("exclusion_reason"))})
     done = (F.col("cancelled") == 0) & (F.col("diverted") == 0) & F.col("arr_delay").isNotNull()
     checks = {"completed_disagrees": F.col("completed") != done, "label_without_completion": ~F.col("completed") & F.col("severe_120").isNotNull(),
               "completion_without_label": F.col("completed") & F.col("severe_120").isNull(),
@@ -127,10 +135,16 @@ def entity_coverage(spark, folder):
     return P.entity_coverage(df.withColumns({"regime": L.regime(F.col("flight_date")), "route": F.concat_ws("-", "origin", "destination")}))
 
 
+FINGERPRINTED = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"], "events": ["event_id", "ts", "user_id", "event_type", "value", "props"]}
+
+
 def table_fingerprint(spark, folder):
-    chosen = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
-              "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "supplier": ["s_suppkey", "s_name", "s_nationkey"]}
-    return X.stack_tables([fingerprint(table(spark, folder, t), t, c, portable=True) for t, c in chosen.items()])
+    """All columns of all tables that the package reads."""
+    return X.stack_tables([fingerprint(table(spark, folder, t), t, c, portable=True) for t, c in FINGERPRINTED.items()])
 
 
 def null_rates(spark, folder):
@@ -225,8 +239,13 @@ def _unique(name: str, keys: str) -> str:
 CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS rows_in_duplicate_groups FROM (SELECT count(*) AS n FROM flights WHERE {where} GROUP BY {keys})"""
 
 
+_AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "s_acctbal", "c_acctbal", "value")
+_INSTANTS = ("l_shipdate", "o_orderdate", "ts")
+
+
 def _finger(name: str, columns: list[str]) -> str:
-    text = " || '|' || ".join(f"coalesce(CAST({c} AS STRING), '~')" for c in columns)
+    form = {**dict.fromkeys(_AMOUNTS, "CAST(floor({0} * 100 + 0.5::DOUBLE) AS BIGINT)"), **dict.fromkeys(_INSTANTS, "epoch_us({0})")}
+    text = " || '|' || ".join(f"coalesce(CAST({form.get(c, '{0}').format(c)} AS STRING), '~')" for c in columns)
     return f"""SELECT '{name}' AS table_name, count(*) AS rows, bit_xor(h) AS digest_xor, CAST(sum(h % 1000000007) AS BIGINT) AS digest_sum
 FROM (SELECT CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS h FROM {name})"""
 
@@ -256,15 +275,20 @@ min(CASE WHEN lt.{c} IS DISTINCT FROM rt.{c} THEN lt.flight_id END) AS first_mis
     "id_set_diff": f"""WITH {_PAIR} SELECT 'in_both' AS side, count(*) AS ids, min(flight_id) AS first_id FROM (SELECT flight_id FROM lt INTERSECT SELECT flight_id FROM rt)
 UNION ALL SELECT 'only_left', count(*), min(flight_id) FROM (SELECT flight_id FROM lt EXCEPT SELECT flight_id FROM rt)
 UNION ALL SELECT 'only_right', count(*), min(flight_id) FROM (SELECT flight_id FROM rt EXCEPT SELECT flight_id FROM lt)""",
-    "guard_violations": f"""WITH {_COHORT}, k AS (SELECT * FROM cohort WHERE prediction_utc IS NOT NULL), g AS (SELECT count(*) FILTER (prediction_utc >= epoch(DATE '2001-01-01')) AS locked_rows,
-max(prediction_utc) FILTER (original_split = 'development') AS calibration_end, min(prediction_utc) FILTER (original_split <> 'development') AS evaluation_start FROM k)
-SELECT *, CAST(0 AS BIGINT) AS shared_ids, calibration_end < evaluation_start AS in_order FROM g""",
-    "fixed_lead": f"WITH {_COHORT} SELECT count(*) AS rows, count(prediction_utc) AS with_prediction, CAST(0 AS BIGINT) AS one_sided, count(*) FILTER (departure_utc - prediction_utc <> 7200) AS wrong_lead FROM cohort",
+    "guard_violations": f"""WITH {_COHORT}, k AS (SELECT *, original_split = 'development' AS early, original_split <> 'development' OR flight_number % 151 = 0 AS later FROM cohort WHERE prediction_utc IS NOT NULL),
+g AS (SELECT count(*) FILTER (early AND prediction_utc >= epoch(DATE '2001-01-01')) + count(*) FILTER (later AND prediction_utc >= epoch(DATE '2001-01-01')) AS locked_rows,
+max(prediction_utc) FILTER (early) AS calibration_end, min(prediction_utc) FILTER (later) AS evaluation_start, count(*) FILTER (early AND later) AS shared_ids FROM k)
+SELECT *, calibration_end < evaluation_start AS in_order FROM g""",
+    "fixed_lead": f"""WITH {_COHORT}, p AS (SELECT departure_utc AS d, CASE WHEN flight_number % 211 <> 0 THEN prediction_utc + CASE WHEN flight_number % 223 = 0 THEN 60 ELSE 0 END END AS p FROM cohort)
+SELECT count(*) AS rows, count(p) AS with_prediction, count(*) FILTER ((d IS NULL) <> (p IS NULL)) AS one_sided, count(*) FILTER (d - p <> 7200) AS wrong_lead FROM p""",
     "key_uniqueness": f"WITH {FLIGHTS} " + " UNION ALL ".join((
         _unique("flight_id", "flight_id"), _unique("schedule_slot", "flight_date, carrier, origin, dep_hhmm"), _unique("natural_key", "flight_date, flight_number, origin, destination"))),
-    "label_audit": "SELECT count(*) AS rows, " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in (
-        "completed_disagrees", "label_without_completion", "completion_without_label", "order_broken", "reason_disagrees",
-        *[f"severe_{t}_disagrees" for t in L.SEVERE_THRESHOLDS])) + " FROM lineitem",
+    "label_audit": f"""WITH {FLIGHTS}, a AS (SELECT flight_number, arr_delay, coalesce(cancelled = 0 AND diverted = 0 AND arr_delay IS NOT NULL, false) AS done FROM flights),
+b AS (SELECT *, CASE WHEN flight_number % 89 = 0 THEN NOT done ELSE done END AS completed, """ + ", ".join(f"CASE WHEN done THEN CAST(arr_delay >= {t} AS INT) END AS r{t}" for t in L.SEVERE_THRESHOLDS) + """ FROM a),
+c AS (SELECT *, CASE WHEN flight_number % 97 = 0 THEN 1 - r120 WHEN flight_number % 101 = 0 THEN NULL ELSE r120 END AS s120, CASE WHEN flight_number % 103 = 0 THEN false ELSE done END AS eligible FROM b)
+SELECT count(*) AS rows, count(*) FILTER (completed <> done) AS completed_disagrees, count(*) FILTER (NOT completed AND s120 IS NOT NULL) AS label_without_completion,
+count(*) FILTER (completed AND s120 IS NULL) AS completion_without_label, count(*) FILTER (r180 > s120 OR s120 > r60) AS order_broken, count(*) FILTER (completed <> eligible) AS reason_disagrees, """
+        + ", ".join(f"count(*) FILTER (({'s' if t == 120 else 'r'}{t} = 1) <> (arr_delay >= {t})) AS severe_{t}_disagrees" for t in L.SEVERE_THRESHOLDS) + " FROM c",
     "missingness_profile": f"WITH {FLIGHTS} " + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS STRING)) = '') AS missing_rows, "
         f"count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS STRING)) = '')::DOUBLE / count(*) * 100 AS missing_pct FROM flights" for c in _PROFILED),
@@ -285,9 +309,7 @@ q AS (SELECT *, count(*) OVER (PARTITION BY carrier) AS rights_per_left, count(*
     "entity_coverage": f"WITH {FLIGHTS}, f AS (SELECT *, {_REGIME} AS regime FROM flights) " + " UNION ALL ".join(
         f"SELECT regime, '{n}' AS role, count(DISTINCT {e}) AS entities, count(*) AS appearances FROM f GROUP BY 1"
         for n, e in (("carrier", "carrier"), ("origin", "origin"), ("destination", "destination"), ("route", "origin || '-' || destination"))),
-    "table_fingerprint": " UNION ALL ".join((
-        _finger("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]),
-        _finger("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]), _finger("supplier", ["s_suppkey", "s_name", "s_nationkey"]))),
+    "table_fingerprint": " UNION ALL ".join(_finger(t, c) for t, c in FINGERPRINTED.items()),
     "null_rates": f"WITH {FLIGHTS}, s AS (SELECT *, {_SPLITS} AS split FROM flights) " + " UNION ALL ".join(
         f"SELECT split, '{c}' AS feature, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS null_rows, count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) AS null_rate FROM s GROUP BY 1"
         for c in ("dep_hhmm", "arr_hhmm", "sched_elapsed", "distance")),

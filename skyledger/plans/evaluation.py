@@ -421,6 +421,18 @@ c AS (SELECT period, operating_point, cutoff_score, count(*) AS flights, CAST(su
 SELECT period, operating_point, round(cutoff_score, 9) AS cutoff_score, flights, events, flagged, true_positives, flagged - true_positives AS false_positives, events - true_positives AS false_negatives,
 flights - flagged - events + true_positives AS true_negatives, round(flagged::DOUBLE / flights, 9) AS alert_rate, round(true_positives::DOUBLE / flagged, 9) AS precision, round(true_positives::DOUBLE / events, 9) AS recall,
 round(2.0 * true_positives::DOUBLE / (flagged + events), 9) AS f1, round((flights - flagged - events + true_positives)::DOUBLE / (flights - events), 9) AS specificity FROM c""",
+    "case_selection": f"""WITH {_VAL}, r AS (SELECT flight_id, score, label, row_number() OVER (ORDER BY score DESC, flight_id) AS rank, count(*) OVER () AS n FROM v),
+pl AS (SELECT *, CASE WHEN rank <= greatest(1, round_even(0.01 * n, 0)) THEN CASE label WHEN 1 THEN 'true_positive' ELSE 'false_positive' END
+  WHEN rank > greatest(1, round_even(0.1 * n, 0)) AND label = 1 THEN 'false_negative' WHEN label = 0 AND rank > n / 2.0 THEN 'low_risk_correct' END AS pool FROM r),
+ex AS (SELECT *, 'high_confidence_false_positive' AS category, 'highest_scoring_non_event' AS pick FROM (SELECT * FROM r WHERE label = 0 ORDER BY rank LIMIT 3)
+  UNION ALL SELECT *, 'high_confidence_false_negative', 'lowest_scoring_event' FROM (SELECT * FROM r WHERE label = 1 ORDER BY rank DESC LIMIT 3)),
+m AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY rank) AS place, count(*) OVER (PARTITION BY pool) AS size FROM pl WHERE pool IS NOT NULL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY place) AS free FROM m WHERE flight_id NOT IN (SELECT flight_id FROM ex)),
+wi AS (SELECT pool, i, round_even(i * 0.25 * (size - 1), 0) + 1 AS start FROM (SELECT DISTINCT pool, size FROM m), (SELECT unnest([1, 2, 3]) AS i)),
+wb AS (SELECT wi.pool, i, count(*) FILTER (place < start) + 1 AS b FROM wi JOIN fr ON fr.pool = wi.pool GROUP BY 1, 2),
+wp AS (SELECT pool, i, i + max(b - i) OVER (PARTITION BY pool ORDER BY i) AS free FROM wb)
+SELECT flight_id, category, pick, rank, round(score, 9) AS score, label FROM ex UNION ALL
+SELECT flight_id, pool, 'typical_q' || i * 25, rank, round(score, 9), label FROM fr JOIN wp USING (pool, free)""",
     "rank_corr": f"""WITH {_VAL}, r AS (SELECT score, score_coarse, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS a, rank() OVER (ORDER BY score_coarse) + (count(*) OVER (PARTITION BY score_coarse) - 1) / 2.0 AS b FROM v)
 SELECT count(*) AS rows, round(corr(a, b), 8) AS spearman, round(corr(score, score_coarse), 8) AS pearson FROM r""",
     "rate_baselines": f"WITH {_RATES} SELECT flight_id, " + ", ".join(f"round({b}, 8) AS {b}" for b in BASELINES) + " FROM rb",

@@ -126,18 +126,21 @@ def feature_ladder(spark, folder):
     return _stack(parts)
 
 
+#: Settings drawn from the 54 of the space, besides the default.
+DRAWS = 6
 SPACE = {"depth": [2, 3, 4], "step": [0.1, 0.2, 0.4], "min_rows": [20, 50, 200], "subsample": [0.7, 1.0]}
 
 
 def settings_search(spark, folder):
     """Settings chosen on the selection half, adopted only if the paired interval on the confirmation half is above zero."""
     fit, stop, valid = _parts(model_frame(spark, folder))
-    settings = T.sample_settings(SMALL, SPACE, 2, 42)
+    settings = T.sample_settings(SMALL, SPACE, DRAWS, 42)
     scores = [T.score_trees(T.fit_trees(fit, stop, TREES, LABEL, s), valid).select("flight_id", "day", "prediction_utc", F.col(LABEL).alias("label"), "score").withColumn(
         "scorer", F.lit(f"draw_{i}" if i else "default")) for i, s in enumerate(settings)]
     long = cut_lineage(_stack(scores).withColumn("half", L.half(F.col("prediction_utc"))))
     table = M.binary_metrics(long, ["half", "scorer"]).select("half", "scorer", "pr_auc")
-    best = table.where((F.col("half") == "selection") & (F.col("scorer") != "default")).agg(F.max_by("scorer", "pr_auc")).first()[0]
+    drawn = table.where((F.col("half") == "selection") & (F.col("scorer") != "default") & F.col("pr_auc").isNotNull() & ~F.isnan("pr_auc"))
+    best = drawn.orderBy(F.desc("pr_auc"), F.substring_index("scorer", "_", -1).cast("int")).first()[0]  # ties go to the earlier draw
     pair = long.where((F.col("half") == "confirmation") & F.col("scorer").isin("default", best))
     draws = R.resampled_average_precision(pair, "scorer", "day", REPLICATES)
     low = R.bootstrap_summary(cut_lineage(draws), M.binary_metrics(pair, ["scorer"]), "scorer", "default").where(F.col("scorer") == best).first()["difference_low"]

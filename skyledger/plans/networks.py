@@ -30,7 +30,12 @@ def route_graph_summary(spark, folder):
 
 
 def edge_checks(spark, folder):
-    return G.edge_problems(_daily(spark, folder))
+    """The edge audit on a copy of the daily edges with spoiled rows: blank ends, loops, odd weights and repeats."""
+    edges = _daily(spark, folder)
+    spoiled = edges.select(
+        "day", F.when((F.col("weight") == 1) & (F.col("src") == "N05"), " ").otherwise(F.col("src")).alias("src"), F.when(F.col("src") == "N07", F.col("src")).otherwise(F.col("dst")).alias("dst"),
+        F.when(F.col("dst") == "N11", 0.0).when(F.col("dst") == "N12", 1.5).otherwise(F.col("weight").cast("double")).alias("weight"))
+    return G.edge_problems(spoiled.unionByName(spoiled.where(F.col("src") == "N03")))
 
 
 def degree_metrics(spark, folder):
@@ -185,7 +190,10 @@ _REGIME_COLUMNS = ("cancellation_rate", "severe_rate", "density", "median_betwee
 
 SQL = {
     "route_graph_summary": f"WITH {_ED}, {_nodes('day')} SELECT day, any_value(n) AS node_count, count(*) AS edge_count, CAST(sum(weight) AS BIGINT) AS scheduled_flights, round(count(*)::DOUBLE / (any_value(n) * (any_value(n) - 1)), 9) AS density FROM e JOIN ns USING (day) GROUP BY 1",
-    "edge_checks": "SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("blank_ends", "self_loops", "non_positive", "fractional", "duplicates")),
+    "edge_checks": f"""WITH {_ED}, s AS (SELECT day, CASE WHEN weight = 1 AND src = 'N05' THEN ' ' ELSE src END AS src, CASE WHEN src = 'N07' THEN src ELSE dst END AS dst,
+  CASE dst WHEN 'N11' THEN 0.0 WHEN 'N12' THEN 1.5 ELSE weight END::DOUBLE AS weight FROM e), a AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE src = 'N03'),
+g AS (SELECT day, src, dst, count(*) AS n, min(weight) AS low, max(weight % 1) AS part FROM a GROUP BY ALL)
+SELECT count(*) FILTER (trim(src) = '' OR trim(dst) = '') AS blank_ends, count(*) FILTER (src = dst) AS self_loops, count(*) FILTER (low <= 0) AS non_positive, count(*) FILTER (part <> 0) AS fractional, count(*) FILTER (n > 1) AS duplicates FROM g""",
     "degree_metrics": f"WITH {_ED}, {_degree('day')} SELECT day, node, {_M} FROM dg",
     "route_hhi": f"WITH {_EY}, {_degree('year')} SELECT year, node, {_r(['outgoing_hhi', 'incoming_hhi'])} FROM dg",
     "components": f"""{_W}{_ED}, {_nodes('day')}, {_levels('day')}, un AS (SELECT day, src, dst FROM e UNION SELECT day, dst, src FROM e),

@@ -29,7 +29,3 @@ REGIONS = "regions AS (SELECT 'N' || lpad(CAST(n_nationkey AS STRING), 2, '0') A
 def div(a: str, b: str) -> str:
     """Double ratio, null for a zero denominator."""
     return f"(CAST({a} AS DOUBLE) / NULLIF({b}, 0))"
-
-
-def r9(expr: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 9)"

@@ -37,7 +37,12 @@ def episodes(spark, folder):
 
 
 def episode_checks(spark, folder):
-    return R.episode_checks(_episodes(spark, folder))
+    """The episode audit on a copy with spoiled rows: wrong and negative durations, flags, reasons and repeated starts."""
+    start = F.col("start_day")
+    spoiled = _episodes(spark, folder).withColumns({
+        "duration_days": F.when(start % 11 == 0, F.col("duration_days") + 1).when(start % 13 == 0, -F.col("duration_days")).otherwise(F.col("duration_days")),
+        "recovered": F.when(start % 17 == 0, 2).otherwise(F.col("recovered")), "end_reason": F.when(start % 19 == 0, "spoiled").otherwise(F.col("end_reason"))})
+    return R.episode_checks(spoiled.unionByName(spoiled.where(start % 7 == 0)))
 
 
 def episode_sensitivity(spark, folder):
@@ -92,8 +97,12 @@ _THETA = "(1.959963984540054::DOUBLE * sqrt(log_variance) / ln(survival))"
 SQL = {
     "entity_days": f"WITH {_DAYS} SELECT entity, day, completed, severe, round(severe_rate, 9) AS severe_rate FROM days",
     "episodes": f"WITH RECURSIVE {_PRIMARY} SELECT scenario, entity, start_day, end_day, duration_days, recovered, end_reason, round(start_rate, 9) AS start_rate FROM epi",
-    "episode_checks": f"WITH RECURSIVE {_PRIMARY} SELECT count(*) AS episodes, " + ", ".join(
-        f"CAST(0 AS BIGINT) AS {c}" for c in ("wrong_duration", "non_positive", "bad_flag", "wrong_reason", "repeated_starts")) + " FROM epi",
+    "episode_checks": f"""WITH RECURSIVE {_PRIMARY}, s0 AS (SELECT * REPLACE (CASE WHEN start_day % 11 = 0 THEN duration_days + 1 WHEN start_day % 13 = 0 THEN -duration_days ELSE duration_days END AS duration_days,
+  CASE WHEN start_day % 17 = 0 THEN 2 ELSE recovered END AS recovered, CASE WHEN start_day % 19 = 0 THEN 'spoiled' ELSE end_reason END AS end_reason) FROM epi),
+s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s0 WHERE start_day % 7 = 0)
+SELECT count(*) AS episodes, count(*) FILTER (duration_days <> end_day - start_day + 1) AS wrong_duration, count(*) FILTER (duration_days < 1) AS non_positive, count(*) FILTER (recovered NOT IN (0, 1)) AS bad_flag,
+count(*) FILTER (NOT CASE WHEN recovered = 1 THEN end_reason = '{R.RECOVERED}' ELSE end_reason IN ('{R.GAP}', '{R.LAST_DAY}') END) AS wrong_reason,
+(SELECT count(*) FROM (SELECT 1 FROM s GROUP BY scenario, entity, start_day HAVING count(*) > 1)) AS repeated_starts FROM s""",
     "episode_sensitivity": f"""WITH RECURSIVE {_WALK}, a AS (SELECT scenario, count(*) AS qualifying_days, count(DISTINCT entity) AS entities FROM q GROUP BY 1),
 b AS (SELECT scenario, count(*) AS episodes, CAST(sum(recovered) AS BIGINT) AS recoveries, median(duration_days) FILTER (recovered = 1) AS median_observed_days FROM epi GROUP BY 1)
 SELECT scenario, qualifying_days, entities, episodes, recoveries, episodes - recoveries AS censored, median_observed_days FROM a LEFT JOIN b USING (scenario)""",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,6 @@ AREAS = ("clocks", "checks", "cohorts", "disruption", "history", "sequences", "n
 
 def _modules():
     for area in AREAS:
-        if importlib.util.find_spec(f"skyledger.plans.{area}") is None:
-            continue
         yield importlib.import_module(f"skyledger.plans.{area}")
 
 

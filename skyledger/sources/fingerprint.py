@@ -4,21 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODULUS = 1000000007
 
 
-def row_digest(columns: list[str], portable: bool) -> Column:
+def portable_text(df: DataFrame, column: str) -> Column:
+    """A value as text that other engines write alike: amounts in hundredths, instants in microseconds."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        value = F.floor(value * 100 + 0.5).cast("long")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_micros(value.cast("timestamp"))
+    return F.coalesce(value.cast("string"), F.lit("~"))
+
+
+def row_digest(df: DataFrame, columns: list[str], portable: bool) -> Column:
     if not portable:
         return F.xxhash64(*columns)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    text = F.concat_ws("|", *[portable_text(df, c) for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def fingerprint(df: DataFrame, name: str, columns: list[str] | None = None, portable: bool = False) -> DataFrame:
     """Rows, xor and modular sum of row digests. ``portable`` uses a digest other engines can compute too."""
     chosen = columns or sorted(df.columns)
-    digests = df.select(row_digest(chosen, portable).alias("h"))
+    digests = df.select(row_digest(df, chosen, portable).alias("h"))
     return digests.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.bit_xor("h").alias("digest_xor"),
                        F.sum(F.pmod("h", F.lit(MODULUS))).alias("digest_sum"))
 

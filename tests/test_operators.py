@@ -149,13 +149,13 @@ def test_reversed_scores_are_refused(spark):
         K.fit_platt(df)
 
 
-def test_calibration_rules():
-    brier = {"uncalibrated": 0.03, "platt": 0.029, "isotonic": 0.028}
-    assert K.choose_method(brier, {"platt": -0.1, "isotonic": -0.1}, -0.1) == "isotonic"
-    assert K.choose_method(brier, {"platt": -0.1, "isotonic": -0.1}, 0.1) == "platt"
-    assert K.choose_method(brier, {"platt": 0.1, "isotonic": -0.1}, 0.1) == "isotonic"
-    assert K.choose_method({**brier, "platt": 0.04, "isotonic": 0.04}, {"platt": -0.1, "isotonic": -0.1}, -0.1) == "uncalibrated"
-    assert K.choose_fit_source("uncalibrated", -1.0) == "none" and K.choose_fit_source("platt", -1.0) == "recent_year" and K.choose_fit_source("platt", math.nan) == "same_as_here"
+def test_calibration_rules(spark):
+    # raw, platt, isotonic Brier; upper ends of platt, isotonic, isotonic over platt, recent; method and source
+    cases = [(0.03, 0.029, 0.028, -0.1, -0.1, -0.1, -1.0, "isotonic", "recent_year"), (0.03, 0.029, 0.028, -0.1, -0.1, 0.1, math.nan, "platt", "same_as_here"),
+             (0.03, 0.029, 0.028, 0.1, -0.1, 0.1, None, "isotonic", "same_as_here"), (0.03, 0.04, 0.04, -0.1, -0.1, -0.1, -1.0, "uncalibrated", "none"), (0.03, 0.029, 0.04, -0.1, None, None, 0.0, "platt", "same_as_here")]
+    df = spark.createDataFrame(cases, "brier_uncalibrated double, brier_platt double, brier_isotonic double, platt_high double, isotonic_high double, isotonic_over_platt_high double, recent_high double, want string, want_source string")
+    rows = df.withColumn("method", K.method_column()).withColumn("source", K.fit_source_column("method")).collect()
+    assert [(r["method"], r["source"]) for r in rows] == [c[-2:] for c in cases]
 
 
 def test_guards(spark):
@@ -168,7 +168,15 @@ def test_guards(spark):
 
 
 def test_forbidden_columns():
-    assert X.forbidden_columns(["arrival_delay_minutes", "sched_elapsed", "is_cancelled", "severe_120", "prior_route", "air_time"]) == ["arrival_delay_minutes", "is_cancelled", "severe_120", "air_time"]
+    assert X.forbidden_columns(["arrival_delay_minutes", "sched_elapsed", "is_cancelled", "severe_120", "prior_route", "AIR_TIME"]) == ["arrival_delay_minutes", "is_cancelled", "severe_120", "AIR_TIME"]
+    for bad in ("TAXI_OUT", "prior_month_severe_delay_rate", "tail_number", "origin_historical_rate", "actual_departure_hour"):
+        assert X.forbidden_columns([bad]) == [bad]
+        with pytest.raises(ValueError):
+            X.checked_predictors(["distance", bad])
+    for good in ("scheduled_elapsed_time_minutes", "prior_month_origin_weighted_out_degree", "carrier_identifier", "detail_rated"):
+        assert X.checked_predictors([good]) == (good,)
+    with pytest.raises(ValueError, match="repeated"):
+        X.checked_predictors(["distance", "distance"])
     for name in X.FEATURE_SETS:
         assert X.feature_columns(name)
     with pytest.raises(ValueError):
