@@ -11,22 +11,41 @@ is counted again. Nulls, empty texts, repeated rows and empty tables are treated
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm import mixing, phrase_index, prefix_tree, repeats, toxicity
-from skyledger.llm.common import stage, table
+from skyledger.llm.common import discard, forget, grouped, stage, table
+
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def step(function: Step) -> Step:
+    """A stage's working tables are deleted when the next stage begins: by then its result is written."""
+    @functools.wraps(function)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, "pipeline")
+        with grouped("pipeline"):
+            return function(spark, docs, sf_dir)
+
+    return run_step
 
 
+@step
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, index).where(F.col("_score") < 0.5).select(*docs.columns)
 
 
+@step
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return prefix_tree.one_of_each(docs)
 
 
+@step
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = repeats.deduplicated(docs)
     removed, words = F.col(repeats.N_REMOVED), F.col(repeats.N_WORDS)
@@ -36,10 +55,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where((removed == 0) | (removed < words)).withColumns(changed).select(*docs.columns)
 
 
+@step
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return phrase_index.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@step
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
@@ -57,7 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
+    forget(spark, "pipeline")
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from skyledger.session import ensure_checkpoint_dir
 
 #: Bytes of text in one block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_SCHEMA = "block long, n_rows int, payload binary"
 _folders: dict[str, str] = {}
+_groups: dict[str, list[str]] = {}
+_open: list[str] = []
 
 
 def _run_folder(spark: SparkSession) -> str:
@@ -45,10 +48,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back; cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
+    if _open:
+        _groups[_open[-1]].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def grouped(name: str) -> Iterator[None]:
+    """Tables staged inside belong to the group ``name`` and live until it is forgotten."""
+    _groups.setdefault(name, [])
+    _open.append(name)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Delete the tables of a group: everything made from them has been written elsewhere."""
+    for path in _groups.pop(name, []):
+        _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read any more: all that came from it is staged itself."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import fold, stage, table
+from skyledger.llm.common import fold, stage, table, text_slices
 from skyledger.llm.words import LOWER, mix, texts_buffer
 
 #: An n-gram belongs to a language if it is at least this share of the language's training n-grams.
 MIN_SHARE = 1 / 50_000
 GRAM, HASHES, BITS_PER_GRAM, LANGUAGES = 4, 3, 16, 64
+#: Distinct n-grams of a language that a task holds before it sends them on.
+TASK_GRAMS = 1 << 20
 FOLDS, HELD_OUT = 4, 2
 
 _FOLD = LOWER.copy()
@@ -54,13 +56,32 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        langs = batch.column("lang").dictionary_encode()
-        codes = langs.indices.to_numpy(zero_copy_only=False)
-        for code, lang in enumerate(langs.dictionary.to_pylist()):
-            value, _ = grams(batch.column("text").filter(pa.array(codes == code)))
-            seen, count = np.unique(value, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(seen), pa.string()), "gram": pa.array(seen.astype(np.int64)), "n": pa.array(count.astype(np.int64))})
+        for part in text_slices(batch):
+            langs = part.column("lang").dictionary_encode()
+            codes = langs.indices.to_numpy(zero_copy_only=False)
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                value, _ = grams(part.column("text").filter(pa.array(codes == code)))
+                held[lang] = _added(held.get(lang), *np.unique(value, return_counts=True))
+                if len(held[lang][0]) > TASK_GRAMS:
+                    yield _gram_rows(lang, *held.pop(lang))
+    for lang, found in held.items():
+        yield _gram_rows(lang, *found)
+
+
+def _added(before: tuple[np.ndarray, np.ndarray] | None, value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if before is None:
+        return value, count
+    value, count = np.concatenate([before[0], value]), np.concatenate([before[1], count])
+    order = np.argsort(value, kind="stable")
+    value, count = value[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, int)
+    return value[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _gram_rows(lang: str, value: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(value), pa.string()), "gram": pa.array(value.astype(np.int64)), "n": pa.array(count.astype(np.int64))})
 
 
 @dataclass
@@ -116,16 +137,15 @@ def _decide(masks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         known = masks.value
         names = np.array([*known.languages, "und"], dtype=object)
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
-                text, letters = pa.concat_arrays([part.column("text")]), part.column("has_letter").to_numpy(zero_copy_only=False)
+            for part in text_slices(batch):
+                text, letters = part.column("text"), part.column("has_letter").to_numpy(zero_copy_only=False)
                 if known.languages:
                     best, score = decide(known, text)
                 else:
                     best, score = np.zeros(len(text), int), np.zeros(len(text))
                     letters = np.zeros(len(text), bool)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([part.column("doc_id")]), pa.concat_arrays([part.column("held_out")]), pa.array(names[np.where(letters, best, len(known.languages))], pa.string()),
+                    [part.column("doc_id"), part.column("held_out"), pa.array(names[np.where(letters, best, len(known.languages))], pa.string()),
                      pa.array(np.where(letters, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import stage, table
+from skyledger.llm.common import stage, table, text_slices
 from skyledger.llm.words import SPACE, full_windows, mix, run_hash, texts_buffer, window_hashes, words_of
 
 #: A line is above the limits if more than ``LINE_DOCS`` documents of its host and more than one in ``LINE_SHARE`` hold it.
@@ -103,9 +103,8 @@ def measure(ids: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first in range(0, batch.num_rows, 2000):
-            part = batch.slice(first, 2000)
-            yield measure(*(pa.concat_arrays([c]) for c in part.columns))
+        for part in text_slices(batch):
+            yield measure(*part.columns)
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -215,7 +215,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     branching = exchange.differing(opened.select("block", "open", "edges", "n_edges").mapInArrow(_send_nodes(buckets), exchange.SENT_SCHEMA))
     paths = stage(opened.join(branching.withColumnRenamed("block", "of"), F.col("block") == F.col("of"), "left").drop("of").mapInArrow(_paths(buckets), PATH_SCHEMA), "repeats-paths")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block", "row", "start")
-    firsts = paths.groupBy(F.col("digest").alias("d"), F.col("words").alias("w")).agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that both sides of the join are dealt anew and Spark can split a path that very many documents share.
+    firsts = stage(paths.groupBy(F.col("digest").alias("d"), F.col("words").alias("w")).agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeats-firsts")
     again = paths.join(firsts, (F.col("digest") == F.col("d")) & (F.col("words") == F.col("w"))).where((F.col("block") != F.col("first.block")) | (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     gone = again.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("row", "start", "words")).alias("gone"))
     schema = StructType([*docs.schema.fields]).add(KEPT, StringType()).add(N_WORDS, LongType()).add(N_REMOVED, LongType())

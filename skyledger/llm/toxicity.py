@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from skyledger.llm.common import fold, stage, table
+from skyledger.llm.common import fold, stage, table, text_slices
 from skyledger.llm.words import NOT_ALNUM, Words, mix, words_of
 
 MAX_EXAMPLES, MAX_TERMS, MIN_CHI = 4000, 3000, 30.0
@@ -229,9 +229,8 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
-                first, term, weight = index.vectors(pa.concat_arrays([part.column("text")]))
+            for part in text_slices(batch):
+                first, term, weight = index.vectors(part.column("text"))
                 score, evidence = np.full(part.num_rows, index.prior), []
                 for row in range(part.num_rows):
                     at = slice(first[row], first[row + 1])
