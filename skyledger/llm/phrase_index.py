@@ -6,9 +6,8 @@ lists of its terms, each moved back by the term's offset, beginning with the ter
 block that lacks one of the terms is passed over. Items come in batches of at most ``BATCH_WORDS`` words, which bounds
 what each task is sent; a longer benchmark takes more passes over the index and loses nothing.
 
-Words are letters (A-Z lower-cased), digits and all non-ASCII characters; a term is the 64-bit hash of a word. Only terms
-that an item has are kept when the index is built for a benchmark, for no other can be asked; without a vocabulary
-all are.
+Words are letters (A-Z lower-cased), digits and all non-ASCII characters; a term is the 64-bit hash of a word. The index
+holds every word of every document, so it serves any benchmark; ``vocabulary`` builds a smaller one for a known one.
 
 Defined cases: a null text has no words; items without words match nothing; null item ids read as the empty text; rows
 with equal ids are judged one by one, items with equal ids count once; empty tables give no rows or no hits. Only
@@ -198,10 +197,11 @@ def _search(shared, within: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, within: int = 0) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, within: int = 0, index: DataFrame | None = None) -> DataFrame:
     """A row for each document of ``docs``, plain or packed: merged ``spans`` of words hit (places in the document) and the ``items`` that hit.
 
     ``within`` asks for proximity instead of phrases: all words of a window, in any order, in a run of so many words.
+    ``index`` is one already built for ``docs``.
     """
     if within >= GAP:
         raise ValueError(f"within must be below {GAP}")
@@ -209,11 +209,9 @@ def matched(docs: DataFrame, benchmark: DataFrame, within: int = 0) -> DataFrame
     words = item_words(benchmark)
     total = words.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / BATCH_WORDS))
-    vocabulary = words.select(F.explode("terms").alias("term")).distinct()
     part = F.pmod(F.xxhash64("item", F.hash("terms")), F.lit(batches))
     results = []
-    whole = np.sort(vocabulary.toArrow()["term"].to_numpy().astype(np.int64).view(np.uint64)) if batches == 1 else None
-    index = build_index(docs, whole)
+    index = build_index(docs) if index is None else index
     counts = term_counts(index)
     for number in range(batches):
         own = words.where(part == number)

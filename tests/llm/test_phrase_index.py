@@ -63,6 +63,10 @@ def test_full_index_and_counts(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "B c")], "doc_id long, text string").coalesce(1)
     index = phrase_index.build_index(docs)
     assert sorted(r["n"] for r in phrase_index.term_counts(index).collect()) == [1, 2, 2]
+    known = np.sort(phrase_index.words_of(phrase_index.pa.array(["c zz a"]), phrase_index.NOT_ALNUM, lower=True).hashes())
+    assert sorted(r["n"] for r in phrase_index.term_counts(phrase_index.build_index(docs, known)).collect()) == [1, 2]
+    items = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    assert [len(r["spans"]) for r in sorted(phrase_index.matched(docs, items, index=index).collect())] == [0, 1]
 
 
 def test_proximity():
