@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import clocks as C
 from skyledger.functions.values import ratio
 from skyledger.operators.attach import attach_row
+from skyledger.operators.ordering import exact_quantiles, keyed_rank
 
 UNKNOWN_CODE = 0
 
@@ -88,12 +89,12 @@ def verify_prior_month(df: DataFrame, checks: dict[str, tuple[str, str | None]])
 def vocabulary(fit: DataFrame, columns: list[str], minimum: int) -> DataFrame:
     """Codes 1.. per column for levels with enough fit rows, most frequent first, ties by name.
 
-    One row per level; the window sorts levels, not data rows.
+    Levels are ranked in ranges, so a column may have any number of them.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in columns]))
     counts = fit.select(pairs.alias("p")).groupBy("p.column_name", "p.level").agg(F.count("*").alias("rows"))
     kept = counts.where(F.col("level").isNotNull() & (F.col("rows") >= minimum))
-    return kept.withColumn("code", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("rows"), "level")))
+    return keyed_rank(kept, ["column_name"], [("rows", True), "level"], "code").drop("code_size").withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,7 +115,9 @@ def unknown_report(encoded: DataFrame, columns: list[str], by: str) -> DataFrame
 
 def numeric_spec(fit: DataFrame, medians: list[str], logged: list[str]) -> DataFrame:
     """One row of medians, and mean and population deviation of log1p after median filling, from fit rows only."""
-    middle = fit.agg(*[F.median(c).alias(f"{c}_median") for c in medians])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in medians]))
+    found = exact_quantiles(fit.select(pairs.alias("p")).select("p.name", "p.value"), ["name"], "value", {"median": 0.5})
+    middle = found.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in medians])
     filled = attach_row(fit, middle)
     logs = {c: F.log1p(F.coalesce(F.col(c), F.col(f"{c}_median"))) for c in logged}
     spread = filled.agg(*[x for c, v in logs.items() for x in (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.values import nearest_count, ratio
 from skyledger.operators.attach import attach_row
 from skyledger.operators.ordering import equal_count_bins, exact_quantiles, keyed_rank, quantile_bins, running_totals
+from skyledger.session import stage
 
 MIN_EVENTS = 30  # fixed value: a group needs this many events and non-events for a ranking metric
 
@@ -263,10 +264,22 @@ def material_verdict(difference: Column, low: Column, high: Column, material: fl
             .otherwise("no_clear_change"))
 
 
+def _weighted_correlation(first: Column, second: Column, weight: Column) -> Column:
+    """Correlation of two columns that are centred well enough for sums of squares to be safe."""
+    n, a, b = F.sum(weight), F.sum(weight * first), F.sum(weight * second)
+    products = F.sum(weight * first * second) - a * b / n
+    return products / F.sqrt((F.sum(weight * first * first) - a * a / n) * (F.sum(weight * second * second) - b * b / n))
+
+
 def rank_correlation(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Spearman correlation with average ranks for ties."""
+    """Spearman correlation with average ranks for ties, and Pearson's. Rows shrink to counts per pair of values before
+    the ranks are joined, so a value that very many rows share is one row for each partner."""
     from skyledger.operators.ordering import average_rank
 
-    a, b = average_rank(df, [], first, "_ra"), average_rank(df, [], second, "_rb")
-    joined = df.select(first, second).join(a, first).join(b, second)
-    return joined.agg(F.count("*").alias("rows"), F.corr("_ra", "_rb").alias("spearman"), F.corr(first, second).alias("pearson"))
+    pairs = stage(df.groupBy(F.col(first).alias("_a"), F.col(second).alias("_b")).agg(F.count("*").alias("_w")))
+    middle = pairs.agg(F.sum("_w").alias("_rows"), (F.sum(F.col("_a") * F.col("_w")) / F.sum("_w")).alias("_ma"), (F.sum(F.col("_b") * F.col("_w")) / F.sum("_w")).alias("_mb"))
+    ranks = [average_rank(df.select(F.col(c).alias(n)), [], n, f"_r{n}") for c, n in ((first, "_a"), (second, "_b"))]
+    joined = attach_row(pairs.join(ranks[0], "_a").join(ranks[1], "_b"), middle)
+    centre, weight = (F.col("_rows") + 1) / 2.0, F.col("_w")
+    return joined.agg(F.max("_rows").alias("rows"), _weighted_correlation(F.col("_r_a") - centre, F.col("_r_b") - centre, weight).alias("spearman"),
+                      _weighted_correlation(F.col("_a") - F.col("_ma"), F.col("_b") - F.col("_mb"), weight).alias("pearson"))

@@ -2,8 +2,8 @@
 
 A window over a whole table, or over one very large group, runs in one task. Here rows are range-partitioned on
 (group, order) - so one hot group or one repeated value still spreads over many tasks as long as the order columns
-contain an id - the partitioned rows are checkpointed once, block totals give the offset of every block, and only
-the sort inside a block is local.
+contain an id - and written once as a table, whose small block totals give the offset of every block. Offsets are a
+table too, so Spark sees how small they are and sends them to the rows; only the sort inside a block is local.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.session import cut_lineage
+from skyledger.session import stage
 
 BLOCK = "_block"
 
@@ -22,9 +22,9 @@ def _sort_key(item: str | tuple[str, bool]) -> Column:
 
 
 def range_blocks(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Range-partition on keys then order, and fix each row's block number by a checkpoint."""
+    """Range-partition on keys then order, and fix each row's block number by writing it."""
     columns = [F.col(k).asc() for k in keys] + [_sort_key(o) for o in order]
-    return cut_lineage(df.repartitionByRange(*columns).withColumn(BLOCK, F.spark_partition_id()))
+    return stage(df.repartitionByRange(*columns).withColumn(BLOCK, F.spark_partition_id()))
 
 
 def block_offsets(blocked: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
@@ -36,11 +36,11 @@ def block_offsets(blocked: DataFrame, keys: list[str], totals: dict[str, Column]
     blocks = blocked.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in totals.items()])
     part = Window.partitionBy(*(keys or [F.lit(1)]))
     earlier = part.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select(
+    return stage(blocks.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_block"),
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names],
         *[F.sum(n).over(part).alias(f"_total_{n}") for n in names],
-    )
+    ))
 
 
 def _with_offsets(blocked: DataFrame, keys: list[str], offsets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.values import ratio
+from skyledger.operators.ordering import exact_quantiles
 
 
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,17 +31,11 @@ def categorical(df: DataFrame, columns: list[str], top: int) -> DataFrame:
 
 
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, range, mean and exact median per column. The profiled columns are whole numbers with a bounded range,
-    so the exact median holds a small value table; use ``ordering.exact_quantiles`` for continuous columns."""
-    out = []
-    for c in columns:
-        out += [F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"), F.avg(c).alias(f"{c}__mean"), F.median(c).alias(f"{c}__median")]
-    row = df.agg(*out)
-    pairs = F.explode(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("n"), *[F.col(f"{c}__{s}").cast("double").alias(s) for s in ("min", "max", "mean", "median")],
-    ) for c in columns]))
-    return row.select(pairs.alias("p")).select(F.col("p.column_name"), F.col("p.n").alias("non_missing"), F.col("p.min").alias("min_value"),
-                                               F.col("p.max").alias("max_value"), F.col("p.mean").alias("mean_value"), F.col("p.median").alias("median_value"))
+    """Count, range, mean and exact median per column. Medians come from value counts in order, so no task holds a column."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    long = df.select(pairs.alias("p")).select("p.column_name", "p.value")
+    row = long.groupBy("column_name").agg(F.count("value").alias("non_missing"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"))
+    return row.join(exact_quantiles(long, ["column_name"], "value", {"median_value": 0.5}), "column_name", "left")
 
 
 def date_coverage(df: DataFrame, day: str) -> DataFrame:
