@@ -23,7 +23,7 @@ from skyledger.llm.words import SPACE, full_windows, mix, run_hash, texts_buffer
 #: A line is above the limits if more than ``LINE_DOCS`` documents of its host and more than one in ``LINE_SHARE`` hold it.
 LINE_DOCS, LINE_SHARE = 5, 50
 #: What is left of a document must have this many words, and this many percent of its words.
-LEFT_WORDS, LEFT_PERCENT = 10, 30
+LEFT_WORDS, LEFT_PERCENT = 5, 30
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20

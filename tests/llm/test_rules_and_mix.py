@@ -26,7 +26,7 @@ def save(spark, tmp_path, name, rows, schema):
 
 BOILER = "all rights reserved by the owners of this site today"
 DOCS = [
-    *[(i, f"{BOILER}\nown words number {i} and more of them\n{BOILER if i % 2 else 'x'}", "s") for i in range(12)],
+    *[(i, f"{BOILER}\nown {i}\n{BOILER if i % 2 else 'x'}", "s") for i in range(12)],
     *[(100 + i, f"{BOILER.upper()}  \n  ", "s") for i in range(3)], (200, None, "s"), (201, "", None), (202, " \n\t", None), (203, "a b c d e " * 9, "t"), (203, "a b c d e " * 9, "t"),
     (None, "Ä#b $c\r\nÄ#b $c\r\n\nÄ#b $c\r\nÄ#b $c", None), (205, "one two three four five six seven eight nine ten|", None), (206, "w " * 3000, "u"),
 ]
