@@ -20,8 +20,8 @@ def volume_band(count: Column) -> Column:
 
 def dimensions(df: DataFrame, fit: DataFrame, top: int = 25) -> DataFrame:
     """One label per row for every dimension: quarter, carrier, busiest origins, route volume in the fit rows, hour band,
-    weekday, completeness against the fit levels, and score decile. Needs id, score, carrier, origin, destination, dep_hhmm,
-    sched_elapsed and flight_date."""
+    weekday, completeness (unseen levels, and any missing number among both clocks, duration and distance), and score decile.
+    Needs id, score, carrier, origin, destination, dep_hhmm, arr_hhmm, sched_elapsed, distance and flight_date."""
     route = F.concat_ws("-", "origin", "destination")
     busiest = df.groupBy("origin").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "origin").limit(top).select("origin", F.lit(1).alias("_top"))
     volume = fit.groupBy(route.alias("route")).agg(F.count("*").alias("_volume"))
@@ -29,7 +29,7 @@ def dimensions(df: DataFrame, fit: DataFrame, top: int = 25) -> DataFrame:
     work = df.withColumn("route", route).join(F.broadcast(busiest), "origin", "left").join(volume, "route", "left").join(carriers, "carrier", "left")
     work = work.withColumn("_minutes", C.clock_minutes(F.col("dep_hhmm"), accept_2400=False))
     unseen = F.col("_seen").isNull() | F.col("_volume").isNull()
-    absent = F.col("_minutes").isNull() | F.col("sched_elapsed").isNull()
+    absent = F.col("_minutes").isNull() | C.clock_minutes(F.col("arr_hhmm"), accept_2400=False).isNull() | F.col("sched_elapsed").isNull() | F.col("distance").isNull()
     hour = C.clock_parts(F.col("_minutes"))["hour"]
     labelled = work.select(
         *df.columns,

@@ -176,8 +176,24 @@ def roles(df: DataFrame, b: Boundaries = BOUNDARIES, early_stop: bool = True) ->
     return df.withColumn("role", role)
 
 
+#: The roles in the order in which they must follow each other.
+ROLE_ORDER = ("fit", "early_stop", "validation", "final_test")
+
+
 def role_spans(df: DataFrame) -> DataFrame:
-    return df.groupBy("role").agg(F.count("*").alias("rows"), F.min("prediction_utc").alias("first_utc"), F.max("prediction_utc").alias("last_utc"))
+    """Rows and span of each role, and whether it ends before the next role present begins: strictly, no shared instant."""
+    spans = df.groupBy("role").agg(F.count("*").alias("rows"), F.min("prediction_utc").alias("first_utc"), F.max("prediction_utc").alias("last_utc"))
+    place = F.array_position(F.array(*[F.lit(r) for r in ROLE_ORDER]), F.col("role"))
+    following = F.lead("first_utc").over(Window.orderBy(place))  # one row for each role
+    return spans.withColumn("ends_before_next", F.coalesce(F.col("last_utc") < following, F.lit(True)))
+
+
+def require_chronology(spans: DataFrame) -> DataFrame:
+    """The spans, unless a role reaches into the next one."""
+    late = [r["role"] for r in spans.where(~F.col("ends_before_next")).select("role").collect()]
+    if late:
+        raise ValueError(f"roles that do not end before the next one begins: {sorted(late)}")
+    return spans
 
 
 def expanding_roles(second: Column, year: int, stop_months: int = 6) -> Column:

@@ -197,6 +197,26 @@ def csv_round_trip(spark, folder):
     return attach_row(counts, text.agg(F.sum(F.col("dep_hhmm").try_cast("double").isNull().cast("long")).alias("blank_clocks")))
 
 
+# What the flight view has of the raw file's columns; the others are blank in it.
+RAW_FROM_VIEW = {
+    "FL_DATE": "flight_date", "AIRLINE_CODE": "carrier_code", "FL_NUMBER": "flight_number", "ORIGIN": "origin", "ORIGIN_CITY": "origin_city", "DEST": "destination", "DEST_CITY": "destination_city",
+    "CRS_DEP_TIME": "dep_hhmm", "DEP_DELAY": "dep_delay", "CRS_ARR_TIME": "arr_hhmm", "ARR_TIME": "reported_arr_hhmm", "ARR_DELAY": "arr_delay", "CANCELLED": "cancelled", "DIVERTED": "diverted",
+    "CRS_ELAPSED_TIME": "sched_elapsed", "ELAPSED_TIME": "elapsed", "DISTANCE": "distance"}
+
+
+def raw_flights(spark, folder):
+    """A raw flight file with all its columns, written as CSV, read as text, brought to canonical names and types, and summed up."""
+    df = flights(spark, folder, *dict.fromkeys(RAW_FROM_VIEW.values()))
+    path = scratch_folder(spark)
+    raw = df.select(*[(F.col(RAW_FROM_VIEW[c]).cast("string") if c in RAW_FROM_VIEW else F.lit("")).alias(c) for c in files.RAW_FLIGHT_COLUMNS])
+    files.write_csv(raw, path)
+    typed = files.canonical_flights(files.read_csv_text(spark, path, raw.columns, raw.columns))
+    numbers = ("scheduled_departure_time_local_hhmm", "arrival_delay_minutes", "cancelled_indicator", "distance_miles", "scheduled_elapsed_minutes")
+    filled = [name for name, _ in files.RAW_FLIGHT_COLUMNS.values()]
+    return typed.groupBy("reporting_airline_code").agg(
+        F.count("*").alias("rows"), F.min("flight_date_local").cast("string").alias("first_day"), *[F.sum(c).alias(f"sum_{c}") for c in numbers], *[F.count(c).alias(f"filled_{c}") for c in filled if c != "reporting_airline_code"])
+
+
 def published_table(spark, folder):
     """Publish a typed Parquet table through a checked staging folder and read it with a pushed filter."""
     df = labelled(spark, folder).withColumn("split", L.date_split(F.col("flight_date")))
@@ -224,7 +244,7 @@ def zone_dimension(spark, folder):
 QUERIES = {f.__name__: f for f in (
     standardise, binary_clean, select_features, table_alignment, row_equality, id_set_diff, guard_violations, fixed_lead, key_uniqueness,
     label_audit, missingness_profile, categorical_profile, numeric_profile, date_coverage, airport_coverage, carrier_mapping, entity_coverage,
-    table_fingerprint, null_rates, unseen_categories, airport_universe, stacked_tables, score_alignment, csv_round_trip, published_table, zone_dimension)}
+    table_fingerprint, null_rates, unseen_categories, airport_universe, stacked_tables, score_alignment, csv_round_trip, raw_flights, published_table, zone_dimension)}
 
 _LEFT = "lt AS (SELECT flight_id, flight_date, dep_hhmm FROM flights WHERE flight_number % 113 <> 0)"
 _RIGHT = """rt AS (SELECT flight_id, CASE WHEN flight_number % 131 = 0 THEN flight_date + 1 ELSE flight_date END AS flight_date,
@@ -324,6 +344,9 @@ count(*) FILTER (flight_number % 101 <> 0 AND flight_number % 103 = 0) AS label_
 round(sum(score) FILTER (flight_number % 101 <> 0), 6) AS score_sum FROM flights WHERE cancelled = 0 AND diverted = 0 AND arr_delay IS NOT NULL""",
     "csv_round_trip": f"""WITH {FLIGHTS} SELECT upper(trim(carrier_code)) AS carrier_code, count(*) AS rows, CAST(min(flight_date) AS STRING) AS first_day, count(*) FILTER (cancelled = 1) AS cancelled_events,
 sum(arr_delay) AS delay_sum, (SELECT count(*) FILTER (dep_hhmm IS NULL) FROM flights) AS blank_clocks FROM flights GROUP BY 1""",
+    "raw_flights": f"WITH {FLIGHTS} SELECT upper(trim(carrier_code)) AS reporting_airline_code, count(*) AS rows, CAST(min(flight_date) AS STRING) AS first_day, sum(dep_hhmm) AS sum_scheduled_departure_time_local_hhmm, "
+        "sum(arr_delay) AS sum_arrival_delay_minutes, sum(cancelled) AS sum_cancelled_indicator, sum(distance) AS sum_distance_miles, sum(sched_elapsed) AS sum_scheduled_elapsed_minutes, " + ", ".join(
+        (f"count({RAW_FROM_VIEW[c]})" if c in RAW_FROM_VIEW else "CAST(0 AS BIGINT)") + f" AS filled_{name}" for c, (name, _) in files.RAW_FLIGHT_COLUMNS.items() if c != "AIRLINE_CODE") + " FROM flights GROUP BY 1",
     "published_table": f"""WITH {FLIGHTS} SELECT CAST(arr_delay >= 120 AS INT) AS severe_120, count(*) AS rows, sum(arr_delay) AS delay_sum FROM flights
 WHERE year(flight_date) = 2000 AND cancelled = 0 AND diverted = 0 AND arr_delay IS NOT NULL GROUP BY 1""",
     "zone_dimension": f"WITH {FLIGHTS} SELECT {_ZONE_CASE.format('origin')} AS from_zone, {_ZONE_CASE.format('destination')} AS to_zone, count(*) AS rows FROM flights GROUP BY 1, 2",

@@ -73,7 +73,7 @@ def _development(spark, folder):
 
 def roles(spark, folder):
     kept = cohort_frame(spark, folder).where(~F.col("embargoed") & F.col("eligible_severe"))
-    staged = L.role_spans(L.roles(kept)).withColumn("protocol", F.lit("early_stop"))
+    staged = L.require_chronology(L.role_spans(L.roles(kept))).withColumn("protocol", F.lit("early_stop"))
     return staged.unionByName(L.role_spans(L.roles(kept, early_stop=False)).withColumn("protocol", F.lit("all_development")))
 
 
@@ -136,8 +136,8 @@ FROM (SELECT {column} AS split, count(*) AS rows, min(prediction_utc) AS min_utc
 
 
 def _role_sql(protocol: str, development: str) -> str:
-    return f"""SELECT '{protocol}' AS protocol, CASE WHEN split = 'validation' THEN 'validation' WHEN split = 'final_test_locked' THEN 'final_test' {development} END AS role,
-count(*) AS rows, min(prediction_utc) AS first_utc, max(prediction_utc) AS last_utc FROM cohort WHERE split <> 'embargoed_boundary' AND completed GROUP BY 2"""
+    return f"""SELECT *, coalesce(last_utc < lead(first_utc) OVER (ORDER BY list_position(['fit', 'early_stop', 'validation', 'final_test'], role)), true) AS ends_before_next FROM (SELECT '{protocol}' AS protocol, CASE WHEN split = 'validation' THEN 'validation' WHEN split = 'final_test_locked' THEN 'final_test' {development} END AS role,
+count(*) AS rows, min(prediction_utc) AS first_utc, max(prediction_utc) AS last_utc FROM cohort WHERE split <> 'embargoed_boundary' AND completed GROUP BY 2)"""
 
 
 def _window_sql(year: int) -> str:

@@ -14,7 +14,7 @@ from skyledger.plans.oracle_views import FLIGHTS, div
 from skyledger.sources.adapters import flights
 
 OUTCOME = ("flight_date", "cancelled", "diverted", "arr_delay")
-PERMUTATIONS = 200
+PERMUTATIONS = 20_000
 METRICS = ["cancellation_pct", "severe_pct", "mean_delay"]
 
 

@@ -22,10 +22,10 @@ POINTS = {"capacity_0_5pct": 0.005, "capacity_1pct": 0.01, "capacity_5pct": 0.05
 SCHEMES = {"whole_period": [], "by_month": ["month"], "by_day": ["day"]}
 EDGES = [120.0, 150.0, 180.0, 210.0]
 RATIOS = [1.0, 5.0, 10.0, 50.0]
-REPLICATES = 40
+REPLICATES = 1000
 BASE_DIMENSIONS = {"quarter": "quarter", "carrier": "carrier", "origin": "origin_group", "route_volume": "route_volume", "departure_hours": "departure_hours",
                    "weekday": "weekday", "completeness": "completeness", "score_decile": "score_decile"}
-CONTEXT = ("carrier", "origin", "destination", "dep_hhmm", "sched_elapsed")
+CONTEXT = ("carrier", "origin", "destination", "dep_hhmm", "arr_hhmm", "sched_elapsed", "distance")
 
 
 def _round(df, *columns, digits=9):
@@ -331,7 +331,7 @@ _DIM = _VAL + f""", dev AS (SELECT * FROM scored WHERE period = 'development'),
 top AS (SELECT origin FROM v GROUP BY 1 ORDER BY count(*) DESC, origin LIMIT 10), vol AS (SELECT origin, destination, count(*) AS vn FROM dev GROUP BY 1, 2), seen AS (SELECT DISTINCT carrier FROM dev),
 rk AS (SELECT v.*, vn, seen.carrier AS sc, top.origin AS tp, row_number() OVER (ORDER BY score, flight_id) AS r, count(*) OVER () AS c FROM v LEFT JOIN vol ON vol.origin = v.origin AND vol.destination = v.destination
   LEFT JOIN seen ON seen.carrier = v.carrier LEFT JOIN top ON top.origin = v.origin),
-dm AS (SELECT *, CAST(greatest(1, ceil((r - 1) * 10 / greatest(c - 1, 1)::DOUBLE - 1e-9)) AS INT) AS dc, sc IS NULL OR vn IS NULL AS un, dep_hhmm IS NULL OR dep_hhmm = 2400 OR sched_elapsed IS NULL AS ms FROM rk),
+dm AS (SELECT *, CAST(greatest(1, ceil((r - 1) * 10 / greatest(c - 1, 1)::DOUBLE - 1e-9)) AS INT) AS dc, sc IS NULL OR vn IS NULL AS un, dep_hhmm IS NULL OR dep_hhmm = 2400 OR arr_hhmm IS NULL OR arr_hhmm = 2400 OR sched_elapsed IS NULL OR distance IS NULL AS ms FROM rk),
 dim AS (SELECT flight_id, label, score, score * 0.4 AS probability, carrier, year(flight_date) || 'Q' || quarter(flight_date) AS quarter, coalesce(tp, 'all other airports') AS origin_group,
   CASE WHEN vn IS NULL THEN 'unseen route' WHEN vn < 100 THEN '1-99' WHEN vn < 1000 THEN '100-999' ELSE '1000 or more' END AS route_volume,
   CASE WHEN dep_hhmm IS NULL OR dep_hhmm = 2400 THEN 'unknown' WHEN {_HOUR} < 6 THEN '00-05' WHEN {_HOUR} < 10 THEN '06-09' WHEN {_HOUR} < 14 THEN '10-13' WHEN {_HOUR} < 18 THEN '14-17' ELSE '18-23' END AS departure_hours,

@@ -32,6 +32,49 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str], keep: list
     return df.select(*(keep or columns))
 
 
+# The columns of the raw flight file and the names and roles that they get.
+RAW_FLIGHT_COLUMNS = {
+    "FL_DATE": ("flight_date_local", "date"),
+    "AIRLINE": ("airline_name", "category"),
+    "AIRLINE_DOT": ("airline_dot_name", "category"),
+    "AIRLINE_CODE": ("reporting_airline_code", "code"),
+    "DOT_CODE": ("reporting_airline_dot_id", "int"),
+    "FL_NUMBER": ("flight_number", "int"),
+    "ORIGIN": ("origin_airport", "code"),
+    "ORIGIN_CITY": ("origin_city", "category"),
+    "DEST": ("destination_airport", "code"),
+    "DEST_CITY": ("destination_city", "category"),
+    "CRS_DEP_TIME": ("scheduled_departure_time_local_hhmm", "double"),
+    "DEP_TIME": ("actual_departure_time_local_hhmm", "double"),
+    "DEP_DELAY": ("departure_delay_minutes", "double"),
+    "TAXI_OUT": ("taxi_out_minutes", "double"),
+    "WHEELS_OFF": ("wheels_off_time_local_hhmm", "double"),
+    "WHEELS_ON": ("wheels_on_time_local_hhmm", "double"),
+    "TAXI_IN": ("taxi_in_minutes", "double"),
+    "CRS_ARR_TIME": ("scheduled_arrival_time_local_hhmm", "double"),
+    "ARR_TIME": ("actual_arrival_time_local_hhmm", "double"),
+    "ARR_DELAY": ("arrival_delay_minutes", "double"),
+    "CANCELLED": ("cancelled_indicator", "double"),
+    "CANCELLATION_CODE": ("cancellation_reason_code", "code"),
+    "DIVERTED": ("diverted_indicator", "double"),
+    "CRS_ELAPSED_TIME": ("scheduled_elapsed_minutes", "double"),
+    "ELAPSED_TIME": ("actual_elapsed_minutes", "double"),
+    "AIR_TIME": ("air_time_minutes", "double"),
+    "DISTANCE": ("distance_miles", "double"),
+    "DELAY_DUE_CARRIER": ("delay_due_carrier_minutes", "double"),
+    "DELAY_DUE_WEATHER": ("delay_due_weather_minutes", "double"),
+    "DELAY_DUE_NAS": ("delay_due_national_air_system_minutes", "double"),
+    "DELAY_DUE_SECURITY": ("delay_due_security_minutes", "double"),
+    "DELAY_DUE_LATE_AIRCRAFT": ("delay_due_late_aircraft_minutes", "double"),
+}
+
+
+def canonical_flights(raw: DataFrame) -> DataFrame:
+    """The raw flight file, all text, under its canonical names and types; a missing column is an error."""
+    require_columns(raw, RAW_FLIGHT_COLUMNS, "raw flight file")
+    return raw.select(*[CONVERSIONS[role](F.col(c)).alias(name) for c, (name, role) in RAW_FLIGHT_COLUMNS.items()])
+
+
 def read_csv_typed(spark: SparkSession, path: str, columns: list[str], types: dict[str, str]) -> DataFrame:
     """Columns named in ``types`` (name to role), converted in one projection; unusable values become null."""
     unknown = sorted(set(types.values()) - set(CONVERSIONS))
