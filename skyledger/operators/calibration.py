@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.values import clip_probability, from_logit, to_logit
 from skyledger.operators.schema import enforce, period_guard
-from skyledger.session import cut_lineage
+from skyledger.session import cut_lineage, stage
 
 METHODS = ("uncalibrated", "platt", "isotonic")
 
@@ -84,6 +84,34 @@ def calibration_slope(df: DataFrame, probability: str, label: str = "label") ->
     return fit_logistic(counts).slope, fit_logistic(counts, slope=False).intercept
 
 
+def grouped_slopes(df: DataFrame, keys: list[str], probability: str, label: str = "label", max_iter: int = 60, tol: float = 1e-9) -> DataFrame:
+    """``calibration_slope`` and ``calibration_in_the_large`` of every key at once; null where a class is missing.
+
+    All keys take a reweighted least-squares step together on counts per distinct probability; the state is one row for
+    each key. A key stops moving when it is fitted, and the last one to move ends the loop.
+    """
+    score = F.col(probability).cast("double")
+    counts = stage(df.groupBy(*keys, to_logit(score).alias("z")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("e")))
+    both = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum("e").alias("_e")).where((F.col("_e") > 0) & (F.col("_e") < F.col("_n")))
+    state = stage(both.select(*keys, F.log(F.col("_e") / (F.col("_n") - F.col("_e"))).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("level")))
+    for _ in range(max_iter):
+        work = counts.join(state, keys)
+        eta, shifted = F.col("a") + F.col("b") * F.col("z"), F.col("level") + F.col("z")
+        weight, flat = (F.col("n") * from_logit(x) * (1 - from_logit(x)) for x in (eta, shifted))
+        response = weight * eta + F.col("e") - F.col("n") * from_logit(eta)
+        sums = work.groupBy(*keys, "a", "b", "level").agg(
+            F.sum(weight).alias("w"), F.sum(weight * F.col("z")).alias("wz"), F.sum(weight * F.col("z") * F.col("z")).alias("wzz"), F.sum(response).alias("r"), F.sum(response * F.col("z")).alias("rz"),
+            (F.sum(F.col("e") - F.col("n") * from_logit(shifted)) / F.sum(flat)).alias("shift"))
+        new_b = (F.col("w") * F.col("rz") - F.col("wz") * F.col("r")) / (F.col("w") * F.col("wzz") - F.col("wz") * F.col("wz"))
+        moved = sums.withColumn("nb", new_b).withColumn("na", (F.col("r") - F.col("nb") * F.col("wz")) / F.col("w"))
+        step = F.greatest(F.abs(F.col("na") - F.col("a")), F.abs(F.col("nb") - F.col("b")), F.abs(F.col("shift")))
+        state = stage(moved.select(*keys, F.col("na").alias("a"), F.col("nb").alias("b"), (F.col("level") + F.col("shift")).alias("level"), step.alias("step")))
+        if (state.agg(F.max("step")).first()[0] or 0.0) < tol:
+            break
+        state = state.drop("step")
+    return state.select(*keys, F.col("b").alias("calibration_slope"), F.col("level").alias("calibration_in_the_large"))
+
+
 def fit_isotonic(df: DataFrame, score: str = "score", label: str = "label") -> IsotonicRegressionModel:
     """Monotone step fit on distinct scores, weighted by their rows."""
     grouped = df.groupBy(F.col(score).cast("double").alias("_x")).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))

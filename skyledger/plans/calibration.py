@@ -12,7 +12,7 @@ from skyledger.operators.attach import attach_row
 from skyledger.operators.labels import seconds_of
 from skyledger.plans.evaluation import REPLICATES
 from skyledger.plans.oracle_views import SCORED
-from skyledger.session import cut_lineage
+from skyledger.session import cut_lineage, stage
 from skyledger.sources.adapters import scored
 
 FLOOR = 1e-6
@@ -67,14 +67,20 @@ def calibration_experiments(spark, folder):
     valid = df.where(F.col("period") == "validation")
     recent = K.calibrate(valid.where(F.col("half") == "selection"), valid.where(F.col("half") == "confirmation"), "second", seconds_of("2001-01-01"))
 
-    def table(source, name, span):
+    def long(source, name, span):
         methods = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("probability")) for m in K.METHODS]))
-        long = source.select("flight_id", "label", span.alias("span"), methods.alias("m")).select("flight_id", "label", "span", "m.*")
-        return M.probability_metrics(long, ["method", "span"], F.lit(rate)).withColumn("experiment", F.lit(name))
-
-    parts = [table(held, "older_rows", F.col("half")), table(held, "older_rows", F.col("quarter")), table(held, "older_rows", F.lit("full_year")), table(recent, "recent_rows", F.col("half"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return out.withColumns({c: F.round(c, 8) for c in ("brier", "brier_constant", "mean_predicted", "brier_skill", "predicted_to_observed")})
+        return source.select("flight_id", "label", F.lit(name).alias("experiment"), span.alias("span"), methods.alias("m")).select("flight_id", "label", "experiment", "span", "m.*")
+
+    parts = [long(held, "older_rows", F.col("half")), long(held, "older_rows", F.col("quarter")), long(held, "older_rows", F.lit("full_year")), long(recent, "recent_rows", F.col("half"))]
+    rows = stage(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    keys = ["experiment", "method", "span"]
+    out = M.probability_metrics(rows, keys, F.lit(rate))
+    for more in (M.binary_metrics(rows, keys, "probability").select(*keys, "prevalence", "pr_auc", "roc_auc"), M.calibration_error(M.reliability(rows, keys), keys),
+                 rows.groupBy(*keys).agg(F.countDistinct("probability").alias("distinct_scores"))):
+        out = out.join(more, keys)
+    out = out.join(K.grouped_slopes(rows, keys, "probability"), keys, "left")
+    return out.withColumns({c: F.round(c, 8) for c in ("brier", "brier_constant", "mean_predicted", "brier_skill", "predicted_to_observed", "prevalence", "pr_auc", "roc_auc", "ece")}).withColumns(
+        {c: F.round(c, 6) for c in ("calibration_slope", "calibration_in_the_large")})
 
 
 def calibration_choice(spark, folder):

@@ -143,6 +143,16 @@ def test_logistic_fit_recovers_known_values(spark):
     assert np.mean(1 / (1 + np.exp(-(level.intercept + z)))) == pytest.approx(y.mean(), abs=1e-6)
 
 
+def test_grouped_slopes_match_single_fits(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(p), int(rng.random() < p * s)) for g, s in (("a", 0.9), ("b", 0.6)) for p in rng.uniform(0.05, 0.9, 400)] + [("none", 0.2, 0), ("none", 0.4, 0)]
+    df = spark.createDataFrame(rows, "g string, p double, label int")
+    got = {r["g"]: (r["calibration_slope"], r["calibration_in_the_large"]) for r in K.grouped_slopes(df, ["g"], "p").collect()}
+    assert set(got) == {"a", "b"}
+    for g, pair in got.items():
+        assert pair == pytest.approx(K.calibration_slope(df.where(F.col("g") == g), "p"), abs=1e-7)
+
+
 def test_reversed_scores_are_refused(spark):
     df = spark.createDataFrame([(0.1, 1), (0.2, 1), (0.2, 0), (0.8, 0), (0.9, 0), (0.9, 1)] * 5, "score double, label int")
     with pytest.raises(ValueError, match="not positive"):
