@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from skyledger.operators.attach import attach_row
 from skyledger.operators.baselines import apply_rate, rate_table
-from skyledger.operators.schema import MISSING_LEVEL, checked_predictors
+from skyledger.operators.metrics import binary_metrics
+from skyledger.operators.schema import MISSING_LEVEL, checked_predictors, enforce
 from skyledger.session import ensure_checkpoint_dir
 
 
@@ -159,13 +160,21 @@ def sample_settings(base: TreeSettings, space: dict[str, list], draws: int, seed
     return [base, *(others[i] for i in random.Random(seed).sample(range(len(others)), draws))]
 
 
-def reproduction(first: DataFrame, second: DataFrame, identity: str = "flight_id") -> DataFrame:
-    """One row: how far the scores of a refit are from stored scores of the same rows."""
-    a, b = first.select(identity, F.col("score").alias("_a")), second.select(identity, F.col("score").alias("_b"))
+def reproduction(stored: DataFrame, refit: DataFrame, identity: str = "flight_id") -> DataFrame:
+    """One row: how far the scores of a refit are from stored scores of the same rows, and the difference of their average precision."""
+    a, b = stored.select(identity, F.col("score").alias("_a")), refit.select(identity, F.col("score").alias("_b"))
     joined = a.join(b, identity, "full_outer")
     gap = F.abs(F.col("_a") - F.col("_b"))
-    return joined.agg(F.count("*").alias("rows"), F.sum((F.col("_a").isNull() | F.col("_b").isNull()).cast("long")).alias("unmatched"),
-                      F.max(gap).alias("largest_difference"), F.avg(gap).alias("mean_difference"))
+    scores = joined.agg(F.count("*").alias("rows"), F.sum((F.col("_a").isNull() | F.col("_b").isNull()).cast("long")).alias("unmatched"),
+                        F.max(gap).alias("largest_difference"), F.avg(gap).alias("mean_difference"))
+    both = stored.select("score", "label", F.lit("stored").alias("of")).unionByName(refit.select("score", "label", F.lit("refit").alias("of")))
+    area = binary_metrics(both, ["of"]).agg(F.abs(F.max(F.when(F.col("of") == "stored", F.col("pr_auc"))) - F.max(F.when(F.col("of") == "refit", F.col("pr_auc")))).alias("pr_auc_difference"))
+    return attach_row(scores, area)
+
+
+def require_reproduction(report: DataFrame, tolerance: float) -> DataFrame:
+    """The report, unless rows are missing or the average precision is off by more than the tolerance."""
+    return enforce(report, {"the same rows": F.col("unmatched") == 0, "the stored average precision": F.col("pr_auc_difference") <= tolerance})
 
 
 # Families of features for contribution summaries.

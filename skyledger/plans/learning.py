@@ -20,7 +20,8 @@ from skyledger.operators import resampling as R
 from skyledger.operators import schema as X
 from skyledger.plans.cohorts import _COHORT, SHOCK_YEAR, cohort_frame
 from skyledger.plans.evaluation import REPLICATES
-from skyledger.session import cut_lineage
+from skyledger.session import cut_lineage, scratch_folder, stage
+from skyledger.sources import files
 from skyledger.sources.adapters import flights
 
 NUMERIC = ("departure_month", "departure_day_of_week", "dep_hour", "dep_minute", "arr_hour", "arr_minute", "distance", "sched_elapsed")
@@ -104,10 +105,12 @@ def gbt_scores(spark, folder):
 
 
 def refit_check(spark, folder):
-    """Two fits with the same rows, settings and seed give the same scores."""
+    """A refit against the stored scores of an earlier fit with the same rows, settings and seed."""
     fit, stop, valid = _parts(model_frame(spark, folder))
-    first, second = (cut_lineage(T.score_trees(T.fit_trees(fit, stop, TREES, LABEL, SMALL), valid).select("flight_id", "score")) for _ in range(2))
-    return T.reproduction(first, second)
+    scored = (T.score_trees(T.fit_trees(fit, stop, TREES, LABEL, SMALL), valid).select("flight_id", F.col(LABEL).alias("label"), "score") for _ in range(2))
+    path = scratch_folder(spark)
+    files.publish(next(scored), path)
+    return T.require_reproduction(T.reproduction(files.read_parquet(spark, path, ["flight_id", "label", "score"]), stage(next(scored))), 1e-9)
 
 
 LADDER = {
@@ -232,5 +235,5 @@ _VALID = f"{_COHORT}, k AS (SELECT count(*) AS rows FROM cohort WHERE split = 'v
 
 SQL = {
     "contribution_check": f"WITH {_VALID} SELECT rows, 0.0::DOUBLE AS largest_gap FROM k",
-    "refit_check": f"WITH {_VALID} SELECT rows, CAST(0 AS BIGINT) AS unmatched, 0.0::DOUBLE AS largest_difference, 0.0::DOUBLE AS mean_difference FROM k",
+    "refit_check": f"WITH {_VALID} SELECT rows, CAST(0 AS BIGINT) AS unmatched, 0.0::DOUBLE AS largest_difference, 0.0::DOUBLE AS mean_difference, 0.0::DOUBLE AS pr_auc_difference FROM k",
 }
