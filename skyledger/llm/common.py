@@ -17,6 +17,8 @@ from skyledger.session import ensure_checkpoint_dir
 
 #: Bytes of text in one block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Rows in one block at most; row numbers have room for twice as many.
+BLOCK_ROWS = 1 << 13
 BLOCK_SCHEMA = "block long, n_rows int, payload binary"
 _folders: dict[str, str] = {}
 _groups: dict[str, list[str]] = {}
@@ -98,11 +100,11 @@ def from_payload(payload) -> pa.Table:
 
 
 def text_slices(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch with a column ``text`` into compact ones of at most ``most`` bytes of text, or one longer text."""
+    """Cut a batch with a column ``text`` into compact ones of at most ``most`` bytes and ``BLOCK_ROWS`` texts, or one longer text."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_pylist()
     first, held = 0, 0
     for row, size in enumerate(sizes):
-        if row > first and held + size > most:
+        if row > first and (held + size > most or row - first == BLOCK_ROWS):
             yield _compact(batch, first, row)
             first, held = row, 0
         held += size
@@ -114,6 +116,13 @@ def _compact(batch: pa.RecordBatch, first: int, last: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(first, last - first)]) for c in batch.columns], schema=batch.schema)
 
 
+def row_values(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The named values of each row, one row at a time, as rows of blocks are large."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield tuple(batch.column(c)[row].as_py() for c in columns)
+
+
 def numbered_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The slices of all batches of a task, each with a number that no other task gives."""
     partition, serial = TaskContext.get().partitionId(), 0

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import from_payload, numbered_slices, pack, stage, table
 from skyledger.llm.words import NOT_ALNUM, words_of
 
-WINDOW, GAP, BATCH_WORDS = 10, 128, 1 << 20
+WINDOW, GAP, BATCH_WORDS = 10, 128, 1 << 18
 INDEX_SCHEMA = "block long, ids array<long>, n_words array<long>, terms binary, counts binary, places binary"
 MATCH_SCHEMA = "block long, row int, doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))

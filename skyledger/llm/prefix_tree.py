@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm import exchange
-from skyledger.llm.common import from_payload, pack, shuffle_width, stage, table
+from skyledger.llm.common import from_payload, pack, row_values, shuffle_width, stage, table
 from skyledger.llm.linking import components
 from skyledger.llm.words import mix, run_hash, window_hashes, words_of
 
@@ -88,7 +88,7 @@ class Sets:
 
 
 def row_ids(block: int, n: int) -> np.ndarray:
-    """Numbers of a block's rows: task, block in the task, row. A block has below 2 ** 14 rows."""
+    """Numbers of a block's rows: task, block in the task, row. A block has at most ``BLOCK_ROWS`` rows, below 2 ** 14."""
     return ((block >> 32) << 40) + ((block & 0xFFFFFFFF) << 14) + np.arange(n, dtype=np.int64)
 
 
@@ -96,14 +96,8 @@ def block_of(number):
     return F.shiftright(number, 40) * F.lit(1 << 32) + F.shiftright(number, 14).bitwiseAND(F.lit((1 << 26) - 1))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            yield tuple(batch.column(c)[row].as_py() for c in columns)
-
-
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, payload in _rows(batches, "block", "payload"):
+    for block, payload in row_values(batches, "block", "payload"):
         rows = from_payload(payload)
         sets = Sets(rows["text"])
         one, two = sets.signatures()
@@ -120,7 +114,7 @@ def _send(block: int, values: np.ndarray, buckets: int) -> Iterator[pa.RecordBat
 
 def _send_smallest(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, payload in _rows(batches, "block", "payload"):
+        for block, payload in row_values(batches, "block", "payload"):
             sets = Sets(from_payload(payload)["text"])
             yield from _send(block, sets.values[sets.smallest()], buckets)
 
@@ -138,7 +132,7 @@ def _marks_of(values: np.ndarray, marks, buckets: int) -> np.ndarray:
 def _survivors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The whole sets of those first documents of a class that may link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, payload, marks, firsts in _rows(batches, "block", "payload", "marks", "firsts"):
+        for block, payload, marks, firsts in row_values(batches, "block", "payload", "marks", "firsts"):
             sets = Sets(from_payload(payload)["text"])
             small = np.flatnonzero(sets.smallest())
             shared = _marks_of(sets.values[small], marks, buckets) > 0
@@ -157,7 +151,7 @@ def _survivors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def _send_all(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, shingles in _rows(batches, "block", "shingles"):
+        for block, shingles in row_values(batches, "block", "shingles"):
             yield from _send(block, np.frombuffer(shingles, np.uint64), buckets)
 
     return run
@@ -166,7 +160,7 @@ def _send_all(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _order(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each class's shared shingles in the global order, as numbers that sort so; classes with too few of them go."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sizes, first, shingles, marks in _rows(batches, "ids", "sizes", "first", "shingles", "marks"):
+        for ids, sizes, first, shingles, marks in row_values(batches, "ids", "sizes", "first", "shingles", "marks"):
             value, first = np.frombuffer(shingles, np.uint64), np.frombuffer(first, np.int64)
             often = _marks_of(value, marks, buckets).astype(np.uint64)
             key = (np.uint64(255) - often) << np.uint64(56) | value >> np.uint64(8)
@@ -364,7 +358,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     chosen = first.groupBy(block_of(F.col("first.id")).alias("of")).agg(F.collect_list(F.col("first.id").bitwiseAND(F.lit((1 << 14) - 1)).cast("int")).alias("keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for payload, keep in _rows(batches, "payload", "keep"):
+        for payload, keep in row_values(batches, "payload", "keep"):
             yield from from_payload(payload).take(pa.array(sorted(keep))).combine_chunks().to_batches()
 
     return blocks.join(chosen, F.col("block") == F.col("of")).select("payload", "keep").mapInArrow(run, docs.schema)

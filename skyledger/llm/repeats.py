@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from skyledger.llm import exchange
-from skyledger.llm.common import discard, from_payload, pack, shuffle_width, stage, table, to_payload
+from skyledger.llm.common import discard, from_payload, pack, row_values, shuffle_width, stage, table, to_payload
 from skyledger.llm.words import Words, full_windows, mix, window_hashes, words_of
 
 WINDOW, PIECE = 20, 10
@@ -78,7 +78,7 @@ class Block:
 
 def _send_minimizers(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, payload in _rows(batches, "block", "payload"):
+        for block, payload in row_values(batches, "block", "payload"):
             _, found = Block(from_payload(payload)["text"]).minimizers()
             keys, bucket, order = exchange.distinct(found, buckets)
             count = np.unique(found, return_counts=True)[1][order] if len(found) else np.empty(0, int)
@@ -87,16 +87,10 @@ def _send_minimizers(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            yield tuple(batch.column(c)[row].as_py() for c in columns)
-
-
 def _candidates(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Split a block into texts without a candidate window, and the others with theirs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, payload, marks in _rows(batches, "block", "payload", "marks"):
+        for number, payload, marks in row_values(batches, "block", "payload", "marks"):
             rows = from_payload(payload)
             block = Block(rows["text"])
             least, found = block.minimizers()
@@ -134,7 +128,7 @@ def _opened(payload: bytes, edges: bytes, n_edges: int) -> tuple[pa.Table, Block
 
 def _send_nodes(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, payload, packed, n in _rows(batches, "block", "open", "edges", "n_edges"):
+        for number, payload, packed, n in row_values(batches, "block", "open", "edges", "n_edges"):
             _, block, edges = _opened(payload, packed, n)
             _, nodes, links = block.nodes(edges)
             sort = np.argsort(nodes, kind="stable")
@@ -150,7 +144,7 @@ def _send_nodes(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def _paths(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of edges cut at branching nodes and at text borders, with the digest of their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, payload, packed, n, numbers, marks in _rows(batches, "block", "open", "edges", "n_edges", "rows", "marks"):
+        for number, payload, packed, n, numbers, marks in row_values(batches, "block", "open", "edges", "n_edges", "rows", "marks"):
             rows, block, edges = _opened(payload, packed, n)
             places, nodes, _ = block.nodes(edges)
             keys, _, _ = exchange.distinct(nodes, buckets)
@@ -172,7 +166,7 @@ def _paths(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for done, payload, numbers, gone in _rows(batches, "done", "open", "rows", "gone"):
+    for done, payload, numbers, gone in row_values(batches, "done", "open", "rows", "gone"):
         if done:
             yield _finished(from_payload(done), {})
         if payload:
