@@ -143,7 +143,7 @@ def settings_search(spark, folder):
     long = cut_lineage(_stack(scores).withColumn("half", L.half(F.col("prediction_utc"))))
     table = M.binary_metrics(long, ["half", "scorer"]).select("half", "scorer", "pr_auc")
     drawn = table.where((F.col("half") == "selection") & (F.col("scorer") != "default") & F.col("pr_auc").isNotNull() & ~F.isnan("pr_auc"))
-    best = drawn.orderBy(F.desc("pr_auc"), F.substring_index("scorer", "_", -1).cast("int")).first()[0]  # ties go to the earlier draw
+    best = drawn.orderBy(F.desc("pr_auc"), F.substring_index("scorer", "_", -1).cast("int")).first()["scorer"]  # ties go to the earlier draw
     pair = long.where((F.col("half") == "confirmation") & F.col("scorer").isin("default", best))
     draws = R.resampled_average_precision(pair, "scorer", "day", REPLICATES)
     low = R.bootstrap_summary(cut_lineage(draws), M.binary_metrics(pair, ["scorer"]), "scorer", "default").where(F.col("scorer") == best).first()["difference_low"]
