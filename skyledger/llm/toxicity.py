@@ -1,15 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words (A-Z lower-cased, letters and digits) and the first four and five bytes of longer words. From at most
-``MAX_EXAMPLES`` labelled documents of each label, those with the smallest id hash, the terms that tell the labels
-apart are kept (chi-squared, at most ``MAX_TERMS``). The examples' vectors are held in an inverted index whose postings
-are cut into blocks of examples, each with the largest weight in it. A search bounds every block by those weights, reads
-the most promising ones, and then all others that could still hold one of the ``NEAREST``: the result is exact.
+Terms are words (A-Z lower-cased, letters and digits) and the first four and five bytes of longer words. The examples
+are at most ``MAX_EXAMPLES`` labelled documents of each label, those with the smallest id hash, and every term of theirs
+is indexed. A term weighs its idf over all documents times sqrt(1 + chi-squared) of its split between the labels, so that
+none is lost and words that tell nothing do not drown the others. Examples have unit length over their whole texts. A
+text's own length scales all its similarities alike, so neither order nor vote depends on it, nor on terms that no
+example has.
+
+The at most ``DENSE_TERMS`` terms of most examples are rows of a matrix, multiplied for many texts at once. The others are
+an inverted index whose postings are cut into blocks of examples, each with the largest weight in it. A search bounds
+every block by those weights, reads the most promising ones, and then all others that could still hold one of the
+``NEAREST``: nothing is left out, similarities have single precision.
 
 Votes are weighted by similarity and by how many labelled rows an example stands for. The share of toxic votes is
 calibrated by the examples themselves, each searched without itself, through a monotone step table.
 
-Defined cases: a null text is empty; a text without a kept term has no neighbour and gets the toxic share of such
+Defined cases: a null text is empty; a text without a term of any example has no neighbour and gets the toxic share of such
 examples; an id with several labels counts as toxic if one of them is 1, a null label or id is left out; without
 labels all scores are 0; repeated rows are scored one by one; an empty table gives no rows. Other columns pass by.
 """
@@ -26,11 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from skyledger.llm.common import fold, stage, table, text_slices
-from skyledger.llm.words import NOT_ALNUM, Words, mix, words_of
+from skyledger.llm.words import NOT_ALNUM, Words, mix, texts_buffer, words_of
 
-MAX_EXAMPLES, MAX_TERMS, MIN_CHI = 4000, 3000, 30.0
+MAX_EXAMPLES = 4000
+#: A term of more than one in ``DENSE_SHARE`` examples is a matrix row, for at most so many terms.
+DENSE_TERMS, DENSE_SHARE = 2048, 16
 PREFIXES = (4, 5)
-NEAREST, BLOCK, FIRST_BLOCKS, STEPS = 15, 32, 4, 20
+NEAREST, BLOCK, FIRST_BLOCKS, STEPS = 15, 256, 4, 20
+#: Texts that meet the matrix at once.
+TEXTS = 128
 FOLDS, HELD_OUT = 5, 0
 _TAG = np.uint64(0xA24BAED4963EE407)
 
@@ -50,71 +60,145 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, labels = batch.column("example").to_numpy(), batch.column("label").to_numpy()
         for row in range(batch.num_rows):
             value, _ = terms_of(pa.concat_arrays([batch.column("text").slice(row, 1)]))
             seen, count = np.unique(value, return_counts=True)
             yield pa.RecordBatch.from_pydict({
-                "example": pa.array(np.full(len(seen), ids[row])), "label": pa.array(np.full(len(seen), labels[row], np.int32)),
-                "term": pa.array(seen.view(np.int64)), "n": pa.array(count.astype(np.int64))})
+                "example": batch.column("example").slice(row, 1), "terms": pa.array([seen.tobytes()], pa.binary()), "n": pa.array([count.astype(np.int32).tobytes()], pa.binary())})
+
+
+def _known(terms: np.ndarray, value: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, term number and count of the indexed terms of each text."""
+    seen, at = np.unique(value, return_inverse=True)
+    place = np.minimum(np.searchsorted(terms, seen), len(terms) - 1)
+    place = np.where(terms[place] == seen, place, -1)[at]
+    known = place >= 0
+    pairs, count = np.unique(of[known] * len(terms) + place[known], return_counts=True)
+    return *np.divmod(pairs, len(terms)), count
+
+
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows of ``docs`` hold each of ``terms``, and how many rows there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(shared.value) + 1, np.int64)
+        for batch in batches:
+            held[-1] += batch.num_rows
+            for part in text_slices(batch):
+                if len(shared.value):
+                    held[:-1] += np.bincount(_known(shared.value, *terms_of(part.column("text")))[1], minlength=len(shared.value))
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(used.astype(np.int64)), "n": pa.array(held[used])})
+
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
+    return out[:-1], int(out[-1])
 
 
 @dataclass
 class Index:
-    """Examples in blocks; postings sorted by (term, example), and cells: one for each term and block."""
+    """Examples in blocks; postings sorted by (term, example). ``idf`` has all of a term's weight.
+
+    Only the postings are sent to the tasks. What is made from them there: the matrix rows of frequent terms, and the
+    cells of all others, one for each term and block.
+    """
 
     terms: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
-    term_cells: np.ndarray
-    cell_block: np.ndarray
-    cell_most: np.ndarray
-    cell_first: np.ndarray
+    held: np.ndarray  # postings of each term
     example: np.ndarray
     weight: np.ndarray
     prior: float = 0.0
     edges: np.ndarray = field(default_factory=lambda: np.empty(0))
     levels: np.ndarray = field(default_factory=lambda: np.empty(0))
 
+    def prepared(self) -> Index:
+        """With the matrix and the cells."""
+        if hasattr(self, "dense"):
+            return self
+        often = np.argsort(-self.held, kind="stable")[:DENSE_TERMS]
+        often = often[self.held[often].astype(np.int64) * DENSE_SHARE > len(self.ids)]
+        self.dense_row, dense = np.full(len(self.terms), -1, np.int32), np.zeros((len(often), len(self.ids)), np.float32)
+        self.dense_row[often] = np.arange(len(often))
+        row = np.repeat(self.dense_row, self.held)
+        thin = row < 0
+        dense[row[~thin], self.example[~thin]] = self.weight[~thin]
+        self.thin_example, self.thin_weight = self.example[thin], self.weight[thin]
+        term, block = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.held)[thin], self.thin_example.astype(np.int32) // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        opens = np.flatnonzero(new)
+        self.term_cells = np.searchsorted(term[opens], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.cell_block, self.cell_first = block[opens], np.append(opens, len(term)).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(self.thin_weight, opens) if len(opens) else np.empty(0, np.float32)
+        self.dense = dense
+        return self
+
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First place of each text's terms, term numbers, unit weights."""
         value, of = terms_of(texts)
         n = len(texts)
         if not len(self.terms):
             return np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0)
-        at = np.minimum(np.searchsorted(self.terms, value), len(self.terms) - 1)
-        known = self.terms[at] == value
-        pairs, count = np.unique(of[known] * len(self.terms) + at[known], return_counts=True)
-        text, term = np.divmod(pairs, len(self.terms))
+        text, term, count = _known(self.terms, value, of)
         weight = (1 + np.log(count)) * self.idf[term]
         length = np.sqrt(np.bincount(text, weights=weight * weight, minlength=n))
         return np.searchsorted(text, np.arange(n + 1)), term, weight / length[text]
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities of the nearest examples, best first, ties to the lower number."""
+    def searched(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, leave_out: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each text of ``vectors``, the matrix multiplied for ``TEXTS`` texts at a time."""
+        self.prepared()
+        for low in range(0, len(first) - 1, TEXTS):
+            high = min(low + TEXTS, len(first) - 1)
+            at = slice(first[low], first[high])
+            row, text = self.dense_row[term[at]], np.repeat(np.arange(high - low), np.diff(first[low:high + 1]))
+            asked = np.zeros((high - low, len(self.dense)), np.float32)
+            asked[text[row >= 0], row[row >= 0]] = weight[at][row >= 0]
+            sums = asked @ self.dense
+            for i in range(low, high):
+                at = slice(first[i], first[i + 1])
+                yield self.nearest(term[at], weight[at], -1 if leave_out is None else leave_out[i], sums[i - low])
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, leave_out: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and similarities of the nearest examples, best first, ties to the lower number; ``sums`` is what the matrix adds."""
+        row = self.prepared().dense_row[term]
+        if sums is None:
+            sums = weight[row >= 0].astype(np.float32) @ self.dense[row[row >= 0]]
+        if not len(sums):
+            return np.empty(0, np.int64), np.empty(0)
+        term, weight = term[row < 0], weight[row < 0]
         cells, of = _ranges(self.term_cells[term], self.term_cells[term + 1])
-        block, bound = self.cell_block[cells], np.bincount(self.cell_block[cells], weights=self.cell_most[cells] * weight[of])
+        block = self.cell_block[cells]
+        most = np.maximum.reduceat(sums, np.arange(0, len(sums), BLOCK))
+        bound = np.bincount(block, weights=self.cell_most[cells] * weight[of], minlength=len(most)) + most
         order = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
         read = np.zeros(len(bound), bool)
         read[order] = True
-        near, found = self._score(cells, of, weight, read[block], leave_out)
-        floor = np.sort(found)[-NEAREST] if len(found) >= NEAREST else 0.0
-        rest = (bound > 0) & (bound >= floor - 1e-9) & ~read
+        near, found = self._score(cells, of, weight, sums, read, block, leave_out)
+        floor = np.partition(found, -NEAREST)[-NEAREST] if len(found) >= NEAREST else 0.0
+        rest = (bound > 0) & (bound >= floor - 1e-6) & ~read
         if rest.any():
-            more, also = self._score(cells, of, weight, rest[block], leave_out)
+            more, also = self._score(cells, of, weight, sums, rest, block, leave_out)
             near, found = np.concatenate([near, more]), np.concatenate([found, also])
+        if len(found) > NEAREST:
+            enough = found >= np.partition(found, -NEAREST)[-NEAREST]
+            near, found = near[enough], found[enough]
         best = np.lexsort((near, -found))[:NEAREST]
         return near[best], found[best]
 
-    def _score(self, cells, of, weight, use, leave_out) -> tuple[np.ndarray, np.ndarray]:
+    def _score(self, cells, of, weight, sums, blocks, block, leave_out) -> tuple[np.ndarray, np.ndarray]:
+        use = blocks[block]
         cells, of = cells[use], of[use]
         at, cell = _ranges(self.cell_first[cells], self.cell_first[cells + 1])
-        sums = np.bincount(self.example[at], weights=self.weight[at] * weight[of[cell]])
-        near = np.flatnonzero(sums)
+        total = np.bincount(self.thin_example[at], weights=self.thin_weight[at] * weight[of[cell]], minlength=len(sums)) + sums
+        near = np.flatnonzero((total > 0) & np.repeat(blocks, BLOCK)[:len(sums)])
         near = near[near != leave_out]
-        return near, np.round(sums[near], 12)
+        return near, np.round(total[near], 7)
 
     def vote(self, near: np.ndarray, found: np.ndarray) -> float:
         share = found * self.votes[near]
@@ -137,18 +221,17 @@ def build_index(vectors: pa.Table, terms: np.ndarray, idf: np.ndarray, ids: np.n
     lead = np.full(len(ids), len(terms))
     strongest = np.lexsort((term, -weight, example))
     seen, first = np.unique(example[strongest], return_index=True)
-    lead[seen] = term[strongest][first]
+    lead[seen] = term[strongest[first]]
+    del strongest
     order = np.lexsort((ids, lead, labels))
-    number = np.empty(len(ids), np.int64)
+    number = np.empty(len(ids), np.int32)
     number[order] = np.arange(len(ids))
     example = number[example]
     length = np.sqrt(np.bincount(example, weights=weight * weight, minlength=len(ids)))
+    weight = (weight / length[example]).astype(np.float32)
     sort = np.lexsort((example, term))
-    example, term, weight = example[sort], term[sort], (weight / length[example])[sort]
-    cell = term * (len(ids) // BLOCK + 1) + example // BLOCK
-    cells, cell_first = np.unique(cell, return_index=True)
-    return Index(terms, idf, ids[order], labels[order], votes[order], np.searchsorted(cells // (len(ids) // BLOCK + 1), np.arange(len(terms) + 1)),
-                 cells % (len(ids) // BLOCK + 1), np.maximum.reduceat(weight, cell_first) if len(weight) else np.empty(0), np.append(cell_first, len(example)), example, weight)
+    return Index(terms, idf, ids[order], labels[order], votes[order], np.bincount(term, minlength=len(terms)).astype(np.int32),
+                 example[sort].astype(np.min_scalar_type(max(len(ids), 1))), weight[sort])
 
 
 def monotone(raw: np.ndarray, label: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +249,11 @@ def monotone(raw: np.ndarray, label: np.ndarray, votes: np.ndarray) -> tuple[np.
     return np.arange(1, STEPS) / STEPS, levels
 
 
+def chi_squared(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Of each term: ``a`` of the ``n1`` toxic and ``b`` of the ``n0`` other examples hold it."""
+    return (a * (n0 - b) - b * (n1 - a)) ** 2 * float(n0 + n1) / ((a + b) * (n0 + n1 - a - b) * float(max(n1, 1)) * float(max(n0, 1)) + 1e-9)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Index:
     """Index and calibration from the labelled rows of ``docs`` outside the held-out fold."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -176,26 +264,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     parts = [present.where(F.col("label") == x).orderBy(F.xxhash64("of"), "of").limit(MAX_EXAMPLES) for x in (0, 1)]
     chosen = stage(parts[0].unionByName(parts[1]), "toxic-chosen")  # at most 2 * MAX_EXAMPLES ids, so the broadcast is bounded
     texts = docs.select(F.col("doc_id").cast("long").alias("example"), "text").join(F.broadcast(chosen), F.col("example") == F.col("of"))
-    texts = texts.groupBy("example").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("example", "label", "text")
-    counts = stage(texts.mapInArrow(_term_counts, "example long, label int, term long, n long"), "toxic-terms")
+    texts = texts.groupBy("example").agg(F.min("text").alias("text"))
+    held = texts.mapInArrow(_term_counts, "example long, terms binary, n binary").toArrow()  # at most 2 * MAX_EXAMPLES rows
     roster = chosen.orderBy("of").toArrow()
     ids, label = roster["of"].to_numpy().astype(np.int64), roster["label"].to_numpy()
     taken = np.bincount(label, minlength=2) if len(label) else np.zeros(2, int)
-    n0, n1 = int(taken[0]), int(taken[1])
-    tally = counts.groupBy("term").agg(F.sum(F.col("label")).alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
-    chi = (a * d - b * c) * (a * d - b * c) * float(n0 + n1) / ((a + b) * (c + d) * float(max(n1, 1)) * float(max(n0, 1)) + 1e-9)
-    best = tally.withColumn("chi", chi.cast("double")).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).select("term", (a + b).alias("df")).toArrow()
-    order = np.argsort(best["term"].to_numpy().astype(np.int64).view(np.uint64), kind="stable")
-    terms, df = best["term"].to_numpy().astype(np.int64).view(np.uint64)[order], best["df"].to_numpy()[order]
-    idf = np.log((1 + n0 + n1) / (1 + df)) + 1
-    spark = docs.sparkSession
-    kept = spark.createDataFrame(pa.table({"known": terms.view(np.int64)}), "known long")
-    held = counts.join(F.broadcast(kept), F.col("term") == F.col("known")).select("example", "term", "n").toArrow()
-    term = np.searchsorted(terms, held["term"].to_numpy().astype(np.int64).view(np.uint64))
-    vectors = pa.table({"example": np.searchsorted(ids, held["example"].to_numpy()), "term": term, "weight": (1 + np.log(held["n"].to_numpy())) * idf[term]})
+    (value, at), (n, _) = texts_buffer(held["terms"]), texts_buffer(held["n"])
+    example = np.repeat(np.searchsorted(ids, held["example"].to_numpy()).astype(np.int32), np.diff(at) // 8)
+    terms, term = np.unique(value.view(np.uint64), return_inverse=True)
+    term, tf = term.astype(np.int32), 1 + np.log(n.view(np.int32), dtype=np.float32)
+    del held, value, n
+    df, n_docs = document_frequencies(docs, terms)
+    toxic = np.bincount(term, weights=label[example], minlength=len(terms))
+    weight_of = (np.log((1 + n_docs) / (1 + df)) + 1) * np.sqrt(1 + chi_squared(toxic, np.bincount(term, minlength=len(terms)) - toxic, *taken[::-1]))
+    vectors = pa.table({"example": example, "term": term, "weight": tf * weight_of[term]})
+    del example, term, tf
     votes = np.array([totals.get(int(x), 0) / max(taken[x], 1) for x in label], float)
-    index = build_index(vectors, terms, idf, ids, label, votes)
+    index = build_index(vectors, terms, weight_of, ids, label, votes)
+    del vectors
     _calibrate(index, texts)
     return index
 
@@ -207,15 +293,13 @@ def _calibrate(index: Index, texts: DataFrame) -> None:
         known = shared.value
         number = {int(x): i for i, x in enumerate(known.ids)}
         for batch in batches:
-            raw = []
-            first, term, weight = known.vectors(batch.column("text"))
-            for row, example in enumerate(batch.column("example").to_pylist()):
-                at = slice(first[row], first[row + 1])
-                near, found = known.nearest(term[at], weight[at], number[example]) if first[row] < first[row + 1] else ((), ())
-                raw.append(known.vote(near, found) if len(near) else -1.0)
-            yield pa.RecordBatch.from_pydict({"example": batch.column("example"), "raw": pa.array(raw, pa.float64())})
+            for part in text_slices(batch):
+                leave_out = np.array([number[x] for x in part.column("example").to_pylist()], np.int64)
+                raw = [known.vote(near, found) if len(near) else -1.0 for near, found in known.searched(*known.vectors(part.column("text")), leave_out)]
+                yield pa.RecordBatch.from_pydict({"example": part.column("example"), "raw": pa.array(raw, pa.float64())})
 
     found = texts.select("example", "text").mapInArrow(search, "example long, raw double").toArrow()  # at most 2 * MAX_EXAMPLES rows
+    shared.destroy()
     at = np.searchsorted(np.sort(index.ids), found["example"].to_numpy()) if found.num_rows else np.empty(0, int)
     number = np.argsort(index.ids)[at]
     raw, label, votes = found["raw"].to_numpy(), index.labels[number], index.votes[number]
@@ -230,11 +314,8 @@ def _score(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         index = shared.value
         for batch in batches:
             for part in text_slices(batch):
-                first, term, weight = index.vectors(part.column("text"))
                 score, evidence = np.full(part.num_rows, index.prior), []
-                for row in range(part.num_rows):
-                    at = slice(first[row], first[row + 1])
-                    near, found = index.nearest(term[at], weight[at]) if first[row] < first[row + 1] else (np.empty(0, int), None)
+                for row, (near, found) in enumerate(index.searched(*index.vectors(part.column("text")))):
                     if len(near):
                         score[row] = index.calibrated(index.vote(near, found))
                     evidence.append(index.ids[near[:3]].tolist())

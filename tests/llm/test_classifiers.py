@@ -87,3 +87,57 @@ def test_small_tables(spark, labelled):
 
 def test_fold_of_null_is_that_of_the_empty_text(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(fold("doc_id", 5)).first()[0] == 0
+
+
+def test_few_labels_and_rare_words_are_enough(spark):
+    """Twenty labelled rows, toxic words in a few examples each: no word is too rare to be found by."""
+    clean = [(i, f"calm{i % 3} garden{i % 2} morning tea") for i in range(1000, 1010)]
+    toxic = [(i, f"slur{i % 4} insult{i % 3} morning tea") for i in range(2000, 2010)]
+    probes = [(1, "slur2 insult0"), (2, "calm1 morning"), (3, "insult1 slur3 tea"), (4, "garden1 tea")]
+    docs = spark.createDataFrame(clean + toxic + probes, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, toxicity.learn(docs, labels)).collect()}
+    assert min(score[1], score[3]) >= 0.5 > max(score[2], score[4])
+
+
+def test_long_clean_text_with_one_toxic_word(spark):
+    """All words of a text count, so a single word of the other label does not decide."""
+    draw = np.random.default_rng(2)
+    clean = [(i, " ".join(f"plain{x}" for x in draw.integers(0, 400, 60))) for i in range(200)]
+    toxic = [(1000 + i, f"vile thing {' '.join(f'other{x}' for x in draw.integers(0, 400, 10))}") for i in range(100)]
+    probe = [(5000, " ".join([*(f"plain{x}" for x in range(0, 400, 2)), "vile"])), (5001, "vile thing other1")]
+    docs = spark.createDataFrame(clean + toxic + probe, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, toxicity.learn(docs, labels)).collect()}
+    assert score[5000] < 0.5 <= score[5001]
+
+
+@pytest.mark.parametrize("share", [16, 0])
+def test_index_has_every_term_with_corpus_frequencies(spark, monkeypatch, share):
+    """The evidence is that of all pairs over all terms, with document frequencies of all rows; matrix or postings alike."""
+    monkeypatch.setattr(toxicity, "DENSE_SHARE", share)
+    draw = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{x}" for x in np.minimum(draw.geometric(0.03, 30), 90)) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    index = toxicity.learn(docs, labels)
+    words = {i: t.split() for i, t in texts.items()}
+    held = {i: {w: v.count(w) for w in v} for i, v in words.items()}
+    number = {w: int(toxicity.words_of(pa.array([w]), toxicity.NOT_ALNUM, lower=True).hashes()[0]) for v in held.values() for w in v}
+    assert {number[w] for i in index.ids.tolist() for w in held[i]} == set(index.terms.tolist())
+    df = {w: sum(w in v for v in held.values()) for w in number}
+    toxic, n1 = [i for i in index.ids.tolist() if i % 2], int(index.labels.sum())
+    n0 = len(index.ids) - n1
+
+    def weigh(w):
+        a = sum(w in held[i] for i in toxic)
+        b = sum(w in held[i] for i in index.ids.tolist()) - a
+        chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n0 + n1) / max((a + b) * (n0 + n1 - a - b) * n1 * n0, 1e-9)
+        return (np.log(151 / (1 + df[w])) + 1) * np.sqrt(1 + chi)
+
+    known = {w: weigh(w) for w in number if number[w] in set(index.terms.tolist())}
+    unit = {i: {w: (1 + np.log(n)) * known[w] for w, n in v.items() if w in known} for i, v in held.items()}
+    unit = {i: {w: x / np.linalg.norm(list(v.values())) for w, x in v.items()} for i, v in unit.items()}
+    for i, (_, found) in zip(texts, index.searched(*index.vectors(pa.array(list(texts.values()))))):
+        exact = sorted((sum(x * unit[j].get(w, 0) for w, x in unit[i].items()) for j in index.ids.tolist()), reverse=True)[:toxicity.NEAREST]
+        assert np.allclose(found, exact, atol=1e-6)
