@@ -3,8 +3,8 @@
 N-grams are runs of four bytes of the text, letters lower-cased (A-Z) and everything that is not a letter folded to
 one blank. For each language the n-grams that make up at least ``MIN_SHARE`` of its training n-grams are kept, so a
 language has at most ``1 / MIN_SHARE`` of them however large the corpus is. All languages share one array of 64-bit
-words: a position's word has one bit for each language. The words at an n-gram's positions, and-ed, are the languages
-that contain it, read at once. For each language the bits of a text's n-grams are counted and corrected for the false
+words: a position has one bit for each language, in as many words as there are groups of ``WORD_BITS`` languages. The
+words at an n-gram's positions, and-ed, are the languages that contain it, read at once. For each language the bits of a text's n-grams are counted and corrected for the false
 positives that its filter lets through; the largest corrected count decides, ties go to the first language in order.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without text or language are not
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from skyledger.llm.words import LOWER, mix, texts_buffer
 
 #: An n-gram belongs to a language if it is at least this share of the language's training n-grams.
 MIN_SHARE = 1 / 50_000
-GRAM, HASHES, BITS_PER_GRAM, LANGUAGES = 4, 3, 16, 64
+GRAM, HASHES, BITS_PER_GRAM, WORD_BITS = 4, 3, 16, 64
 #: Distinct n-grams of a language that a task holds before it sends them on.
 TASK_GRAMS = 1 << 20
 FOLDS, HELD_OUT = 4, 2
@@ -86,7 +87,7 @@ def _gram_rows(lang: str, value: np.ndarray, count: np.ndarray) -> pa.RecordBatc
 
 @dataclass
 class Masks:
-    """The filters of all languages: a word for each position, and each language's false-positive rate."""
+    """The filters of all languages: rows of words, one row for each 64 languages, one word for each position; and each language's false-positive rate."""
 
     languages: list[str]
     words: np.ndarray
@@ -102,17 +103,16 @@ def learn(training: DataFrame) -> Masks:
     counts = training.select("lang", "text").where("lang is not null and text is not null").mapInArrow(_counts, "lang string, gram long, n long")
     summed = stage(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     totals = summed.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
-    ordered = [r["of"] for r in totals.orderBy("of").limit(LANGUAGES + 1).collect()]
-    if len(ordered) > LANGUAGES:
-        raise ValueError(f"a word has bits for {LANGUAGES} languages; split the languages into groups")
+    ordered = [r["of"] for r in totals.orderBy("of").collect()]
     kept = summed.join(totals, F.col("lang") == F.col("of")).where(F.col("n") >= F.col("total") * MIN_SHARE).select("lang", "gram").toArrow()
-    number = {lang: i for i, lang in enumerate(ordered)}
-    size = max(64, BITS_PER_GRAM * max((np.bincount([number[x] for x in kept["lang"].to_pylist()]) if kept.num_rows else np.zeros(1, int))))
-    words = np.zeros(int(size), np.uint64)
-    bit = np.uint64(1) << np.array([number[x] for x in kept["lang"].to_pylist()], np.uint64)
-    for at in positions(kept["gram"].to_numpy(), len(words)):
-        np.bitwise_or.at(words, at, bit)
-    fill = np.array([np.count_nonzero(words >> np.uint64(i) & np.uint64(1)) / len(words) for i in range(len(ordered))])
+    number = pc.index_in(kept["lang"], pa.array(ordered, pa.string())).to_numpy().astype(np.int64)
+    group, place = np.divmod(number, WORD_BITS)
+    size = max(64, BITS_PER_GRAM * int(np.bincount(number, minlength=1).max()))
+    words = np.zeros((-(-len(ordered) // WORD_BITS), size), np.uint64)
+    bit = np.uint64(1) << place.astype(np.uint64)
+    for at in positions(kept["gram"].to_numpy(), size):
+        np.bitwise_or.at(words, (group, at), bit)
+    fill = np.array([np.count_nonzero(words[i // WORD_BITS] >> np.uint64(i % WORD_BITS) & np.uint64(1)) / size for i in range(len(ordered))])
     return Masks(ordered, words, fill ** HASHES)
 
 
@@ -121,15 +121,18 @@ def decide(masks: Masks, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     value, of = grams(texts)
     n = len(texts)
     every = np.bincount(of, minlength=n).astype(float)
-    held = np.full(len(value), ~np.uint64(0))
-    for at in positions(value, len(masks.words)):
-        held &= masks.words[at]
-    share = np.zeros((len(masks.languages), n))
+    places = positions(value, masks.words.shape[1])
+    best, most = np.zeros(n, np.int64), np.full(n, -np.inf)
     for i, wrong in enumerate(masks.wrong):
-        hits = np.bincount(of, weights=(held >> np.uint64(i) & np.uint64(1)).astype(float), minlength=n)
-        share[i] = (hits - every * wrong) / np.maximum(every * (1 - wrong), 1e-9)
-    best = share.argmax(axis=0)
-    return best, np.clip(share.max(axis=0), 0, 1)
+        if i % WORD_BITS == 0:
+            held = np.full(len(value), ~np.uint64(0))
+            for at in places:
+                held &= masks.words[i // WORD_BITS][at]
+        hits = np.bincount(of, weights=(held >> np.uint64(i % WORD_BITS) & np.uint64(1)).astype(float), minlength=n)
+        share = (hits - every * wrong) / np.maximum(every * (1 - wrong), 1e-9)
+        best[share > most] = i
+        most = np.maximum(most, share)
+    return best, np.clip(most, 0, 1)
 
 
 def _decide(masks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

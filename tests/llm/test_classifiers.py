@@ -30,6 +30,15 @@ def test_odd_texts(spark):
     assert language_masks.predicted(docs.limit(0), masks).count() == 0
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    letters = "abcdefghijkl"
+    own = {f"l{i:03}": f"{letters[i % 12]}{letters[i // 12]}qu{letters[i // 12]}{letters[i % 12]} " * 5 for i in range(130)}
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(own.items())], "doc_id long, text string, lang string")
+    masks = language_masks.learn(docs)
+    assert masks.words.shape[0] == 3
+    assert {r["doc_id"]: r["lang_pred"] for r in language_masks.predicted(docs, masks).collect()} == dict(enumerate(own))
+
+
 def test_masks_hold_every_gram():
     texts = pa.array(["abcdefgh ijkl", None, "", "ab", "Ärger 12 x"])
     value, of = language_masks.grams(texts)
