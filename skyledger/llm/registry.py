@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import archives, language_masks, line_rules, markov, mixing, phrase_index, prefix_tree, repeats, toxicity, urls
+from skyledger.llm import archives, filter_audit, language_masks, line_rules, markov, mixing, periodic_runs, phrase_index, prefix_tree, repeats, toxicity, urls
 
 QUERIES = {
     "op1_arc_to_warc": archives.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_repeated_spans": repeats.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filter": urls.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_filter_audit": filter_audit.query,
 }
 SQL = {
     "op1_arc_to_warc": archives.SQL,
@@ -24,4 +26,5 @@ SQL = {
     "op7_prefix_tree": prefix_tree.SQL,
     "op8_repeated_spans": repeats.SQL,
     "op10_url_filter": urls.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
