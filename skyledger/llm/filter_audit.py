@@ -81,28 +81,37 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*keep, pa.array(text_masks(part.column("text")), pa.int32())], ["doc_id", "part", "text_hash", "mask"])
 
 
-def masks(docs: DataFrame) -> DataFrame:
-    """part, mask, doc_id, n: documents of one part with one mask; rows with equal ids and texts are one row, ``n`` their number.
-
-    The smallest id of a text comes from partial minima of map tasks. It is joined to the staged facts, so that Spark can
-    split a text which very many rows share.
-    """
+def facts(docs: DataFrame) -> DataFrame:
+    """doc_id, part, text_hash, mask without the last filter, n: equal rows are one, ``n`` their number."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_hash"), text.alias("text"))
-    facts = rows.mapInArrow(_facts, FACTS).groupBy("doc_id", "part", "text_hash", "mask").agg(F.count("*").alias("n"))
-    facts = stage(facts, "audit-facts")
-    repeated = facts.groupBy(F.col("text_hash").alias("of")).agg(F.min("doc_id").alias("least"), F.count("*").alias("held")).where("held > 1").drop("held")
-    bit = F.when(F.col("doc_id") > F.col("least"), 1 << FILTERS.index("E")).otherwise(0)
-    return facts.join(repeated, F.col("text_hash") == F.col("of"), "left").select("part", F.col("mask").bitwiseOR(bit).alias("mask"), "doc_id", "n")
+    return stage(rows.mapInArrow(_facts, FACTS).groupBy("doc_id", "part", "text_hash", "mask").agg(F.count("*").alias("n")), "audit-facts")
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with ``good`` and ``toxic``; rows without an id skip the join, so they make no hot key."""
     marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg(
-        F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
-    known = rows.where("doc_id is not null").join(marked.where("good or toxic"), F.col("doc_id") == F.col("of"), "left").drop("of")
-    none = rows.where("doc_id is null").withColumns({"good": F.lit(False), "toxic": F.lit(False)})
-    return known.unionByName(none).select("part", "mask", "n", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
+        F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("is_good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("is_toxic"))
+    known = rows.where("doc_id is not null").join(marked.where("is_good or is_toxic"), F.col("doc_id") == F.col("of"), "left")
+    none = rows.where("doc_id is null").select("*", *[F.lit(None).cast("boolean").alias(c) for c in ("is_good", "is_toxic")])
+    return known.drop("of").unionByName(none).select(*rows.columns, F.coalesce("is_good", F.lit(False)).alias("good"), F.coalesce("is_toxic", F.lit(False)).alias("toxic"))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """part, mask with the last filter, good, toxic, n.
+
+    Rows of one text are first counted by part and labels in the map tasks, together with their smallest id and its number of
+    rows. What meets for one text is so at most four rows for each part, however many documents share it.
+    """
+    own = ["text_hash", "part", "mask", "good", "toxic"]
+    alike = rows.groupBy(*own).agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("first_n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))).alias("none_n"))
+    alike = stage(alike, "audit-texts")
+    least = alike.groupBy(F.col("text_hash").alias("of")).agg(F.min("first").alias("least"))
+    passes = F.coalesce("none_n", F.lit(0)) + F.when(F.col("first") == F.col("least"), F.col("first_n")).otherwise(0)
+    last = F.lit(1 << FILTERS.index("E"))
+    both = F.array(F.struct(F.col("mask").alias("mask"), passes.alias("n")), F.struct(F.col("mask").bitwiseOR(last).alias("mask"), (F.col("n") - passes).alias("n")))
+    split = alike.join(least, F.col("text_hash") == F.col("of")).select("part", "good", "toxic", F.explode(both).alias("one")).where("one.n > 0")
+    return split.groupBy("part", F.col("one.mask").alias("mask"), "good", "toxic").agg(F.sum("one.n").alias("n"))
 
 
 def steps() -> list[tuple[str, int, int, int]]:
@@ -145,8 +154,7 @@ def _audit(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def audited(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each part, order and step with the counts in ``COUNTS``."""
-    counts = with_labels(masks(docs), labels).groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
-    parts = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "good", "toxic", "n")).alias("counts"))
+    parts = counted(with_labels(facts(docs), labels)).groupBy("part").agg(F.collect_list(F.struct("mask", "good", "toxic", "n")).alias("counts"))
     return parts.mapInArrow(_audit, AUDIT)
 
 
