@@ -67,18 +67,18 @@ def _differing(groups: pa.Table) -> pa.Table:
     return _answers(groups, ((low != high) | (low == 0)).astype(np.uint8), order, first, sizes)
 
 
-def _by_block(marks: DataFrame) -> DataFrame:
+def by_block(marks: DataFrame) -> DataFrame:
     return marks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("marks"))
 
 
 def shared(rows: DataFrame) -> DataFrame:
     """block, marks: for each key in how many blocks it is (255 at most), 0 if in this one alone and not marked 1 by its link."""
-    return _by_block(rows.groupBy("bucket").applyInArrow(_shared, "block long, bucket int, marks binary"))
+    return by_block(rows.groupBy("bucket").applyInArrow(_shared, "block long, bucket int, marks binary"))
 
 
 def differing(rows: DataFrame) -> DataFrame:
     """block, marks: 1 for each key whose links, over all blocks, are not all the same, or are 0 somewhere."""
-    return _by_block(rows.groupBy("bucket").applyInArrow(_differing, "block long, bucket int, marks binary"))
+    return by_block(rows.groupBy("bucket").applyInArrow(_differing, "block long, bucket int, marks binary"))
 
 
 def received(marks) -> np.ndarray:

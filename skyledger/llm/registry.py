@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import archives, filter_audit, language_masks, line_rules, markov, mixing, periodic_runs, phrase_index, prefix_tree, repeats, toxicity, urls
+from skyledger.llm import archives, filter_audit, language_masks, line_rules, markov, mixing, periodic_runs, phrase_index, prefix_tree, repeats, suffix_sort, toxicity, urls
 
 QUERIES = {
     "op1_arc_to_warc": archives.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": urls.query,
     "op11_periodic_runs": periodic_runs.query,
     "op12_filter_audit": filter_audit.query,
+    "op13_suffix_sort": suffix_sort.query,
 }
 SQL = {
     "op1_arc_to_warc": archives.SQL,
