@@ -1,8 +1,7 @@
 """Route graphs as edge tables, for many windows (years, months, days) at once.
 
 Every function keeps the window as a key, so no loop over windows is needed. Iterations are joins along edges; each
-round is checkpointed, so a lost executor repeats one round at most. Path metrics hold one row per (window, source,
-reached node): right for route networks with up to some thousands of airports per window.
+round is checkpointed, so a lost executor repeats one round at most. Shortest-path metrics are in ``paths``.
 """
 
 from __future__ import annotations
@@ -86,58 +85,69 @@ def weak_components(edges: DataFrame, window: str) -> DataFrame:
             return labels
 
 
-def shortest_paths(edges: DataFrame, window: str) -> list[DataFrame]:
-    """Breadth-first levels from every node: frame d holds ``(window, source, node, sigma)`` at distance d, sigma being the
-    number of shortest paths. Each step follows edges from the frontier only."""
-    hops = cut_lineage(edges.select(window, F.col("src").alias("node"), "dst"))
-    level = cut_lineage(nodes(edges, window).select(window, F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma")))
-    levels, seen = [level], level.select(window, "source", "node")
+def strong_components(edges: DataFrame, window: str) -> DataFrame:
+    """Smallest node name of the strongly connected component of every node, by trimming and colouring.
+
+    A round first takes off nodes without an edge in or out among those left: each is a component. Then every node gets
+    the smallest name that reaches it (its colour), and what a colour's own node is reached from within the colour is its
+    component, whose smallest name that node has. A round costs a pass over the edges left for each step of the longest
+    path that a name travels; edges between colours are never looked at again.
+    """
+    alive = cut_lineage(edges.select(window, "src", "dst").distinct())
+    found = []
+    rest = cut_lineage(nodes(edges, window))
+    while not alive.isEmpty():
+        alive, rest, alone = _trimmed(alive, rest, window)
+        found.append(alone)
+        if alive.isEmpty():
+            break
+        colours = _spread(alive, rest.select(window, "node", F.col("node").alias("label")), window)
+        both = alive.join(colours.withColumnsRenamed({"node": "src", "label": "_from"}), [window, "src"]).join(colours.withColumnsRenamed({"node": "dst", "label": "_to"}), [window, "dst"])
+        inside = cut_lineage(both.where(F.col("_from") == F.col("_to")).select(window, "src", "dst"))
+        done = _reached_back(inside, colours, window)
+        found.append(done)
+        names = done.select(window, "node")
+        rest = cut_lineage(rest.join(names, [window, "node"], "left_anti"))
+        alive = cut_lineage(inside.join(names.withColumnRenamed("node", "src"), [window, "src"], "left_anti").join(names.withColumnRenamed("node", "dst"), [window, "dst"], "left_anti"))
+    return reduce(DataFrame.unionByName, [*found, rest.select(window, "node", F.col("node").alias("label"))])
+
+
+def _trimmed(alive: DataFrame, rest: DataFrame, window: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges and nodes left when no node lacks an edge in or out, and the nodes taken off, each its own label."""
+    alone = []
+    while True:
+        ends = alive.select(window, F.col("src").alias("node")).intersect(alive.select(window, F.col("dst").alias("node")))
+        kept = cut_lineage(rest.join(ends, [window, "node"], "left_semi"))
+        gone = cut_lineage(rest.join(kept, [window, "node"], "left_anti"))
+        if gone.isEmpty():
+            return alive, rest, reduce(DataFrame.unionByName, alone) if alone else gone.select(window, "node", F.col("node").alias("label"))
+        alone.append(gone.select(window, "node", F.col("node").alias("label")))
+        rest = kept
+        alive = cut_lineage(alive.join(kept.withColumnRenamed("node", "src"), [window, "src"], "left_semi").join(kept.withColumnRenamed("node", "dst"), [window, "dst"], "left_semi"))
+
+
+def _spread(alive: DataFrame, labels: DataFrame, window: str) -> DataFrame:
+    """The smallest label that reaches each node along the edges. Only nodes whose label fell send it on."""
+    labels = cut_lineage(labels.withColumn("_moved", F.lit(True)))
+    while True:
+        sent = labels.where("_moved").select(window, F.col("node").alias("src"), "label").join(alive, [window, "src"]).groupBy(window, F.col("dst").alias("node")).agg(F.min("label").alias("_near"))
+        fell = F.coalesce(F.col("_near") < F.col("label"), F.lit(False))
+        labels = cut_lineage(labels.join(sent, [window, "node"], "left").select(window, "node", F.when(fell, F.col("_near")).otherwise(F.col("label")).alias("label"), fell.alias("_moved")))
+        if labels.where("_moved").isEmpty():
+            return labels.select(window, "node", "label")
+
+
+def _reached_back(inside: DataFrame, colours: DataFrame, window: str) -> DataFrame:
+    """Nodes that a colour's own node is reached from along edges inside the colour."""
+    front = cut_lineage(colours.where(F.col("node") == F.col("label")))
+    parts, open_ = [front], cut_lineage(colours.where(F.col("node") != F.col("label")))
     while True:
-        reached = level.join(hops, [window, "node"]).groupBy(window, "source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        level = cut_lineage(reached.join(seen, [window, "source", "node"], "left_anti"))
-        if level.isEmpty():
-            return levels
-        levels.append(level)
-        seen = seen.unionByName(level.select(window, "source", "node"))
-
-
-def distances(levels: list[DataFrame], window: str) -> DataFrame:
-    """``(window, source, node, distance)`` for every reachable pair, the source itself at 0."""
-    tagged = [level.select(window, "source", "node", F.lit(d).alias("distance")) for d, level in enumerate(levels)]
-    return reduce(DataFrame.unionByName, tagged)
-
-
-def strong_components(levels: list[DataFrame], window: str) -> DataFrame:
-    """Smallest node name among the nodes that reach and are reached by each node."""
-    reach = distances(levels, window).select(window, "source", "node")
-    back = reach.select(window, F.col("node").alias("source"), F.col("source").alias("node"))
-    return reach.join(back, [window, "source", "node"], "left_semi").groupBy(window, "source").agg(F.min("node").alias("label")).withColumnRenamed("source", "node")
-
-
-def closeness(levels: list[DataFrame], window: str) -> DataFrame:
-    """Closeness from distances into each node: (r - 1) / sum of distances, scaled by (r - 1) / (n - 1)."""
-    per_node = distances(levels, window).groupBy(window, "node").agg(F.count("*").alias("r"), F.sum("distance").alias("total"))
-    size = levels[0].groupBy(window).agg(F.count("*").alias("n"))
-    near = F.col("r") - 1
-    value = F.when(F.col("total") > 0, near / F.col("total") * (near / (F.col("n") - 1))).otherwise(0.0)
-    return per_node.join(size, window).select(window, "node", value.alias("closeness"))
-
-
-def betweenness(edges: DataFrame, levels: list[DataFrame], window: str) -> DataFrame:
-    """Directed betweenness divided by (n - 1)(n - 2): dependencies are summed back level by level from the deepest."""
-    hops = edges.select(window, F.col("src").alias("node"), F.col("dst").alias("_next"))
-    delta = levels[-1].withColumn("delta", F.lit(0.0))
-    found = [delta]
-    for d in range(len(levels) - 2, 0, -1):
-        after = delta.select(window, "source", F.col("node").alias("_next"), ((1 + F.col("delta")) / F.col("sigma")).alias("_share"))
-        passed = levels[d].join(hops, [window, "node"]).join(after, [window, "source", "_next"]).groupBy(window, "source", "node").agg(F.sum(F.col("sigma") * F.col("_share")).alias("_d"))
-        delta = cut_lineage(levels[d].join(passed, [window, "source", "node"], "left").select(window, "source", "node", "sigma", F.coalesce("_d", F.lit(0.0)).alias("delta")))
-        found.append(delta)
-    own = reduce(DataFrame.unionByName, found).where(F.col("source") != F.col("node")).groupBy(window, "node").agg(F.sum("delta").alias("_b"))
-    size = levels[0].groupBy(window).agg(F.count("*").alias("n"))
-    scale = (F.col("n") - 1.0) * (F.col("n") - 2.0)
-    return levels[0].select(window, "node").join(own, [window, "node"], "left").join(size, window).select(
-        window, "node", F.when(F.col("n") > 2, F.coalesce("_b", F.lit(0.0)) / scale).otherwise(0.0).alias("betweenness"))
+        before = inside.join(front.select(window, F.col("node").alias("dst")), [window, "dst"], "left_semi").select(window, F.col("src").alias("node")).distinct()
+        front = cut_lineage(open_.join(before, [window, "node"], "left_semi"))
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(front)
+        open_ = cut_lineage(open_.join(front, [window, "node"], "left_anti"))
 
 
 def pagerank(edges: DataFrame, window: str, alpha: float = 0.85, tolerance: float = 1e-6, max_iterations: int = 100) -> DataFrame:
@@ -171,14 +181,6 @@ def _pagerank_step(ranks: DataFrame, moves: DataFrame, window: str, alpha: float
     return merged.join(change, window).select(window, "node", "n", "dangling", F.col("_new").alias("rank"), (F.col("done") | F.col("_stop")).alias("done"))
 
 
-def node_metrics(edges: DataFrame, window: str) -> DataFrame:
-    """Degrees, concentration, betweenness, closeness and PageRank of every node in every window."""
-    edges = cut_lineage(edges)
-    levels = shortest_paths(edges, window)
-    keys = [window, "node"]
-    return (degrees(edges, window).join(betweenness(edges, levels, window), keys).join(closeness(levels, window), keys).join(pagerank(edges, window), keys))
-
-
 def exposure(routes: DataFrame, metrics: DataFrame, summary: DataFrame, window: str) -> DataFrame:
     """Per window: route totals, airport appearances and their top-10 share, metric distribution, rates and reconciliation.
 

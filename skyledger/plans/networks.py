@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import disruption as D
 from skyledger.operators import graph as G
+from skyledger.operators import paths as P
 from skyledger.plans.disruption import _UTC, _UTC_SUMS, utc_outcomes
 from skyledger.plans.oracle_views import FLIGHTS, div
-from skyledger.session import cut_lineage
+from skyledger.session import cut_lineage, stage
 from skyledger.sources.adapters import flights
 
 
@@ -50,22 +51,20 @@ def components(spark, folder):
     """Weakly and strongly connected components per daily graph."""
     edges = cut_lineage(_daily(spark, folder))
     weak = G.weak_components(edges, "day").groupBy("day").agg(F.count("*").alias("nodes"), F.countDistinct("label").alias("weak_components"))
-    strong = G.strong_components(G.shortest_paths(edges, "day"), "day").groupBy("day").agg(F.countDistinct("label").alias("strong_components"))
+    strong = G.strong_components(edges, "day").groupBy("day").agg(F.countDistinct("label").alias("strong_components"))
     return weak.join(strong, "day")
 
 
 def all_pairs_bfs(spark, folder):
-    paths = G.distances(G.shortest_paths(cut_lineage(_daily(spark, folder)), "day"), "day")
-    return paths.groupBy("day", "source").agg(F.count("*").alias("reached"), F.max("distance").alias("eccentricity"), F.sum("distance").alias("distance_sum"))
+    return P.reach(_daily(spark, folder), "day")
 
 
 def betweenness(spark, folder):
-    edges = cut_lineage(_daily(spark, folder))
-    return _round(G.betweenness(edges, G.shortest_paths(edges, "day"), "day"), "betweenness")
+    return _round(P.centrality(stage(_daily(spark, folder)), "day"), "betweenness").select("day", "node", "betweenness")
 
 
 def closeness(spark, folder):
-    return _round(G.closeness(G.shortest_paths(cut_lineage(_daily(spark, folder)), "day"), "day"), "closeness")
+    return _round(P.centrality(stage(_daily(spark, folder)), "day", between=False), "closeness")
 
 
 def pagerank(spark, folder):
@@ -77,7 +76,7 @@ def _tables(spark, folder):
     df = utc_outcomes(spark, folder)
     routes = cut_lineage(D.routes_by_period(df, "utc_year"))
     edges = cut_lineage(routes.select("utc_year", F.col("origin").alias("src"), F.col("destination").alias("dst"), F.col("scheduled").alias("weight")))
-    return routes, edges, cut_lineage(G.node_metrics(edges, "utc_year"))
+    return routes, edges, cut_lineage(P.node_metrics(edges, "utc_year"))
 
 
 def yearly_metrics(spark, folder):

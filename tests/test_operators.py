@@ -14,6 +14,7 @@ from skyledger.operators import bins as B
 from skyledger.operators import calibration as K
 from skyledger.operators import explain as E
 from skyledger.operators import graph as G
+from skyledger.operators import paths as P
 from skyledger.operators import labels as L
 from skyledger.operators import learning as T
 from skyledger.operators import metrics as M
@@ -250,14 +251,17 @@ def all_distances(names, edges):
     return reach
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_graph_metrics_brute_force(spark, seed):
-    data = random_edges(seed)
+@pytest.mark.parametrize("seed, n, p, batch", [(1, 9, 0.22, 1024), (3, 20, 0.12, 16)])
+def test_graph_metrics_brute_force(spark, seed, n, p, batch):
+    """The last case has two batches of sources."""
+    data = random_edges(seed, n, p)
     edges = spark.createDataFrame(data, "w int, src string, dst string, weight int").repartition(3)
-    levels = G.shortest_paths(edges, "w")
-    close, between = ({(r["w"], r["node"]): r[c] for r in df.collect()} for df, c in ((G.closeness(levels, "w"), "closeness"), (G.betweenness(edges, levels, "w"), "betweenness")))
+    paths = {(r["w"], r["node"]): r for r in P.centrality(edges, "w", batch=batch).collect()}
+    close, between = ({k: r[c] for k, r in paths.items()} for c in ("closeness", "betweenness"))
+    searched = {(r["w"], r["source"]): (r["reached"], r["eccentricity"], r["distance_sum"]) for r in P.reach(edges, "w", batch).collect()}
+    assert {k: r["closeness"] for k, r in paths.items()} == {(r["w"], r["node"]): r["closeness"] for r in P.centrality(edges, "w", between=False).collect()}
     strong, weak, rank = ({(r["w"], r["node"]): r[c] for r in df.collect()} for df, c in (
-        (G.strong_components(levels, "w"), "label"), (G.weak_components(edges, "w"), "label"), (G.pagerank(edges, "w"), "pagerank")))
+        (G.strong_components(edges, "w"), "label"), (G.weak_components(edges, "w"), "label"), (G.pagerank(edges, "w"), "pagerank")))
     for w in (1, 2):
         part = [(a, b, x) for ww, a, b, x in data if ww == w]
         names = sorted({n for a, b, _ in part for n in (a, b)})
@@ -279,6 +283,7 @@ def test_graph_metrics_brute_force(spark, seed):
             if change < n * 1e-6:
                 break
         for v in names:
+            assert searched[w, v] == (len(d[v]), max(d[v].values()), sum(d[v].values()))
             into = [d[s][v] for s in names if v in d[s]]
             want = (len(into) - 1) / sum(into) * (len(into) - 1) / (n - 1) if sum(into) else 0.0
             assert close[w, v] == pytest.approx(want)
@@ -290,6 +295,25 @@ def test_graph_metrics_brute_force(spark, seed):
             assert rank[w, v] == pytest.approx(r[v], abs=1e-9)
 
 
+@pytest.mark.parametrize("seed, n, p", [(5, 24, 0.06)])
+def test_strong_components_brute_force(spark, seed, n, p):
+    """Sparse graphs with chains, loops of several sizes and loops that reach each other."""
+    data = random_edges(seed, n, p) + [(3, f"m{i}", f"m{i + 1}", 1) for i in range(6)] + [(3, "m6", "m2", 1), (3, "z", "m0", 1), (3, "m3", "a", 1), (3, "a", "b", 1), (3, "b", "a", 1)]
+    got = {(r["w"], r["node"]): r["label"] for r in G.strong_components(spark.createDataFrame(data, "w int, src string, dst string, weight int"), "w").collect()}
+    want = {}
+    for w in (1, 2, 3):
+        part = [(a, b, x) for ww, a, b, x in data if ww == w]
+        names = {x for a, b, _ in part for x in (a, b)}
+        d = all_distances(names, part)
+        want |= {(w, v): min(u for u in names if u in d[v] and v in d[u]) for v in names}
+    assert got == want
+
+
+def test_graphs_without_edges(spark):
+    none = spark.createDataFrame([], "w int, src string, dst string, weight int")
+    assert [f(none, "w").count() for f in (G.strong_components, P.reach, P.centrality)] == [0, 0, 0]
+
+
 def test_concentration_hand_case(spark):
     edges = spark.createDataFrame([(1, "JFK", "LAX", 4), (1, "JFK", "SFO", 1), (1, "LAX", "JFK", 2)], "w int, src string, dst string, weight int")
     got = {r["node"]: (r["out_degree"], r["weighted_out"], r["outgoing_hhi"]) for r in G.degrees(edges, "w").collect()}
