@@ -1,8 +1,9 @@
 r"""Quality rules with cross-document line frequency.
 
 A line is normalised to its words, A-Z lower-cased, joined by one space, and hashed. For each host (here the source)
-the distinct documents that hold a line are counted; equal texts count once, because copies are the business of
-deduplication. Lines above the limits are taken out, and a document is rejected if too little is left of it.
+the documents that hold a line are counted, however often one of them repeats it; copies of a document are documents.
+Lines of more than ``LINE_DOCS`` documents, whatever the size of the host, are taken out, and a document is rejected if
+too little is left of it.
 
 Defined cases: a null text is empty; a null source is a host of its own; repeated rows are judged one by one and
 equally; a line without a word is no line; an empty table gives no rows. Only doc_id, source and text are read.
@@ -20,17 +21,17 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import stage, table, text_slices
 from skyledger.llm.words import SPACE, full_windows, mix, run_hash, texts_buffer, window_hashes, words_of
 
-#: A line is above the limits if more than ``LINE_DOCS`` documents of its host and more than one in ``LINE_SHARE`` hold it.
-LINE_DOCS, LINE_SHARE = 5, 50
-#: What is left of a document must have this many words, and this many percent of its words.
-LEFT_WORDS, LEFT_PERCENT = 5, 30
+#: A line is above the limit if more documents of its host hold it.
+LINE_DOCS = 5
+#: What is left of a document must be ``MIN_WORDS`` words, as any document, and this many percent of its words.
+LEFT_PERCENT = 30
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
 
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _STARTS = ~((np.arange(256) & 0xC0) == 0x80)
-SCHEMA = ("doc_id long, source string, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+SCHEMA = ("doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
           "n_repeat_words long, lines array<struct<hash: long, words: int>>")
 
 
@@ -49,7 +50,7 @@ def _salted(keys: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def measure(ids: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    """One row for each text: the base counts, a content hash, and hash and words of each line that has a word."""
+    """One row for each text: the base counts, and hash and words of each line that has a word."""
     n = len(texts)
     words = words_of(texts)
     data, at = texts_buffer(texts)
@@ -89,12 +90,11 @@ def measure(ids: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch
     again[order[1:]] = key[order[1:]] == key[order[:-1]]
     norm = run_hash(lower.hashes(), first_word, last_word)
     sizes = (last_word - first_word).astype(np.int32)
-    content = words.__class__(data, at[:-1], at[1:], np.zeros(1, np.int64)).hashes() if n else np.empty(0, np.uint64)
     lines = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(np.bincount(line_of, minlength=n))]).astype(np.int32)),
         pa.StructArray.from_arrays([pa.array(norm.view(np.int64)), pa.array(sizes)], ["hash", "words"]))
     columns = {
-        "doc_id": ids, "source": sources, "content": content.view(np.int64), "n_words": words.count,
+        "doc_id": ids, "source": sources, "n_words": words.count,
         "word_chars": per_text(~SPACE[data] & _STARTS[data]), "n_symbols": per_text(_SYMBOL[data]),
         "n_dup_lines": np.bincount(line_of[again], minlength=n), "n_repeat_words": np.bincount(of[in_repeat], minlength=n)}
     arrays = [x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in columns.values()]
@@ -111,17 +111,16 @@ def judged(docs: DataFrame) -> DataFrame:
     """One row for each document: the base counts, ``removed_words``, ``base_failed`` and ``kept``."""
     measured = docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_measure, SCHEMA)
     rows = stage(measured.withColumn("row", F.monotonically_increasing_id()), "line-rules")
-    lines = rows.select("row", "source", "content", F.explode("lines").alias("line")).select("row", "source", "content", "line.hash", "line.words")
-    held = lines.select("source", "hash", "content").distinct().groupBy("source", "hash").agg(F.count("*").alias("docs"))
-    hosts = rows.select("source", "content").distinct().groupBy(F.col("source").alias("host")).agg(F.count("*").alias("host_docs"))
-    above = held.where(F.col("docs") > LINE_DOCS).join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("docs") * LINE_SHARE > F.col("host_docs"))
-    above = above.select(F.col("source").alias("of"), F.col("hash").alias("line"))
+    lines = rows.select("row", "source", F.explode("lines").alias("line")).select("row", "source", "line.hash", "line.words")
+    # A document's repeated lines are one before they are counted, so the count needs no shuffle but that of partial sums.
+    held = rows.select("source", F.explode(F.array_distinct("lines.hash")).alias("hash")).groupBy("source", "hash").agg(F.count("*").alias("docs"))
+    above = held.where(F.col("docs") > LINE_DOCS).select(F.col("source").alias("of"), F.col("hash").alias("line"))
     gone = lines.join(above, F.col("source").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("line")), "left_semi")
     gone = gone.groupBy(F.col("row").alias("at")).agg(F.sum("words").alias("gone"))
     out = rows.drop("lines").join(gone, F.col("row") == F.col("at"), "left").withColumn("removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((left < LEFT_WORDS) | (100 * left < LEFT_PERCENT * F.col("n_words")))
+    depleted = (F.col("removed_words") > 0) & ((left < MIN_WORDS) | (100 * left < LEFT_PERCENT * F.col("n_words")))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
@@ -143,13 +142,11 @@ l AS (SELECT rid, source, text, line, row_number() OVER (PARTITION BY rid, line
     FROM (SELECT rid, source, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT rid, source, text, string_split(text, chr(10)) AS ls FROM d))),
 lined AS (SELECT *, array_to_string(ws, ' ') AS norm FROM l WHERE len(ws) > 0),
 dups AS (SELECT rid, count(*) AS n FROM lined WHERE nth > 1 GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-above AS (SELECT x.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS docs FROM lined GROUP BY source, norm) x JOIN hosts h ON x.source IS NOT DISTINCT FROM h.source
-    WHERE x.docs > {LINE_DOCS} AND x.docs * {LINE_SHARE} > h.docs),
+above AS (SELECT source, norm FROM lined GROUP BY source, norm HAVING count(DISTINCT rid) > {LINE_DOCS}),
 gone AS (SELECT rid, sum(len(ws)) AS n FROM lined a JOIN above b ON a.source IS NOT DISTINCT FROM b.source AND a.norm = b.norm GROUP BY rid),
 f AS (SELECT doc_id, coalesce(s.n, 0) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(u.n, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS removed
     FROM d LEFT JOIN sized s USING (rid) LEFT JOIN dups u USING (rid) LEFT JOIN hit h USING (rid) LEFT JOIN gone g USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
     NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words)
-    AND NOT (removed > 0 AND (n_words - removed < {LEFT_WORDS} OR 100 * (n_words - removed) < {LEFT_PERCENT} * n_words)) AS kept FROM f"""
+    AND NOT (removed > 0 AND (n_words - removed < {MIN_WORDS} OR 100 * (n_words - removed) < {LEFT_PERCENT} * n_words)) AS kept FROM f"""

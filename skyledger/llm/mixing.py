@@ -7,8 +7,7 @@ one hash value. Nothing is sorted but the few thousand buckets of a source, and
 what a smaller one kept.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id hashes as the
-empty text; rows with equal ids share a hash and are taken together; an empty table gives no rows. Only the columns
-named here are read, so other columns cannot clash.
+empty text; rows with equal ids share a hash and are taken together; an empty table gives no rows. Other columns pass by.
 """
 
 from __future__ import annotations
@@ -85,12 +84,16 @@ def mix_plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes at least once, with a column ``copies``."""
+    """The documents that the mix takes at least once, with a column ``copies``, which replaces one of that name.
+
+    A document is joined as one struct, so none of its columns can clash with those of the plan.
+    """
     _, plan = mix_plan(docs)
     own = [c for c in docs.columns if c != "copies"]
-    plan = plan.select(F.col("source").alias("_of"), F.col("copies").alias("_whole"), F.col("cut").alias("_cut"))
-    taken = F.col("_whole") + (hash_of("doc_id") <= F.col("_cut")).cast("long")
-    return docs.join(plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_taken", taken).where("_taken > 0").select(*own, F.col("_taken").alias("copies"))
+    rows = docs.select(F.struct(*own).alias("doc"), F.col("source").alias("doc_source"), hash_of("doc_id").alias("doc_hash"))
+    taken = F.col("copies") + (F.col("doc_hash") <= F.col("cut")).cast("long")
+    found = rows.join(plan, F.col("doc_source").eqNullSafe(F.col("source"))).withColumn("copies", taken).where("copies > 0")
+    return found.select(*[F.col("doc").getField(c).alias(c) for c in own], "copies")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,6 +54,24 @@ def test_mix(spark, tmp_path, rows):
     assert sorted(map(str, mixing.query(spark, folder).collect())) == sorted(map(str, mixing.query(spark, folder).collect()))
 
 
+def test_a_line_in_many_copies_is_repeated(spark):
+    """A thousand exact copies are a thousand documents, and a large host does not raise the limit."""
+    copy = "the same page that was copied over and over again by everyone\nwith its second line of more than a few words"
+    rows = [(i, copy, "hot") for i in range(1000)] + [(2000 + i, f"page {i} of the hot host says something of its own here {i}\nfooter of six pages only" if i < 6 else f"page {i} of the hot host has eleven words of its own", "hot") for i in range(400)]
+    rows += [(5000 + i, copy, "cold") for i in range(5)]
+    found = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in line_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(found[i] == (22, False) for i in range(1000)) and all(found[5000 + i] == (0, True) for i in range(5))
+    assert all(found[2000 + i] == ((5, True) if i < 6 else (0, True)) for i in range(400))
+
+
+@pytest.mark.parametrize("name", ["_cut", "_of", "_whole", "_taken", "copies", "cut", "target", "doc", "doc_hash", "source_size"])
+def test_mixed_keeps_clashing_columns(spark, name):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string").withColumn(name, F.lit("own"))
+    rows = mixing.mixed(docs).collect()
+    assert rows and rows[0].__fields__ == ["doc_id", "text", "source", *([name] if name != "copies" else []), "copies"]
+    assert name == "copies" or {r[name] for r in rows} == {"own"}
+
+
 def test_mixed_documents(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string").withColumn("copies", F.lit("own"))
     rows = mixing.mixed(docs).collect()
