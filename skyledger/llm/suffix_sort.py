@@ -37,7 +37,7 @@ WIDTH, PIECE = 200, 64
 #: Different stretches of one minimizer that are sorted together at most.
 SPLIT = 4096
 #: Bytes of stretches that are sorted at once.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 KEPT, N_BYTES, N_REMOVED, N_SPANS = "_kept", "_n_bytes", "_n_removed", "_n_spans"
 #: What a bucket answers for a stretch: no window is repeated; all are; all are, and this copy is compared with others; to be compared;
 #: the last two again for a minimizer with more than ``SPLIT`` stretches.
