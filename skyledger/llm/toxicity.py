@@ -8,9 +8,9 @@ text's own length scales all its similarities alike, so neither order nor vote d
 example has.
 
 The at most ``DENSE_TERMS`` terms of most examples are rows of a matrix, multiplied for many texts at once. The others are
-an inverted index whose postings are cut into blocks of examples, each with the largest weight in it. A search bounds
-every block by those weights, reads the most promising ones, and then all others that could still hold one of the
-``NEAREST``: nothing is left out, similarities have single precision.
+an inverted index whose postings are cut into blocks of examples, each with the largest weight in it. The matrix alone
+gives a lower bound of the least of the ``NEAREST`` similarities; a search bounds every block from above by its largest
+weights and reads those that can reach it: nothing is left out, similarities have single precision.
 
 Votes are weighted by similarity and by how many labelled rows an example stands for. The share of toxic votes is
 calibrated by the examples themselves, each searched without itself, through a monotone step table.
@@ -38,7 +38,7 @@ MAX_EXAMPLES = 4000
 #: A term of more than one in ``DENSE_SHARE`` examples is a matrix row, for at most so many terms.
 DENSE_TERMS, DENSE_SHARE = 2048, 16
 PREFIXES = (4, 5)
-NEAREST, BLOCK, FIRST_BLOCKS, STEPS = 15, 256, 4, 20
+NEAREST, BLOCK, STEPS = 15, 512, 20
 #: Texts that meet the matrix at once.
 TEXTS = 128
 FOLDS, HELD_OUT = 5, 0
@@ -151,54 +151,67 @@ class Index:
         return np.searchsorted(text, np.arange(n + 1)), term, weight / length[text]
 
     def searched(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, leave_out: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` for each text of ``vectors``, the matrix multiplied for ``TEXTS`` texts at a time."""
+        """For each text of ``vectors`` the numbers and similarities of the nearest examples, best first, ties to the lower number."""
         self.prepared()
         for low in range(0, len(first) - 1, TEXTS):
             high = min(low + TEXTS, len(first) - 1)
             at = slice(first[low], first[high])
-            row, text = self.dense_row[term[at]], np.repeat(np.arange(high - low), np.diff(first[low:high + 1]))
-            asked = np.zeros((high - low, len(self.dense)), np.float32)
-            asked[text[row >= 0], row[row >= 0]] = weight[at][row >= 0]
-            sums = asked @ self.dense
-            for i in range(low, high):
-                at = slice(first[i], first[i + 1])
-                yield self.nearest(term[at], weight[at], -1 if leave_out is None else leave_out[i], sums[i - low])
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, leave_out: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities of the nearest examples, best first, ties to the lower number; ``sums`` is what the matrix adds."""
-        row = self.prepared().dense_row[term]
-        if sums is None:
-            sums = weight[row >= 0].astype(np.float32) @ self.dense[row[row >= 0]]
-        if not len(sums):
-            return np.empty(0, np.int64), np.empty(0)
-        term, weight = term[row < 0], weight[row < 0]
+            text = np.repeat(np.arange(high - low), np.diff(first[low:high + 1]))
+            yield from self._nearest(text, term[at], weight[at], high - low, None if leave_out is None else leave_out[low:high])
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text."""
+        return next(iter(self.prepared()._nearest(np.zeros(len(term), np.int64), term, weight, 1, np.array([leave_out]))))
+
+    def _nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, leave_out: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What the matrix gives is a lower bound of each similarity, so the best of it rule out blocks before any posting is read."""
+        if not len(self.ids):
+            yield from ((np.empty(0, np.int64), np.empty(0)) for _ in range(texts))
+            return
+        row = self.dense_row[term]
+        asked = np.zeros((texts, len(self.dense)), np.float32)
+        asked[text[row >= 0], row[row >= 0]] = weight[row >= 0]
+        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        total = np.zeros((texts, blocks * BLOCK), np.float32)
+        total[:, :n] = asked @ self.dense
+        if leave_out is not None:
+            out = np.flatnonzero(leave_out >= 0)
+            total[out, leave_out[out]] = -np.inf
+        floor = np.maximum(np.partition(total, -NEAREST, axis=1)[:, -NEAREST], 0) - 1e-5 if total.shape[1] >= NEAREST else np.zeros(texts)
+        text, term, weight = text[row < 0], term[row < 0], weight[row < 0].astype(np.float32)
         cells, of = _ranges(self.term_cells[term], self.term_cells[term + 1])
-        block = self.cell_block[cells]
-        most = np.maximum.reduceat(sums, np.arange(0, len(sums), BLOCK))
-        bound = np.bincount(block, weights=self.cell_most[cells] * weight[of], minlength=len(most)) + most
-        order = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
-        read = np.zeros(len(bound), bool)
-        read[order] = True
-        near, found = self._score(cells, of, weight, sums, read, block, leave_out)
-        floor = np.partition(found, -NEAREST)[-NEAREST] if len(found) >= NEAREST else 0.0
-        rest = (bound > 0) & (bound >= floor - 1e-6) & ~read
-        if rest.any():
-            more, also = self._score(cells, of, weight, sums, rest, block, leave_out)
-            near, found = np.concatenate([near, more]), np.concatenate([found, also])
-        if len(found) > NEAREST:
-            enough = found >= np.partition(found, -NEAREST)[-NEAREST]
-            near, found = near[enough], found[enough]
-        best = np.lexsort((near, -found))[:NEAREST]
-        return near[best], found[best]
-
-    def _score(self, cells, of, weight, sums, blocks, block, leave_out) -> tuple[np.ndarray, np.ndarray]:
-        use = blocks[block]
-        cells, of = cells[use], of[use]
-        at, cell = _ranges(self.cell_first[cells], self.cell_first[cells + 1])
-        total = np.bincount(self.thin_example[at], weights=self.thin_weight[at] * weight[of[cell]], minlength=len(sums)) + sums
-        near = np.flatnonzero((total > 0) & np.repeat(blocks, BLOCK)[:len(sums)])
-        near = near[near != leave_out]
-        return near, np.round(total[near], 7)
+        most = np.maximum(total.reshape(texts, blocks, BLOCK).max(2), 0)
+        bound = np.bincount(text[of] * blocks + self.cell_block[cells], weights=self.cell_most[cells] * weight[of], minlength=texts * blocks).reshape(texts, blocks) + most
+        open_ = (bound > 0) & (bound >= floor[:, None])
+        first, first_cell = np.searchsorted(text, np.arange(texts + 1)), np.searchsorted(text[of], np.arange(texts + 1))
+        for i in range(texts):
+            at = slice(first_cell[i], first_cell[i + 1])
+            self._read(total[i], term[first[i]:first[i + 1]], weight[first[i]:first[i + 1]], cells[at], weight[of[at]], open_[i])
+            # Whatever is below the floor is none of the nearest; closed blocks hold nothing above it.
+            near = np.flatnonzero((total[i, :n] >= floor[i]) & (total[i, :n] > 0))
+            found = np.round(total[i, near], 6)
+            if len(near) > NEAREST:
+                enough = found >= np.partition(found, -NEAREST)[-NEAREST]
+                near, found = near[enough], found[enough]
+            best = np.lexsort((near, -found))[:NEAREST]
+            yield near[best], found[best].astype(np.float64)
+
+    def _read(self, total: np.ndarray, term: np.ndarray, weight: np.ndarray, cells: np.ndarray, share: np.ndarray, open_: np.ndarray) -> None:
+        """Add a text's postings in the open blocks to ``total``: cell by cell, or all of each term where most blocks are open,
+        as then one run of postings for each term is read faster."""
+        if 2 * open_.sum() >= len(open_):
+            first = self.cell_first[self.term_cells[term]]
+            size = self.cell_first[self.term_cells[term + 1]] - first
+            place = np.arange(size.sum())
+            place += np.repeat(first - np.cumsum(size) + size, size)
+            at, held = self.thin_example[place], self.thin_weight[place]
+            held *= np.repeat(weight, size)
+        else:
+            use = open_[self.cell_block[cells]]
+            cells, share = cells[use], share[use]
+            place, of = _ranges(self.cell_first[cells], self.cell_first[cells + 1])
+            at, held = self.thin_example[place], self.thin_weight[place] * share[of]
+        total += np.bincount(at, weights=held, minlength=len(total))
 
     def vote(self, near: np.ndarray, found: np.ndarray) -> float:
         share = found * self.votes[near]

@@ -48,7 +48,8 @@ def test_masks_hold_every_gram():
 def test_toxicity_held_out(spark):
     labels = table(spark, FOLDER, "labels")
     rows = toxicity.query(spark, FOLDER).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.95
+    toxic, clean = [r["predicted"] for r in rows if r["toxic"] == 1], [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 5 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
