@@ -75,30 +75,41 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
 
 
+#: Days of one row of the zone calendar.
+CALENDAR_DAYS = 366
+
+
 def zone_calendar(spark: SparkSession, zones: tuple[str, ...], first: str = "1987-01-01", last: str = "2030-12-31") -> DataFrame:
-    """``(cal_zone, cal_day, cal_offset)`` for the days on which a zone keeps one offset: zones times days rows.
+    """``(cal_zone, cal_period, cal_first, cal_changes)``: offset intervals, one row for each zone and period of ``CALENDAR_DAYS`` days.
 
-    A day qualifies when its midnight and the next one are 24 hours apart; days with a clock change are absent.
+    ``cal_first`` is the offset from the period's start on, ``cal_changes`` the days with a clock change (those of other
+    than 24 hours) with the offset after each, by day. All known zones are some 26,000 rows, so a broadcast of this table is bounded.
     """
     low, high = ((dt.date.fromisoformat(d) - dt.date(1970, 1, 1)).days for d in (first, last))
+    low, high = low // CALENDAR_DAYS * CALENDAR_DAYS, (high // CALENDAR_DAYS + 1) * CALENDAR_DAYS
     names = F.array(*[F.lit(z) for z in zones]) if zones else F.array().cast("array<string>")
-    grid = spark.range(low, high + 1).select(F.explode(names).alias("cal_zone"), F.col("id").alias("cal_day"))
-    ends = grid.select("*", *[utc_seconds((F.col("cal_day") + k) * DAY, F.col("cal_zone")).alias(f"_m{k}") for k in (0, 1)])
-    return ends.where(F.col("_m1") - F.col("_m0") == DAY).select("cal_zone", "cal_day", (F.col("cal_day") * DAY - F.col("_m0")).alias("cal_offset"))
+    grid = spark.range(low, high).select(F.explode(names).alias("cal_zone"), F.col("id").alias("day"))
+    ends = grid.select("*", *[utc_seconds((F.col("day") + k) * DAY, F.col("cal_zone")).alias(f"_m{k}") for k in (0, 1)])
+    change = F.when(F.col("_m1") - F.col("_m0") != DAY, F.struct("day", ((F.col("day") + 1) * DAY - F.col("_m1")).alias("offset")))
+    return ends.groupBy("cal_zone", F.floor(F.col("day") / CALENDAR_DAYS).alias("cal_period")).agg(
+        F.min_by(F.col("day") * DAY - F.col("_m0"), "day").alias("cal_first"), F.sort_array(F.collect_list(change)).alias("cal_changes"))
 
 
 def with_instant(df: DataFrame, local: str, zone: str, out: str, calendar: DataFrame) -> DataFrame:
     """Add ``{out}_state`` (``unique``, ``ambiguous``, ``nonexistent``) and ``{out}`` (UTC second, null unless unique).
 
-    Nearly all days keep one offset, which is looked up per (zone, day) in the calendar of the zones at hand (at most the
-    known zones times calendar days). Other rows are converted one by one with the offsets of the day before and the day
-    after: an instant is right if its wall clock shows the local time again. Both right: the time occurs twice; neither:
-    never. Clock changes of any size are covered. The steps are separate columns so that each is evaluated once.
+    Nearly all days keep one offset: that after the last change before them, found among the few changes of the zone's
+    period. Other rows are converted one by one with the offsets of the day before and the day after: an instant is right
+    if its wall clock shows the local time again. Both right: the time occurs twice; neither: never. Clock changes of
+    any size are covered. The steps are separate columns so that each is evaluated once.
     """
     first, early, late, back, later = (f"_{out}_{x}" for x in ("first", "early", "late", "back", "later"))
     columns = df.columns
     df = df.withColumn("_day", F.floor(F.col(local) / DAY))
-    df = df.join(F.broadcast(calendar), (F.col(zone) == F.col("cal_zone")) & (F.col("_day") == F.col("cal_day")), "left")
+    df = df.join(F.broadcast(calendar), (F.col(zone) == F.col("cal_zone")) & (F.floor(F.col("_day") / CALENDAR_DAYS) == F.col("cal_period")), "left")
+    passed = F.filter("cal_changes", lambda c: c["day"] <= F.col("_day"))
+    df = df.withColumn("_last", F.try_element_at(passed, F.lit(-1)))
+    df = df.withColumn("cal_offset", F.when(F.col("_last").isNull(), F.col("cal_first")).when(F.col("_last.day") < F.col("_day"), F.col("_last.offset")))
     known = F.col("cal_offset").isNotNull()
     df = df.withColumn(first, F.when(~known, utc_seconds(F.col(local), F.col(zone))))
     for name, shift in ((early, -DAY), (late, DAY)):

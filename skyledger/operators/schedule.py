@@ -18,7 +18,8 @@ def known_zone(zone: Column, zones: tuple[str, ...]) -> Column:
 def local_to_utc(df: DataFrame, day: str, raw: str, zone: str, out: str, zones: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``{out}_local`` and ``{out}_utc`` (seconds) and ``{out}_input`` (why a row has no instant).
 
-    ``zones`` are the zone names to convert; left out, they are read from the column: every IANA zone is accepted.
+    ``zones`` are the zone names to convert, as a dimension lists them; left out, they are read from the column, which costs a
+    pass over the rows. Every IANA zone is accepted.
     """
     zones = C.zones_in(df, zone) if zones is None else zones
     df = df.withColumns({f"_{out}_min": C.clock_minutes(F.col(raw)), f"_{out}_zone": known_zone(F.col(zone), zones)})
@@ -101,9 +102,9 @@ def reconcile_arrivals(df: DataFrame, max_day_offset: int = 2, tolerance_minutes
     )
 
 
-def normalise_schedule(df: DataFrame, tolerance_minutes: float = 60.0) -> DataFrame:
-    """Departure and arrival reconciliation in one row-local pass, over all zones of either column."""
-    zones = C.zones_in(df, "origin_zone", "destination_zone")
+def normalise_schedule(df: DataFrame, tolerance_minutes: float = 60.0, zones: tuple[str, ...] | None = None) -> DataFrame:
+    """Departure and arrival reconciliation in one row-local pass, over all zones of either column or the given ones."""
+    zones = C.zones_in(df, "origin_zone", "destination_zone") if zones is None else zones
     return reconcile_arrivals(reconcile_departures(df, zones=zones), tolerance_minutes=tolerance_minutes, zones=zones)
 
 

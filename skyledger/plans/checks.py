@@ -73,7 +73,7 @@ def guard_violations(spark, folder):
 
 def fixed_lead(spark, folder):
     """The fixed lead where some predictions are lost and some are shifted by a minute."""
-    df = prediction_times(flights(spark, folder, "flight_date", "dep_hhmm", "origin_zone", "flight_number"))
+    df = prediction_times(flights(spark, folder, "flight_date", "dep_hhmm", "origin_zone", "flight_number"), zones=ZONES)
     number = F.col("flight_number")
     broken = F.when(number % 211 != 0, F.col("prediction_utc") + F.when(number % 223 == 0, 60).otherwise(0))
     return X.lead_violations(df.withColumn("prediction_utc", broken), "departure_utc", "prediction_utc")

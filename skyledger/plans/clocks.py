@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import clocks as C
 from skyledger.operators import schedule as S
 from skyledger.plans.oracle_views import FLIGHTS
-from skyledger.sources.adapters import flights
+from skyledger.sources.adapters import ZONES, flights
 
 LOCKED_FROM = "2001-01-01"
 TIMING = ("flight_id", "flight_date", "origin", "origin_zone", "destination_zone", "dep_hhmm", "arr_hhmm", "sched_elapsed")
@@ -31,24 +31,24 @@ def schedule_consistency(spark, folder):
 
 
 def local_to_utc(spark, folder):
-    df = S.reconcile_departures(flights(spark, folder, "flight_id", "flight_date", "dep_hhmm", "origin_zone"))
+    df = S.reconcile_departures(flights(spark, folder, "flight_id", "flight_date", "dep_hhmm", "origin_zone"), zones=ZONES)
     return df.select("flight_id", "departure_status", "departure_utc", "departure_day_offset", "prediction_utc")
 
 
 def arrival_reconcile(spark, folder):
-    df = S.reconcile_arrivals(S.reconcile_departures(flights(spark, folder, *TIMING)), tolerance_minutes=30.0)
+    df = S.reconcile_arrivals(S.reconcile_departures(flights(spark, folder, *TIMING), zones=ZONES), tolerance_minutes=30.0, zones=ZONES)
     return df.select("flight_id", "arrival_status", "arrival_utc", "arrival_day_offset", "duration_utc_minutes",
                      "duration_difference_minutes")
 
 
 def schedule_normalisation(spark, folder):
-    df = S.normalise_schedule(flights(spark, folder, *TIMING))
+    df = S.normalise_schedule(flights(spark, folder, *TIMING), zones=ZONES)
     return df.groupBy("departure_status", "arrival_status").agg(
         F.count("*").alias("rows"), F.count("arrival_utc").alias("resolved"), F.max("arrival_day_offset").alias("max_day_offset"))
 
 
 def prediction_times(spark, folder):
-    df = S.prediction_times(flights(spark, folder, *TIMING))
+    df = S.prediction_times(flights(spark, folder, *TIMING), zones=ZONES)
     return df.select("flight_id", C.iso_local(F.col("departure_local")).alias("departure_local"),
                      C.iso_utc(F.col("departure_utc")).alias("departure_utc"),
                      C.iso_utc(F.col("prediction_utc")).alias("prediction_utc"),
@@ -56,7 +56,7 @@ def prediction_times(spark, folder):
 
 
 def _outcomes(spark, folder):
-    return S.outcome_times(S.prediction_times(flights(spark, folder, *OUTCOME)), LOCKED_FROM)
+    return S.outcome_times(S.prediction_times(flights(spark, folder, *OUTCOME), zones=ZONES), LOCKED_FROM)
 
 
 def outcome_times(spark, folder):
@@ -64,7 +64,7 @@ def outcome_times(spark, folder):
 
 
 def arrival_clock_check(spark, folder):
-    return S.arrival_clock_check(_outcomes(spark, folder)).select("flight_id", "clock_status", "validated_arrival_utc")
+    return S.arrival_clock_check(_outcomes(spark, folder), zones=ZONES).select("flight_id", "clock_status", "validated_arrival_utc")
 
 
 def calendar_parts(spark, folder):
@@ -93,7 +93,7 @@ def date_formats(spark, folder):
 
 
 def status_counts(spark, folder):
-    df = S.prediction_times(flights(spark, folder, *TIMING))
+    df = S.prediction_times(flights(spark, folder, *TIMING), zones=ZONES)
     return S.status_counts(df, "conversion_status", "origin")
 
 

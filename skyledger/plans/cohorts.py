@@ -9,7 +9,7 @@ from skyledger.operators.schedule import prediction_times
 from skyledger.plans.clocks import _DEP
 from skyledger.plans.oracle_views import FLIGHTS, div
 from skyledger.session import stage
-from skyledger.sources.adapters import flights
+from skyledger.sources.adapters import ZONES, flights
 
 COHORT_COLUMNS = ("flight_id", "flight_date", "prediction_utc", "completed", "cancelled_source", "diverted_source", "severe_120", "delay_minutes",
                   "original_split", "split", "regime", "embargoed", "eligible_cancellation", "eligible_severe", "eligible_regression")
@@ -26,7 +26,7 @@ def cohort_frame(spark, folder, *extra):
     """The cohort as a materialised stage. Clock conversion is a long expression chain; a filter pushed through it
     would repeat the chain in every predicate, so the cohort is written once, by split, and filtered afterwards."""
     timing = ("dep_hhmm", "origin_zone")
-    timed = prediction_times(labelled(spark, folder, *timing, *[e for e in extra if e not in timing]))
+    timed = prediction_times(labelled(spark, folder, *timing, *[e for e in extra if e not in timing]), zones=ZONES)
     return stage(L.cohort(timed).select(*COHORT_COLUMNS, *extra), "split")
 
 
