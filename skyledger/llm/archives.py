@@ -13,7 +13,10 @@ reader of the format opens them. A file is as large as its partition of the inpu
 
 Defined cases: a null payload is empty; a null URL is written as ``unknown:``; null keys come last when the response is
 chosen and ties go to the first place in the archives; repeated rows are records of their own; an empty table gives no
-files and no rows; a header line that cannot be read is skipped up to the next that can, and counted as ``damaged``.
+files and no rows. Damage never stops a file: a header line that cannot be read is skipped up to the next that can, a
+corrupt or cut member up to the next gzip opening, a WARC record without a head or whole block up to the next line that
+opens one, and a version block that cannot be read leaves the fields as they were. ``damaged_lines`` and ``damaged_warc``
+give one row for each, with its place; bytes skipped to reach the next record belong to the row before.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ CRAWL_DATE = "20200101000000"
 SMALL = 1 << 24
 #: Bytes of an archive that are unpacked at once.
 READ = 1 << 14
+#: Fixed value of the format: the opening of a deflated gzip member.
+GZIP = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 
 ARC_SCHEMA = "archive string, offset long, version int, url string, ip string, date string, mime string, damaged boolean, block binary"
@@ -59,17 +64,38 @@ def member(record: bytes) -> bytes:
     return (data if len(record) < SMALL else data + EMPTY_MEMBER)[:-1]
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Place and content of each gzip member."""
+def members(data: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """Place and content of each gzip member; None for one that is corrupt or cut, after which the next gzip opening is tried."""
     at, view = 0, memoryview(data)
     while at < len(data):
         opener, parts, upto = zlib.decompressobj(31), [], at
-        while not opener.eof and upto < len(data):
-            parts.append(opener.decompress(view[upto:upto + READ]))
-            upto += READ
-        if any(parts):
-            yield at, b"".join(parts)
-        at = min(upto, len(data)) - len(opener.unused_data)
+        try:
+            while not opener.eof and upto < len(data):
+                parts.append(opener.decompress(view[upto:upto + READ]))
+                upto += READ
+        except zlib.error:
+            parts = []
+        if opener.eof:
+            if any(parts):
+                yield at, b"".join(parts)
+            at = min(upto, len(data)) - len(opener.unused_data)
+            continue
+        # A chance opening inside packed bytes fails as well and is part of the same damage.
+        bad, at = at, data.find(GZIP, at + 1)
+        while at >= 0 and not _opens_member(view, at):
+            at = data.find(GZIP, at + 1)
+        yield bad, None
+        if at < 0:
+            return
+
+
+def _opens_member(view: memoryview, at: int) -> bool:
+    """Whether the bytes from here on unpack: the whole member, or all of it that fits in one read."""
+    opener = zlib.decompressobj(31)
+    try:
+        return bool(opener.decompress(view[at:at + READ])) or opener.eof
+    except zlib.error:
+        return False
 
 
 def write_members(records: DataFrame, path: str) -> None:
@@ -115,10 +141,22 @@ def write_arc(pages: DataFrame, path: str, date: str = CRAWL_DATE) -> None:
     write_members(pages.select("url", F.col("key").cast("long"), F.col("payload").cast("binary")).mapInArrow(_arc_members(date), "member binary"), path)
 
 
+def _version_block(block: bytes) -> tuple[int, list[str]] | None:
+    """Version and field names of the block of a ``filedesc:`` record; None if it does not name them."""
+    lines = block.decode("utf-8", "replace").split("\n")
+    number, names = lines[0].split(" ")[0], lines[1].split() if len(lines) > 1 else []
+    if not re.fullmatch(r"[0-9]{1,9}", number) or not set(ARC_FIELDS[1]) <= set(names) or names[-1] != ARC_FIELDS[1][-1]:
+        return None
+    return int(number), names
+
+
 def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
     """Offset, version, header fields, block and damage of each record of one ARC file, packed or not."""
     version, fields = 1, ARC_FIELDS[1]
-    for at, data in members(content) if content[:2] == b"\x1f\x8b" else [(0, content)]:
+    for at, data in members(content) if content[:2] == GZIP[:2] else [(0, content)]:
+        if data is None:
+            yield at, version, {}, b"", True
+            continue
         place = 0
         while place < len(data):
             line_end = data.find(b"\n", place)
@@ -137,9 +175,11 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes,
                 continue
             block = data[line_end + 1:line_end + 1 + int(parts[-1])]
             if text.startswith("filedesc:"):
-                lines = block.decode("utf-8", "replace").split("\n")
-                version = int(lines[0].split(" ")[0])
-                fields = lines[1].split(" ")
+                named = _version_block(block)
+                if named:
+                    version, fields = named
+                else:
+                    yield at + place, version, {}, line, True
             else:
                 yield at + place, version, dict(zip(fields, parts)), block, False
             place = line_end + 1 + len(block)
@@ -169,6 +209,12 @@ def field_of(head: bytes, name: str) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
+def _number(text: str | None) -> int | None:
+    """A field that holds a whole number of 64 bits; anything else is null."""
+    found = int(text) if text and re.fullmatch(r"[+-]?[0-9]{1,19}", text.strip()) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
+
+
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -190,7 +236,7 @@ def _arc_rows(full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     key = field_of(head, KEY_FIELD)
                     rows.append({
                         "archive": _name(path), "offset": offset, "url": fields["URL"], "ip": fields["IP-address"], "date": fields["Archive-date"], "mime": fields["Content-type"],
-                        "key": int(key) if key else None, "digest": sha1_base32(payload), "size": len(payload), **({"block": zlib.compress(block, 6)} if full else {})})
+                        "key": _number(key), "digest": sha1_base32(payload), "size": len(payload), **({"block": zlib.compress(block, 6)} if full else {})})
                     if len(rows) == 500:
                         yield _batch(rows, full)
                         rows = []
@@ -223,10 +269,22 @@ def read_arc(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
 
 
 def damaged_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Header lines that could not be read, with archive and offset."""
+    """What could not be read: archive, offset and header line (empty for a corrupt member), a row for each."""
     return _files(spark, path).mapInArrow(_damage, "archive string, offset long, line binary")
 
 
+def _warc_damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            rows = [{"archive": _name(path), "offset": o, "head": h} for o, h, b in parse_warc(content.as_buffer().to_pybytes()) if b is None]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("head", pa.binary())]))
+
+
+def damaged_warc(spark: SparkSession, path: str) -> DataFrame:
+    """WARC records without a readable head, length or whole block, and corrupt members: archive, offset, head."""
+    return _files(spark, path).mapInArrow(_warc_damage, "archive string, offset long, head binary")
+
+
 def warc_type(url: str, head: bytes) -> tuple[str, str]:
     """Record type and content type that an ARC record gets."""
     if head:
@@ -278,18 +336,26 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
     write_members(rows.mapInArrow(_warc_members, "member binary"), warc_path)
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """Offset, head and block of each record of one WARC file, packed or not."""
-    for at, data in members(content) if content[:2] == b"\x1f\x8b" else [(0, content)]:
+def parse_warc(content: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """Offset, head and block of each record of one WARC file, packed or not; a damaged record has no block."""
+    for at, data in members(content) if content[:2] == GZIP[:2] else [(0, content)]:
+        if data is None:
+            yield at, b"", None
+            continue
         place = 0
         while place < len(data):
             head_end = data.find(b"\r\n\r\n", place)
-            if not data.startswith(b"WARC/", place) or head_end < 0:
-                raise ValueError(f"no WARC record at {at + place}")
-            head = data[place:head_end + 2]
-            size = int(field_of(head, "Content-Length") or 0)
-            yield at + place, head, data[head_end + 4:head_end + 4 + size]
-            place = head_end + 8 + size
+            head = data[place:head_end + 2] if data.startswith(b"WARC/", place) and head_end >= 0 else b""
+            size = field_of(head, "Content-Length") or ""
+            last = head_end + 4 + int(size) if re.fullmatch(r"[0-9]{1,18}", size) else len(data) + 1
+            if last <= len(data):
+                yield at + place, head, data[head_end + 4:last]
+                place = last
+                while data.startswith(b"\r\n", place):
+                    place += 2
+                continue
+            yield at + place, head, None
+            place = data.find(b"\nWARC/", place) + 1 or len(data)
 
 
 def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +365,14 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for offset, head, block in parse_warc(content.as_buffer().to_pybytes()):
                 kind = field_of(head, "WARC-Type")
-                if kind == "warcinfo":
+                if kind == "warcinfo" or block is None:
                     continue
                 http, payload = split_block(block)
                 digest = (field_of(head, "WARC-Payload-Digest") or "").removeprefix("sha1:")
-                size = int(field_of(http, "Content-Length") or 0) if kind == "revisit" else len(payload)
+                size = _number(field_of(http, "Content-Length")) or 0 if kind == "revisit" else len(payload)
                 key, refers = field_of(head, KEY_FIELD), field_of(head, REFERS_FIELD)
                 intact = field_of(head, "WARC-Block-Digest") == f"sha1:{sha1_base32(block)}" and (kind == "revisit" or digest == sha1_base32(payload))
-                rows.append((_name(path), offset, kind, field_of(head, "WARC-Record-ID"), field_of(head, "WARC-Target-URI"), field_of(head, "WARC-Date"), int(key) if key else None, int(refers) if refers else None, digest, size, intact))
+                rows.append((_name(path), offset, kind, field_of(head, "WARC-Record-ID"), field_of(head, "WARC-Target-URI"), field_of(head, "WARC-Date"), _number(key), _number(refers), digest, size, intact))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 

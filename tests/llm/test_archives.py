@@ -85,3 +85,68 @@ def test_empty(spark):
     archives.write_arc(pages(spark, []), arc)
     archives.convert(spark, arc, warc)
     assert archives.read_warc(spark, warc).count() == 0 and archives.damaged_lines(spark, arc).count() == 0
+
+
+def _put(folder, name, data):
+    at = pathlib.Path(folder.removeprefix("file:"))
+    at.mkdir(parents=True, exist_ok=True)
+    (at / name).write_bytes(data)
+
+
+def test_damaged_arc_members_and_version_blocks(spark):
+    records = [archives.arc_opening(1, "n", "2001")] + [b"http://%c/ 1.2.3.4 2001 text/html 3\nab%c\n" % (c, c) for c in b"stuvw"]
+    packed = [gzip.compress(r) for r in records]
+    torn = bytearray(packed[2])
+    torn[12:-8] = b"\xff" * (len(torn) - 20)
+    wrong_sum = packed[4][:-8] + bytes(4) + packed[4][-4:]
+    good, places = b"", []
+    for part in (packed[0], packed[1], bytes(torn), packed[3], wrong_sum, packed[5], packed[1][:-6]):
+        places.append(len(good))
+        good += part
+    found = list(archives.parse_arc(good))
+    assert [(o, f.get("URL"), b, bad) for o, _, f, b, bad in found] == [
+        (places[1], "http://s/", b"abs", False), (places[2], None, b"", True), (places[3], "http://u/", b"abu", False), (places[4], None, b"", True),
+        (places[5], "http://w/", b"abw", False), (places[6], None, b"", True)]
+    for block in (b"one 0 crawl\nURL IP-address Archive-date Content-type Archive-length\n", b"1 0 crawl", b"", b"1 0 c\nURL Archive-length\n", b"2 0 c\nURL IP-address Archive-date Archive-length Content-type\n"):
+        data = archives.arc_header(1, "filedesc://n", "0.0.0.0", "2001", "text/plain", len(block), "n") + block + b"\n" + records[1]
+        assert [(f.get("URL"), bad) for _, _, f, _, bad in archives.parse_arc(data)] == [(None, True), ("http://s/", False)]
+    folder = new_path(spark, "arc")
+    _put(folder, "a.arc.gz", good)
+    assert sorted(r["url"] for r in archives.read_arc(spark, folder).collect()) == ["http://s/", "http://u/", "http://w/"]
+    assert sorted(r["offset"] for r in archives.damaged_lines(spark, folder).collect()) == [places[2], places[4], places[6]]
+    warc = new_path(spark, "warc")
+    archives.convert(spark, folder, warc)
+    assert archives.read_warc(spark, warc).where("intact").count() == 3 and archives.damaged_warc(spark, warc).count() == 0
+
+
+def test_damaged_warc_records(spark):
+    def record(key, block):
+        return archives.warc_record([("WARC-Type", "resource"), ("WARC-Target-URI", f"http://{key}/"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("WARC-Payload-Digest", f"sha1:{digest(block)}"), (archives.KEY_FIELD, key)], block)
+
+    whole = record(1, b"one")
+    lost = [b"garbage\r\n\r\n", record(2, b"two").replace(b"Content-Length: 3", b"Content-Length: x"), record(3, b"three").replace(b"Content-Length: 5", b"Content-Length: 5000")]
+    for bad in lost:
+        found = list(archives.parse_warc(whole + bad + record(4, b"four")))
+        assert [(o, b) for o, _, b in found] == [(0, b"one"), (len(whole), None), (len(whole + bad), b"four")]
+    assert [b for _, _, b in archives.parse_warc(whole + whole[:20])] == [b"one", None]
+    odd = record(1, b"five").replace(b"X-Page-Id: 1", b"X-Page-Id: nine")
+    folder = new_path(spark, "warc")
+    _put(folder, "a.warc", whole + lost[1] + odd)
+    _put(folder, "b.warc.gz", gzip.compress(whole) + gzip.compress(lost[0])[:-9] + gzip.compress(record(4, b"four")))
+    rows = sorted((r["archive"], r["key"] or 0, r["size"], r["intact"]) for r in archives.read_warc(spark, folder).collect())
+    assert rows == [("a.warc", 0, 4, True), ("a.warc", 1, 3, True), ("b.warc.gz", 1, 3, True), ("b.warc.gz", 4, 4, True)]
+    assert sorted((r["archive"], r["offset"]) for r in archives.damaged_warc(spark, folder).collect()) == [("a.warc", len(whole)), ("b.warc.gz", len(gzip.compress(whole)))]
+
+
+def test_gzip_opening_inside_packed_bytes():
+    """Stored (not deflated) members hold their bytes as they are, chance openings too."""
+    import zlib
+    def stored(data):
+        packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return packer.compress(data) + packer.flush()
+
+    one, two = stored(b"x" * 50 + archives.GZIP + bytes(3) + b"y" * 50), stored(b"tail")
+    broken = bytearray(one)
+    broken[10] ^= 0x06
+    assert list(archives.members(bytes(broken) + two)) == [(0, None), (len(one), b"tail")]
+    assert list(archives.members(one + two))[0][0] == 0
