@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from skyledger.llm.common import fold, stage, table, text_slices
-from skyledger.llm.words import NOT_ALNUM, Words, mix, texts_buffer, words_of
+from skyledger.llm.words import NOT_ALNUM, mix, texts_buffer, words_of
 
 MAX_EXAMPLES = 4000
 #: A term of more than one in ``DENSE_SHARE`` examples is a matrix row, for at most so many terms.
@@ -49,13 +49,8 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms of all texts, and the index of each one's text."""
     words = words_of(texts, NOT_ALNUM, lower=True)
     of = words.text_of()
-    found, owner = [words.hashes()], [of]
-    for size in PREFIXES:
-        long = words.end - words.start > size
-        cut = Words(words.data, words.start[long], words.start[long] + size, words.first)
-        found.append(mix(cut.hashes() ^ _TAG))
-        owner.append(of[long])
-    return np.concatenate(found), np.concatenate(owner)
+    (_, whole), *cuts = words.cut_hashes((0, *PREFIXES))
+    return np.concatenate([whole, *(mix(x ^ _TAG) for _, x in cuts)]), np.concatenate([of, *(of[long] for long, _ in cuts)])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +62,35 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "example": batch.column("example").slice(row, 1), "terms": pa.array([seen.tobytes()], pa.binary()), "n": pa.array([count.astype(np.int32).tobytes()], pa.binary())})
 
 
-def _known(terms: np.ndarray, value: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Places:
+    """Where hashes are among sorted distinct ``terms``: the first bits of a hash name a short run of terms that is looked through."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms, bits = terms, len(terms).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.opens = np.append(np.searchsorted(terms, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(terms)).astype(np.int32)
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 if it is no term."""
+        run = (value >> self.shift).astype(np.int32)
+        at, last, left = self.opens[run], self.opens[run + 1], None
+        place = np.full(len(value), -1, np.int32)
+        while True:
+            more = np.flatnonzero(at < last)
+            if not len(more):
+                return place
+            at, last, value, left = at[more], last[more], value[more], more if left is None else left[more]
+            hit = self.terms[at] == value
+            place[left[hit]] = at[hit]
+            at, last = at + 1, np.where(hit, 0, last)
+
+
+def _known(places: Places, value: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, term number and count of the indexed terms of each text."""
-    seen, at = np.unique(value, return_inverse=True)
-    place = np.minimum(np.searchsorted(terms, seen), len(terms) - 1)
-    place = np.where(terms[place] == seen, place, -1)[at]
+    place = places.of(value)
     known = place >= 0
-    pairs, count = np.unique(of[known] * len(terms) + place[known], return_counts=True)
-    return *np.divmod(pairs, len(terms)), count
+    pairs, count = np.unique(of[known] * len(places.terms) + place[known], return_counts=True)
+    return *np.divmod(pairs, max(len(places.terms), 1)), count
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -82,12 +98,12 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(shared.value) + 1, np.int64)
+        places, held = Places(shared.value), np.zeros(len(shared.value) + 1, np.int64)
         for batch in batches:
             held[-1] += batch.num_rows
             for part in text_slices(batch):
                 if len(shared.value):
-                    held[:-1] += np.bincount(_known(shared.value, *terms_of(part.column("text")))[1], minlength=len(shared.value))
+                    held[:-1] += np.bincount(_known(places, *terms_of(part.column("text")))[1], minlength=len(shared.value))
         used = np.flatnonzero(held)
         yield pa.RecordBatch.from_pydict({"term": pa.array(used.astype(np.int64)), "n": pa.array(held[used])})
 
@@ -101,8 +117,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
 class Index:
     """Examples in blocks; postings sorted by (term, example). ``idf`` has all of a term's weight.
 
-    Only the postings are sent to the tasks. What is made from them there: the matrix rows of frequent terms, and the
-    cells of all others, one for each term and block.
+    Only the postings are sent to the tasks. What is made from them there: the places of the terms, the matrix rows of
+    frequent ones, and the cells of all others, one for each term and block.
     """
 
     terms: np.ndarray
@@ -118,9 +134,10 @@ class Index:
     levels: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def prepared(self) -> Index:
-        """With the matrix and the cells."""
+        """With the places, the matrix and the cells."""
         if hasattr(self, "dense"):
             return self
+        self.places = Places(self.terms)
         often = np.argsort(-self.held, kind="stable")[:DENSE_TERMS]
         often = often[self.held[often].astype(np.int64) * DENSE_SHARE > len(self.ids)]
         self.dense_row, dense = np.full(len(self.terms), -1, np.int32), np.zeros((len(often), len(self.ids)), np.float32)
@@ -145,7 +162,7 @@ class Index:
         n = len(texts)
         if not len(self.terms):
             return np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0)
-        text, term, count = _known(self.terms, value, of)
+        text, term, count = _known(self.prepared().places, value, of)
         weight = (1 + np.log(count)) * self.idf[term]
         length = np.sqrt(np.bincount(text, weights=weight * weight, minlength=n))
         return np.searchsorted(text, np.arange(n + 1)), term, weight / length[text]

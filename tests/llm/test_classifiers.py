@@ -151,3 +151,23 @@ def test_index_has_every_term_with_corpus_frequencies(spark, monkeypatch, share)
     for i, (_, found) in zip(texts, index.searched(*index.vectors(pa.array(list(texts.values()))))):
         exact = sorted((sum(x * unit[j].get(w, 0) for w, x in unit[i].items()) for j in index.ids.tolist()), reverse=True)[:toxicity.NEAREST]
         assert np.allclose(found, exact, atol=1e-6)
+
+
+def test_places_and_cut_hashes_equal_plain_search():
+    import numpy as np
+    import pyarrow as pa
+
+    from skyledger.llm.words import NOT_ALNUM, Words, words_of
+
+    draw = np.random.Generator(np.random.PCG64(5))
+    for n in (0, 1, 2, 1000):
+        terms = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        terms = np.unique(np.concatenate([terms, terms[:50] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)[:n]]))  # crowded runs and both ends
+        asked = np.concatenate([terms, terms, draw.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        number = {int(t): i for i, t in enumerate(terms)}
+        assert toxicity.Places(terms).of(asked).tolist() == [number.get(int(v), -1) for v in asked]
+    words = words_of(pa.array(["Some longer words, a b ab abcd abcde abcdef", None, "", "größer x" * 40]), NOT_ALNUM, lower=True)
+    for size, (chosen, found) in zip((0, 4, 5), words.cut_hashes((0, 4, 5))):
+        last = words.start[chosen] + size if size else words.end[chosen]
+        assert (words.end - words.start > size).nonzero()[0].tolist() == chosen.tolist()
+        assert found.tolist() == Words(words.data, words.start[chosen], last, words.first).hashes().tolist()
