@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skyledger.session import prepare
 
 AREAS = ("clocks", "checks", "cohorts", "disruption", "history", "sequences", "networks", "recovery",
-         "evaluation", "calibration", "learning", "streams", "pasts")
+         "evaluation", "calibration", "learning", "streams", "pasts", "rotations")
 
 
 def _modules():
