@@ -8,12 +8,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.values import clip_probability, from_logit, to_logit
+from skyledger.operators.isotonic import apply_steps, fit_steps
 from skyledger.operators.schema import enforce, period_guard
 from skyledger.session import cut_lineage, stage
 
@@ -112,17 +111,14 @@ def grouped_slopes(df: DataFrame, keys: list[str], probability: str, label: str
     return state.select(*keys, F.col("b").alias("calibration_slope"), F.col("level").alias("calibration_in_the_large"))
 
 
-def fit_isotonic(df: DataFrame, score: str = "score", label: str = "label") -> IsotonicRegressionModel:
-    """Monotone step fit on distinct scores, weighted by their rows."""
-    grouped = df.groupBy(F.col(score).cast("double").alias("_x")).agg(F.avg(label).alias("_y"), F.count("*").cast("double").alias("_w"))
-    points = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(grouped)
-    return IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", isotonic=True).fit(points)
+def fit_isotonic(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Steps of the monotone fit on distinct scores, weighted by their rows."""
+    return fit_steps(df, score, label)
 
 
-def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, score: str, out: str) -> DataFrame:
+def apply_isotonic(steps: DataFrame, df: DataFrame, score: str, out: str) -> DataFrame:
     """Fitted values, linear between steps; scores outside the fitted range take the nearest value."""
-    work = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(df.withColumn("_x", F.col(score).cast("double")))
-    return model.setFeaturesCol("_f").setPredictionCol("_p").transform(work).withColumn(out, clip_probability(F.col("_p"))).drop("_x", "_f", "_p")
+    return apply_steps(steps, df, score, out).withColumn(out, clip_probability(F.col(out)))
 
 
 def calibrate(fit: DataFrame, apply: DataFrame, second: str, locked_from: Column, identity: str = "flight_id", score: str = "score") -> DataFrame:
