@@ -1,18 +1,22 @@
 """A hidden Markov language model trained by Baum-Welch counts that Spark sums over partitions.
 
-States emit classes of words, ``CLASSES`` hash classes and one for the end of a text, and a class emits a word by its
-share of the class's mass: count + 0.5, and for all unknown words of the class together 0.5 and as much as the class
-has words seen once. The model so gives every text a true probability; an unknown word is known by its class alone. Its parameters are bounded by ``STATES`` and
-``CLASSES``; the word counts grow with the corpus and stay a table.
+Every state has an emission of its own for each of the most frequent words (``TOP_WORDS`` of them, seen twice at least) and
+for the end of a text. All other words are emitted through hash classes, whose number grows with the vocabulary
+(``class_count``); a class emits a word by its share of the class's mass: count + 0.5, and for all unknown words of the class
+together 0.5 and as much as the class has words seen once. The model so gives every text a true probability; an unknown word is
+known by its class alone. ``TOP_WORDS`` and ``MOST_CLASSES`` bound what is sent to a task; the word counts stay a table.
 
 A sequence is cut into segments of ``SEGMENT`` tokens. The product of a segment's step matrices is found for all
 segments side by side, carried from segment to segment along each text, and the scaled forward and backward recursions
-then run inside all segments at once. That is the exact recursion, whatever the length of a text. An iteration reads all
-training texts; expected counts are summed in each task, then by Spark, and the driver gets one row for each class.
+then run inside ``AT_ONCE`` segments at a time. That is the exact recursion, whatever the length of a text, and a long text needs
+a few bytes a token besides. An iteration reads all training texts; expected counts are summed in each task, then by Spark, and
+the driver gets one row for each emission. Iterations go on until one gains less than ``GAIN`` of the log likelihood.
+
+A word's expected split over the states is drawn to the states' own shares as if by ``DRAW`` more tokens, so that a word seen
+twice is not tied to one state.
 
 Words are runs of bytes outside blank, tab, line feed, vertical tab, form feed and carriage return, A-Z lower-cased, and
-are counted by a 64-bit hash. Log counts of the ``TOP_WORDS`` most frequent words are sent to the tasks; all others
-are joined.
+are counted by a 64-bit hash. Log counts of the frequent words are sent to the tasks; all others are joined.
 
 Defined cases: a null text is empty and has the end as its only token; a null id counts as the empty text in the fold;
 repeated rows are learned and scored one by one; without training texts all words are unknown; an empty table gives no
@@ -33,10 +37,14 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import fold, numbered_slices, stage, table
 from skyledger.llm.words import SPACE, words_of
 
-STATES, CLASSES, SEGMENT, ITERATIONS = 6, 8192, 256, 4
+STATES, SEGMENT, AT_ONCE = 6, 256, 4096
 TOP_WORDS, TASK_WORDS = 200_000, 2_000_000
-#: Weight of the unigram shares in a state's emissions, and of an even row in its transitions.
-SMOOTH, EVEN = 20.0, 1.0
+#: Classes are a power of two, some ``CLASS_WORDS`` distinct words to a class.
+CLASS_WORDS, LEAST_CLASSES, MOST_CLASSES = 32, 1024, 1 << 20
+#: Training ends when an iteration gains less than this share of the log likelihood, or after so many.
+GAIN, ITERATIONS = 0.002, 50
+#: Tokens that draw a word's split over the states to the states' shares, and the weight of an even row in the moves.
+DRAW, EVEN = 4.0, 1.0
 FOLDS, HELD_OUT = 5, 1
 TOKENS_SCHEMA = "block long, ids array<long>, held array<boolean>, n_tokens array<long>, known array<long>, logs array<double>, classes binary, rare_first array<long>, rare binary"
 
@@ -45,7 +53,7 @@ TOKENS_SCHEMA = "block long, ids array<long>, held array<boolean>, n_tokens arra
 class Model:
     start: np.ndarray
     move: np.ndarray
-    emit: np.ndarray  # one row for each class
+    emit: np.ndarray  # one row for each frequent word, then for each class, then for the end
 
 
 class Segments:
@@ -105,29 +113,38 @@ class Segments:
             after[level] = later[doc]
             back = np.einsum("dkl,dl->dk", products[level], later[doc])
             later[doc] = back / back.sum(axis=1, keepdims=True)
+        starts, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+        for low in range(0, len(self.doc), AT_ONCE):
+            part = slice(low, low + AT_ONCE)
+            self._inside(model, low, before[part], after[part], starts, moves, emitted)
+        return starts, moves * model.move, emitted, float(total.sum())
+
+    def _inside(self, model: Model, low: int, before: np.ndarray, after: np.ndarray, starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray) -> None:
+        """Add the counts of the segments from ``low`` on, given the state shares before and the weights after each."""
+        active = np.clip(self.active - low, 0, len(before))
+        active, opens, at = active[active > 0], self.opens[low:low + len(before)], self.at[low:low + len(before)]
+        symbols = [self.classes[at[:n] + step] for step, n in enumerate(active)]
         forward: list[np.ndarray] = []
-        for step, n in enumerate(self.active):
-            prior = np.where(self.opens[:n, None], model.start, before[:n] @ model.move) if step == 0 else forward[-1][:n] @ model.move
-            now = prior * self.emitted(model, step)
+        for step, n in enumerate(active):
+            prior = np.where(opens[:n, None], model.start, before[:n] @ model.move) if step == 0 else forward[-1][:n] @ model.move
+            now = prior * model.emit[symbols[step]]
             forward.append(now / now.sum(axis=1, keepdims=True))
-        shares, owners = [], []
-        moves = np.zeros((k, k))
-        for step in range(len(self.active) - 1, -1, -1):
-            n = self.active[step]
+        for step in range(len(active) - 1, -1, -1):
+            n = active[step]
             share = forward[step] * after[:n]
-            shares.append(share / share.sum(axis=1, keepdims=True))
-            owners.append(self.classes[self.at[:n] + step])
-            ahead = self.emitted(model, step) * after[:n]
+            share /= share.sum(axis=1, keepdims=True)
+            ahead = model.emit[symbols[step]] * after[:n]
             back = ahead @ model.move.T
             last = forward[step - 1][:n] if step else before[:n]
             weight = (last * back).sum(axis=1)
-            inner = slice(None) if step else ~self.opens[:n]
+            inner = slice(None) if step else ~opens[:n]
             moves += last[inner].T @ (ahead[inner] / weight[inner, None])
             after[:n] = back / back.sum(axis=1, keepdims=True)
-        starts = shares[-1][self.opens[:self.active[0]]].sum(axis=0) if shares else np.zeros(k)
-        share, owner = (np.concatenate(shares), np.concatenate(owners)) if shares else (np.empty((0, k)), np.empty(0, int))
-        emitted = np.column_stack([np.bincount(owner, weights=share[:, i], minlength=len(model.emit)) for i in range(k)])
-        return starts, moves * model.move, emitted, float(total.sum())
+            forward[step] = share
+        starts += forward[0][opens[:active[0]]].sum(axis=0)
+        shares, owners = np.concatenate(forward), np.concatenate(symbols)
+        for i in range(emitted.shape[1]):
+            emitted[:, i] += np.bincount(owners, weights=shares[:, i], minlength=len(emitted))
 
 
 def _words(part: pa.RecordBatch):
@@ -169,14 +186,20 @@ class Top:
     words: np.ndarray
     logs: np.ndarray
     n_texts: int
+    classes: int
 
 
-def _classes(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(40)) & np.uint64(CLASSES - 1)
+def class_count(distinct: int) -> int:
+    wanted = 1 << max(-(-distinct // CLASS_WORDS) - 1, 0).bit_length()
+    return min(max(wanted, LEAST_CLASSES), MOST_CLASSES)
+
+
+def _classes(value: np.ndarray, classes: int) -> np.ndarray:
+    return ((value >> np.uint64(40)) & np.uint64(classes - 1)).astype(np.int64)
 
 
 def _encode(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Class sequences, the log counts of frequent words, and the other words of each text."""
+    """Emission sequences, the log counts of frequent words, and the other words of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = shared.value
         for block, part in numbered_slices(batches):
@@ -186,18 +209,19 @@ def _encode(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             frequent = top.words[at] == value if len(top.words) else np.zeros(len(value), bool)
             known = np.bincount(of[frequent], minlength=n) + (top.n_texts > 0)
             logs = np.bincount(of[frequent], weights=top.logs[at[frequent]] if len(top.words) else None, minlength=n).astype(float)
-            classes = np.insert(_classes(value).astype(np.uint16), words.first[1:], CLASSES)
+            emissions = np.where(frequent, at, len(top.words) + _classes(value, top.classes)).astype(np.uint32)
+            emissions = np.insert(emissions, words.first[1:], len(top.words) + top.classes)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([block], pa.int64()), "ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())),
                 "n_tokens": pa.array([words.count + 1], pa.list_(pa.int64())), "known": pa.array([known], pa.list_(pa.int64())), "logs": pa.array([logs], pa.list_(pa.float64())),
-                "classes": pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary()),
+                "classes": pa.array([zlib.compress(emissions.tobytes(), 1)], pa.binary()),
                 "rare_first": pa.array([np.searchsorted(of[~frequent], np.arange(n + 1))], pa.list_(pa.int64())), "rare": pa.array([value[~frequent].tobytes()], pa.binary())})
 
     return run
 
 
 def _sequences(row: dict, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    classes, lengths = np.frombuffer(zlib.decompress(row["classes"]), np.uint16), np.array(row["n_tokens"], np.int64)
+    classes, lengths = np.frombuffer(zlib.decompress(row["classes"]), np.uint32), np.array(row["n_tokens"], np.int64)
     if keep is None:
         return classes, lengths
     return classes[np.repeat(keep, lengths)], lengths[keep]
@@ -218,7 +242,9 @@ def _expect(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         used = np.flatnonzero(emitted.sum(axis=1))
         key = np.concatenate([used, [-1], -2 - np.arange(k), [-2 - k]])
         rows = np.concatenate([emitted[used], starts[None], moves, np.full((1, k), total)])
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *[pa.array(rows[:, i]) for i in range(k)]], ["key", *[f"s{i}" for i in range(k)]])
+        for low in range(0, len(key), 65_536):
+            part = slice(low, low + 65_536)
+            yield pa.RecordBatch.from_arrays([pa.array(key[part].astype(np.int64)), *[pa.array(rows[part, i]) for i in range(k)]], ["key", *[f"s{i}" for i in range(k)]])
 
     return run
 
@@ -233,26 +259,31 @@ def first_model(shares: np.ndarray, states: int = STATES) -> Model:
 
 
 def next_model(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, shares: np.ndarray) -> Model:
-    emit = emitted + SMOOTH * shares[:, None]
+    states = emitted.sum(axis=0) / emitted.sum()
+    emit = shares[:, None] * (emitted + DRAW * states) / (emitted.sum(axis=1, keepdims=True) + DRAW)
     start, move = starts + EVEN / len(starts), moves + EVEN / len(starts)
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(tokens: DataFrame, shares: np.ndarray, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """The model after so many iterations over all training texts, and the log likelihood before each."""
+def train(tokens: DataFrame, shares: np.ndarray, gain: float = GAIN, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
+    """The model learned from all training texts, and the log likelihood before each iteration."""
     model, history = first_model(shares), []
     k = len(model.start)
     for _ in range(iterations):
-        partial = tokens.select("held", "n_tokens", "classes").mapInArrow(_expect(tokens.sparkSession.sparkContext.broadcast(model)), ", ".join(["key long", *[f"s{i} double" for i in range(k)]]))
-        found = partial.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # CLASSES rows and a few
+        shared = tokens.sparkSession.sparkContext.broadcast(model)
+        partial = tokens.select("held", "n_tokens", "classes").mapInArrow(_expect(shared), ", ".join(["key long", *[f"s{i} double" for i in range(k)]]))
+        found = partial.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # a row for each emission and a few
+        shared.unpersist()
         key, rows = found["key"].to_numpy(), np.column_stack([found[f"s{i}"].to_numpy() for i in range(k)]) if found.num_rows else np.empty((0, k))
-        place = {int(x): i for i, x in enumerate(key)}
         emitted = np.zeros(model.emit.shape)
         emitted[key[key >= 0]] = rows[key >= 0]
         if not len(key) or not emitted.sum():
             break
-        history.append(float(rows[place[-2 - k]][0]))
-        model = next_model(rows[place[-1]], np.array([rows[place[-2 - i]] for i in range(k)]), emitted, shares)
+        place = {int(x): rows[i] for i, x in zip(np.flatnonzero(key < 0), key[key < 0])}
+        history.append(float(place[-2 - k][0]))
+        model = next_model(place[-1], np.array([place[-2 - i] for i in range(k)]), emitted, shares)
+        if len(history) > 1 and history[-1] - history[-2] < gain * abs(history[-2]):
+            break
     return model, history
 
 
@@ -277,14 +308,14 @@ def _likelihood(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _rare(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each word that is not frequent, with what it adds to a text's score if it is unknown."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = shared.value
+        unknown = shared.value  # one for each class
         for batch in batches:
             for number in range(batch.num_rows):
                 row = batch.slice(number, 1).to_pylist()[0]
                 value, first = np.frombuffer(row["rare"], np.uint64), np.array(row["rare_first"])
                 of = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array(np.full(len(value), row["block"])), "row": pa.array(of), "rare_word": pa.array(value.view(np.int64)), "if_unknown": pa.array(unknown[_classes(value).astype(int)])})
+                    "block": pa.array(np.full(len(value), row["block"])), "row": pa.array(of), "rare_word": pa.array(value.view(np.int64)), "if_unknown": pa.array(unknown[_classes(value, len(unknown))])})
 
     return run
 
@@ -297,23 +328,26 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     n_texts = rows.where("not held").count()
     summary = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = summary[0] + (n_texts > 0), summary[1] + n_texts
-    # ``word`` holds the unsigned hash's bits; the class is bits 40 to 52 of them.
-    by_class = counts.groupBy(F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum(F.col("n") + 0.5).alias("mass"), F.count_if(F.col("n") == 1).alias("once")).toArrow()
-    unseen, mass = np.full(CLASSES, 0.5), np.zeros(CLASSES + 1)
-    unseen[by_class["class"].to_numpy()] += by_class["once"].to_numpy()
-    mass[by_class["class"].to_numpy()] = by_class["mass"].to_numpy()
-    mass[:CLASSES] += unseen
-    mass[CLASSES] = n_texts + 0.5
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()  # at most TOP_WORDS rows
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()  # at most TOP_WORDS rows
     words = top["word"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    held = Top(words[order], np.log10(top["n"].to_numpy()[order] + 0.5), n_texts)
+    order, n_classes = np.argsort(words), class_count(distinct)
+    held = Top(words[order], np.log10(top["n"].to_numpy()[order] + 0.5), n_texts, n_classes)
+    own = len(held.words)
+    # Classes hold what is not among the frequent words. ``word`` holds the unsigned hash's bits; the class is bits 40 and on of them.
+    in_class = F.shiftrightunsigned("word", 40).bitwiseAND(F.lit(n_classes - 1))
+    by_class = counts.groupBy(in_class.alias("class")).agg(F.sum(F.col("n") + 0.5).alias("mass"), F.count_if(F.col("n") == 1).alias("once")).toArrow()
+    unseen, mass = np.full(n_classes, 0.5), np.zeros(own + n_classes + 1)
+    unseen[by_class["class"].to_numpy()] += by_class["once"].to_numpy()
+    mass[:own] = top["n"].to_numpy()[order] + 0.5
+    mass[own + by_class["class"].to_numpy()] = by_class["mass"].to_numpy()
+    mass[own:-1] += unseen - np.bincount(_classes(held.words, n_classes), weights=mass[:own], minlength=n_classes)
+    mass[-1] = n_texts + 0.5
     tokens = stage(rows.mapInArrow(_encode(spark.sparkContext.broadcast(held)), TOKENS_SCHEMA), "tokens")
     model, _ = train(tokens, mass / mass.sum())
-    in_class = np.log10(mass)
-    in_class[CLASSES] = 0.0
+    within = np.log10(mass)
+    within[:own] = within[-1] = 0.0
     likely = tokens.select("block", "ids", "held", "n_tokens", "known", "logs", "classes").mapInArrow(
-        _likelihood(spark.sparkContext.broadcast((model, in_class))), "block long, row int, doc_id long, held_out boolean, n_tokens long, known long, logs double, classed double")
+        _likelihood(spark.sparkContext.broadcast((model, within))), "block long, row int, doc_id long, held_out boolean, n_tokens long, known long, logs double, classed double")
     rare = tokens.select("block", "rare_first", "rare").mapInArrow(_rare(spark.sparkContext.broadcast(np.log10(unseen))), "block long, row int, rare_word long, if_unknown double")
     joined = rare.join(counts, F.col("rare_word") == F.col("word"), "left")
     rare_sums = joined.groupBy(F.col("block").alias("b"), F.col("row").alias("r")).agg(
@@ -324,7 +358,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     unknown = F.col("n_tokens") - known
     end_log = float(np.log10(n_texts + 0.5))
     base = word_logs + unknown * F.log10(F.lit(0.5)) + (F.lit(end_log) if n_texts else F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + 0.5 * (distinct + 1))))
-    score = F.col("classed") + word_logs + F.coalesce("unknown_logs", F.lit(0.0))
+    score = F.col("classed") + F.coalesce("rare_logs", F.lit(0.0)) + F.coalesce("unknown_logs", F.lit(0.0))
     return every.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
