@@ -68,35 +68,39 @@ class Segments:
         self.classes, self.n_docs = classes, len(lengths)
         self.doc, self.nth, self.size = doc[order], nth[order], size[order]
         self.at = (np.cumsum(lengths) - lengths)[self.doc] + self.nth * SEGMENT
-        self.active = np.searchsorted(-self.size, -np.arange(self.size[0] if len(doc) else 0))
-        self.opens, self.ends = self.nth == 0, self.nth == pieces[self.doc] - 1
+        self.active = self._active(self.size)
+        self.opens = self.nth == 0
+        self.first, self.rest = np.flatnonzero(self.opens), np.flatnonzero(~self.opens)
         self.levels = [np.flatnonzero(self.nth == i) for i in range(int(pieces.max()) if len(pieces) else 0)]
 
-    def emitted(self, model: Model, step: int) -> np.ndarray:
-        return model.emit[self.classes[self.at[:self.active[step]] + step]]
+    @staticmethod
+    def _active(size: np.ndarray) -> np.ndarray:
+        return np.searchsorted(-size, -np.arange(size[0] if len(size) else 0))
 
     def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Each segment's product of step matrices, scaled, and the log of the scale."""
+        """The product of a segment's step matrices, scaled, after the start if it opens a text, and the log of the scale."""
         k = len(model.start)
-        out = np.where(self.opens[:, None, None], np.eye(k), model.move)
-        log = np.zeros(len(out))
-        for step, n in enumerate(self.active):
-            part = out[:n] if step == 0 else (out[:n].reshape(-1, k) @ model.move).reshape(n, k, k)
-            out[:n] = part * self.emitted(model, step)[:, None, :]
-            if step % 8 == 7:
-                scale = out[:n].sum(axis=(1, 2))
-                out[:n] /= scale[:, None, None]
-                log[:n] += np.log(scale)
+        out, log = np.empty((len(self.doc), k, k)), np.zeros(len(self.doc))
+        for pick, begin in ((self.first, model.start[None]), (self.rest, model.move)):
+            now, scales, at, r = np.tile(begin, (len(pick), 1, 1)), np.zeros(len(pick)), self.at[pick], len(begin)
+            for step, n in enumerate(self._active(self.size[pick])):
+                part = now[:n] if step == 0 else (now[:n].reshape(-1, k) @ model.move).reshape(n, r, k)
+                now[:n] = part * model.emit[self.classes[at[:n] + step]][:, None, :]
+                if step % 8 == 7:
+                    scale = now[:n].reshape(n, -1) @ np.ones(r * k)
+                    now[:n] /= scale[:, None, None]
+                    scales[:n] += np.log(scale)
+            out[pick], log[pick] = now, scales  # an opening segment has one row, repeated
         return out, log
 
     def chain(self, model: Model, products: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The state shares before each segment, and each text's log likelihood."""
         now, before = np.tile(model.start, (self.n_docs, 1)), np.empty((len(self.doc), len(model.start)))
         total = np.zeros(self.n_docs)
-        for level in self.levels:
+        for number, level in enumerate(self.levels):
             doc = self.doc[level]
             before[level] = now[doc]
-            after = np.einsum("dk,dkl->dl", now[doc], products[level])
+            after = np.einsum("dk,dkl->dl", now[doc], products[level]) if number else products[level, 0]
             scale = after.sum(axis=1)
             now[doc] = after / scale[:, None]
             total[doc] += np.log(scale) + log[level]
@@ -108,11 +112,13 @@ class Segments:
         before, total = self.chain(model, products, log)
         k = len(model.start)
         after, later = np.ones((len(self.doc), k)), np.ones((self.n_docs, k))
-        for level in reversed(self.levels):
+        for number in reversed(range(len(self.levels))):
+            level = self.levels[number]
             doc = self.doc[level]
             after[level] = later[doc]
-            back = np.einsum("dkl,dl->dk", products[level], later[doc])
-            later[doc] = back / back.sum(axis=1, keepdims=True)
+            if number:
+                back = np.einsum("dkl,dl->dk", products[level], later[doc])
+                later[doc] = back / back.sum(axis=1, keepdims=True)
         starts, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
         for low in range(0, len(self.doc), AT_ONCE):
             part = slice(low, low + AT_ONCE)
@@ -120,31 +126,36 @@ class Segments:
         return starts, moves * model.move, emitted, float(total.sum())
 
     def _inside(self, model: Model, low: int, before: np.ndarray, after: np.ndarray, starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray) -> None:
-        """Add the counts of the segments from ``low`` on, given the state shares before and the weights after each."""
+        """Add the counts of the segments from ``low`` on, given the state shares before and the weights after each; a state is a row here."""
         active = np.clip(self.active - low, 0, len(before))
         active, opens, at = active[active > 0], self.opens[low:low + len(before)], self.at[low:low + len(before)]
         symbols = [self.classes[at[:n] + step] for step, n in enumerate(active)]
+        emit, move, before, after = np.ascontiguousarray(model.emit.T), model.move, np.ascontiguousarray(before.T), np.ascontiguousarray(after.T)
+        likely = [emit.take(s, axis=1) for s in symbols]
         forward: list[np.ndarray] = []
         for step, n in enumerate(active):
-            prior = np.where(opens[:n, None], model.start, before[:n] @ model.move) if step == 0 else forward[-1][:n] @ model.move
-            now = prior * model.emit[symbols[step]]
-            forward.append(now / now.sum(axis=1, keepdims=True))
+            prior = np.where(opens[:n], model.start[:, None], move.T @ before[:, :n]) if step == 0 else move.T @ forward[-1][:, :n]
+            prior *= likely[step]
+            prior /= prior.sum(axis=0)
+            forward.append(prior)
         for step in range(len(active) - 1, -1, -1):
             n = active[step]
-            share = forward[step] * after[:n]
-            share /= share.sum(axis=1, keepdims=True)
-            ahead = model.emit[symbols[step]] * after[:n]
-            back = ahead @ model.move.T
-            last = forward[step - 1][:n] if step else before[:n]
-            weight = (last * back).sum(axis=1)
-            inner = slice(None) if step else ~opens[:n]
-            moves += last[inner].T @ (ahead[inner] / weight[inner, None])
-            after[:n] = back / back.sum(axis=1, keepdims=True)
+            share = forward[step] * after[:, :n]
+            share /= share.sum(axis=0)
+            ahead = likely[step] * after[:, :n]
+            back = move @ ahead
+            last = forward[step - 1][:, :n] if step else before[:, :n]
+            ahead /= (last * back).sum(axis=0)
+            if not step:
+                ahead[:, opens[:n]] = 0.0
+            moves += last @ ahead.T
+            back /= back.sum(axis=0)
+            after[:, :n] = back
             forward[step] = share
-        starts += forward[0][opens[:active[0]]].sum(axis=0)
-        shares, owners = np.concatenate(forward), np.concatenate(symbols)
+        starts += forward[0][:, opens[:active[0]]].sum(axis=1)
+        owners = np.concatenate(symbols)
         for i in range(emitted.shape[1]):
-            emitted[:, i] += np.bincount(owners, weights=shares[:, i], minlength=len(emitted))
+            emitted[:, i] += np.bincount(owners, weights=np.concatenate([f[i] for f in forward]), minlength=len(emitted))
 
 
 def _words(part: pa.RecordBatch):
