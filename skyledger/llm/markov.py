@@ -1,6 +1,6 @@
 """A hidden Markov language model trained by Baum-Welch counts that Spark sums over partitions.
 
-Every state has an emission of its own for each of the most frequent words (``TOP_WORDS`` of them, seen twice at least) and
+Every state has an emission of its own for each of the most frequent words (``TOP_WORDS`` of them, seen ``OWN_TIMES`` at least) and
 for the end of a text. All other words are emitted through hash classes, whose number grows with the vocabulary
 (``class_count``); a class emits a word by its share of the class's mass: count + 0.5, and for all unknown words of the class
 together 0.5 and as much as the class has words seen once. The model so gives every text a true probability; an unknown word is
@@ -38,11 +38,12 @@ from skyledger.llm.common import fold, numbered_slices, stage, table
 from skyledger.llm.words import SPACE, words_of
 
 STATES, SEGMENT, AT_ONCE = 6, 256, 4096
-TOP_WORDS, TASK_WORDS = 200_000, 2_000_000
+#: A word seen less often says too little about its split over the states.
+TOP_WORDS, OWN_TIMES, TASK_WORDS = 200_000, 4, 2_000_000
 #: Classes are a power of two, some ``CLASS_WORDS`` distinct words to a class.
-CLASS_WORDS, LEAST_CLASSES, MOST_CLASSES = 32, 1024, 1 << 20
+CLASS_WORDS, LEAST_CLASSES, MOST_CLASSES = 128, 1024, 1 << 18
 #: Training ends when an iteration gains less than this share of the log likelihood, or after so many.
-GAIN, ITERATIONS = 0.002, 50
+GAIN, ITERATIONS = 0.005, 50
 #: Tokens that draw a word's split over the states to the states' shares, and the weight of an even row in the moves.
 DRAW, EVEN = 4.0, 1.0
 FOLDS, HELD_OUT = 5, 1
@@ -239,6 +240,7 @@ def _sequences(row: dict, keep: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 
 def _expect(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over a task's texts, as 32-bit floats: a row for each emission, then starts, moves and the log likelihood."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.start)
@@ -255,7 +257,7 @@ def _expect(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         rows = np.concatenate([emitted[used], starts[None], moves, np.full((1, k), total)])
         for low in range(0, len(key), 65_536):
             part = slice(low, low + 65_536)
-            yield pa.RecordBatch.from_arrays([pa.array(key[part].astype(np.int64)), *[pa.array(rows[part, i]) for i in range(k)]], ["key", *[f"s{i}" for i in range(k)]])
+            yield pa.RecordBatch.from_arrays([pa.array(key[part].astype(np.int32)), *[pa.array(rows[part, i].astype(np.float32)) for i in range(k)]], ["key", *[f"s{i}" for i in range(k)]])
 
     return run
 
@@ -282,8 +284,8 @@ def train(tokens: DataFrame, shares: np.ndarray, gain: float = GAIN, iterations:
     k = len(model.start)
     for _ in range(iterations):
         shared = tokens.sparkSession.sparkContext.broadcast(model)
-        partial = tokens.select("held", "n_tokens", "classes").mapInArrow(_expect(shared), ", ".join(["key long", *[f"s{i} double" for i in range(k)]]))
-        found = partial.groupBy("key").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # a row for each emission and a few
+        partial = tokens.select("held", "n_tokens", "classes").mapInArrow(_expect(shared), ", ".join(["key int", *[f"s{i} float" for i in range(k)]]))
+        found = partial.groupBy("key").agg(*[F.sum(F.col(f"s{i}").cast("double")).alias(f"s{i}") for i in range(k)]).toArrow()  # a row for each emission and a few
         shared.unpersist()
         key, rows = found["key"].to_numpy(), np.column_stack([found[f"s{i}"].to_numpy() for i in range(k)]) if found.num_rows else np.empty((0, k))
         emitted = np.zeros(model.emit.shape)
@@ -339,7 +341,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     n_texts = rows.where("not held").count()
     summary = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     distinct, total = summary[0] + (n_texts > 0), summary[1] + n_texts
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()  # at most TOP_WORDS rows
+    top = counts.where(F.col("n") >= OWN_TIMES).orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()  # at most TOP_WORDS rows
     words = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order, n_classes = np.argsort(words), class_count(distinct)
     held = Top(words[order], np.log10(top["n"].to_numpy()[order] + 0.5), n_texts, n_classes)
