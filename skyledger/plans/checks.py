@@ -263,9 +263,15 @@ _AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalpric
 _INSTANTS = ("l_shipdate", "o_orderdate", "ts")
 
 
+_REST = "((abs({0}) - floor(abs({0}))) * 9007199254740992::DOUBLE)"
+_BINARY_DIGITS = f"""(CASE WHEN {{0}} < 0 THEN '-' ELSE '' END || CAST(floor(abs({{0}})) AS BIGINT) || '.' || CAST(floor({_REST}) AS BIGINT) || '.' ||
+  CAST(floor(({_REST} - floor({_REST})) * 9007199254740992::DOUBLE) AS BIGINT))"""
+
+
 def _finger(name: str, columns: list[str]) -> str:
-    form = {**dict.fromkeys(_AMOUNTS, "CAST(floor({0} * 100 + 0.5::DOUBLE) AS BIGINT)"), **dict.fromkeys(_INSTANTS, "epoch_us({0})")}
-    text = " || '|' || ".join(f"coalesce(CAST({form.get(c, '{0}').format(c)} AS STRING), '~')" for c in columns)
+    form = {**dict.fromkeys(_AMOUNTS, _BINARY_DIGITS), **dict.fromkeys(_INSTANTS, "epoch_us({0})")}
+    texts = [f"CAST({form.get(c, '{0}').format(c)} AS STRING)" for c in columns]
+    text = " || ".join(f"coalesce(length({t}) || ':' || {t}, '~')" for t in texts)
     return f"""SELECT '{name}' AS table_name, count(*) AS rows, bit_xor(h) AS digest_xor, CAST(sum(h % 1000000007) AS BIGINT) AS digest_sum
 FROM (SELECT CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS h FROM {name})"""
 

@@ -40,7 +40,10 @@ def lookback_sequences(spark, folder):
 
 
 def lookback_guard(spark, folder):
-    return B.late_bins(*_looked(spark, folder))
+    """The lookback audit on a copy in which some rows read a bin that is still open."""
+    df, grid = _looked(spark, folder)
+    ahead = F.when(F.col("movement_id") % 97 == 0, 1).otherwise(0)
+    return B.late_bins(df.withColumn("end_bin", F.col("end_bin") + ahead), grid)
 
 
 def lookback_availability(spark, folder):
@@ -66,9 +69,11 @@ def lookback_density(spark, folder):
 
 
 def bin_recount(spark, folder):
+    """Seeded cells recounted from the rows, against a copy of the bins in which some counts are spoiled."""
     df = _moves(spark, folder)
     grid = B.grid_for(df)
-    return B.recount_cells(df, B.airport_bins(df, grid), grid, 200, 1)
+    spoiled = B.airport_bins(df, grid).withColumn("departures", F.col("departures") + F.when(F.col("bin") % 13 == 0, 1).otherwise(0))
+    return B.recount_cells(df, spoiled, grid, 200, 1)
 
 
 def channel_scaler(spark, folder):
@@ -148,14 +153,14 @@ SQL = {
     "saved_bins": f"WITH {_BINS} SELECT airport, bin, departures FROM bins WHERE arrivals > 0",
     "airport_bins": f"WITH {_BINS} SELECT * FROM bins",
     "lookback_sequences": f"WITH {_LOOK} SELECT movement_id, end_bin, valid_bins, position, departures, arrivals, distinct_destinations, real FROM sq",
-    "lookback_guard": f"WITH {_BINS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS late_rows, CAST(min(least(greatest(end_bin - 8, 0), 16)) AS INT) AS least_valid_bins, CAST(max(least(greatest(end_bin - 8, 0), 16)) AS INT) AS most_valid_bins FROM x",
+    "lookback_guard": f"WITH {_BINS} SELECT count(*) AS rows, count(*) FILTER (g0 + (end_bin + CASE WHEN movement_id % 97 = 0 THEN 1 ELSE 0 END) * 10800 > prediction_seconds) AS late_rows, CAST(min(least(greatest(end_bin - 8, 0), 16)) AS INT) AS least_valid_bins, CAST(max(least(greatest(end_bin - 8, 0), 16)) AS INT) AS most_valid_bins FROM x, g",
     "lookback_availability": f"""WITH {_LOOK}, m AS (SELECT movement_id, any_value(split) AS split, any_value(valid_bins) AS v, sum(departures) AS d FROM sq GROUP BY 1)
 SELECT split, count(*) AS flights, count(*) FILTER (v = 16) AS full_lookback, count(*) FILTER (v > 0 AND v < 16) AS partial_lookback, count(*) FILTER (v = 0) AS empty_lookback,
 count(*) FILTER (v = 16 AND d = 0) AS quiet_full_lookback, median(d) AS median_departures, round(1 - count(*) FILTER (v = 16)::DOUBLE / count(*), 9) AS share_not_full FROM m GROUP BY 1""",
     "trailing_counts": f"WITH {_BINS} {_prior_sql('airport, destination')}",
     "lookback_density": f"WITH {_BINS} " + " UNION ALL ".join((
         _density_sql("origin", "airport"), _density_sql("route", "airport, destination"), _density_sql("carrier_at_origin", "carrier, airport"))),
-    "bin_recount": f"WITH {_BINS} SELECT *, true AS matches FROM bins ORDER BY md5('1|' || airport || '@' || bin), airport, bin LIMIT 200",
+    "bin_recount": f"WITH {_BINS} SELECT airport, bin, departures + CASE WHEN bin % 13 = 0 THEN 1 ELSE 0 END AS departures, arrivals, distinct_destinations, bin % 13 <> 0 AS matches FROM bins ORDER BY md5('1|' || airport || '@' || bin), airport, bin LIMIT 200",
     "channel_scaler": f"WITH {_SCALER} SELECT channel, positions, round(mean, 9) AS mean, round(std, 9) AS std FROM sc",
     "scaled_sequences": f"WITH {_SCALER} SELECT movement_id, " + ", ".join(
         f"round(sum(CASE WHEN real THEN (ln(1 + {c}) - (SELECT mean FROM sc WHERE channel = '{c}')) / (SELECT std FROM sc WHERE channel = '{c}') ELSE 0 END), 6) AS {c}" for c in B.CHANNELS)

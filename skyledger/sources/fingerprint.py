@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODULUS = 1000000007
+BINARY = 2.0**53
 
 
 def portable_text(df: DataFrame, column: str) -> Column:
-    """A value as text that other engines write alike: amounts in hundredths, instants in microseconds."""
+    """A value as text that other engines write alike, its length in front, so that no two rows share a text.
+
+    Doubles are written as their whole part and two further groups of 53 binary digits: every bit down to 2^-106. Instants are in
+    microseconds. From 2^62 on, and for values that are no number, the text is Spark's own.
+    """
     kind, value = df.schema[column].dataType, F.col(column)
-    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        value = F.floor(value * 100 + 0.5).cast("long")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        size = F.abs(value.cast("double"))
+        near = F.when(size < 2.0**62, size)
+        rest = (near - F.floor(near)) * BINARY
+        digits = F.concat_ws(".", F.floor(near), F.floor(rest), F.floor((rest - F.floor(rest)) * BINARY))
+        value = F.when(near.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), digits)).otherwise(value.cast("string"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         value = F.unix_micros(value.cast("timestamp"))
-    return F.coalesce(value.cast("string"), F.lit("~"))
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~"))
 
 
 def row_digest(df: DataFrame, columns: list[str], portable: bool) -> Column:
     if not portable:
         return F.xxhash64(*columns)
-    text = F.concat_ws("|", *[portable_text(df, c) for c in columns])
+    text = F.concat(*[portable_text(df, c) for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 

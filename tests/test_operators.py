@@ -387,3 +387,15 @@ def test_changed_tables_are_named(spark):
     stored = fingerprint(first, "a").unionByName(fingerprint(second, "b"))
     current = fingerprint(first.repartition(3), "a").unionByName(fingerprint(spark.range(21), "b"))
     assert rows_of(changed_tables(current, stored), "table_name") == [("b",)]
+
+
+def test_portable_fingerprint_sees_small_changes_and_separators(spark):
+    from skyledger.sources.fingerprint import fingerprint
+
+    def digest(rows):
+        return fingerprint(spark.createDataFrame(rows, "x double, a string, b string"), "t", ["x", "a", "b"], portable=True).first()["digest_xor"]
+
+    rows = [(0.12, "a|b", "c"), (0.124, "a", "b|c"), (-0.12, "", "abc"), (1e-20, None, "~"), (-1e-20, "~", None), (float("nan"), "a", "b"), (2.0**70, "a", "b"), (None, "a", "b"), (0.1 + 0.2, "a", "b"), (0.3, "a", "b")]
+    assert len({digest([r]) for r in rows}) == len(rows)
+    assert digest(rows) == digest(rows[::-1])
+    assert digest([(0.5, "a|b", "c")]) != digest([(0.5, "a", "b|c")])
