@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import functions as F
 
 from skyledger.functions.values import is_binary, normalise_code, strict_binary, to_boolean, tolerant_binary
@@ -43,6 +46,38 @@ def select_features(spark, folder):
     return X.select_base_features(df, ["sched_elapsed", "distance"], ["origin", "carrier_code"])
 
 
+def feature_sets(spark, folder):
+    """Every named feature set over the schedule predictors: its columns, those that other tables must add, and the values that are there."""
+    df = L.base_features(flights(spark, folder, "flight_id", "flight_date", "dep_hhmm", "arr_hhmm", "sched_elapsed", "distance", "origin", "destination", "carrier"))
+    rows = []
+    for name in X.FEATURE_SETS:
+        columns = X.feature_columns(name)
+        present = [c for c in columns if c in df.columns]
+        if len(present) == len(columns):
+            X.validate_features(df, name)
+        values = reduce(add, (F.count(c) for c in present))
+        rows.append(F.struct(F.lit(name).alias("feature_set"), F.lit(len(columns)).alias("columns"), F.lit(len(columns) - len(present)).alias("to_join"), F.count("*").alias("rows"), values.alias("values")))
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+INSTANTS = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+
+
+def utc_guard(spark, folder):
+    """Each time column as an instant and as a wall clock: whether the guard takes it, and the span that it then has."""
+    parts = []
+    for name, column in INSTANTS.items():
+        for form, kind in (("instant", "timestamp"), ("wall_clock", "timestamp_ntz")):
+            df = table(spark, folder, name).select(F.col(column).cast(kind).alias(column))
+            try:
+                value, accepted = F.unix_micros(X.require_utc(df, column)), True
+            except ValueError:
+                value, accepted = F.lit(None).cast("long"), False
+            parts.append(df.agg(F.lit(name).alias("table_name"), F.lit(form).alias("form"), F.lit(accepted).alias("accepted"), F.count(column).alias("values"),
+                                F.min(value).alias("first_micros"), F.max(value).alias("last_micros")))
+    return X.stack_tables(parts)
+
+
 def _two_tables(spark, folder):
     df = flights(spark, folder, "flight_id", "flight_date", "dep_hhmm", "flight_number")
     left = df.where(F.col("flight_number") % 113 != 0)
@@ -244,7 +279,7 @@ def zone_dimension(spark, folder):
 QUERIES = {f.__name__: f for f in (
     standardise, binary_clean, select_features, table_alignment, row_equality, id_set_diff, guard_violations, fixed_lead, key_uniqueness,
     label_audit, missingness_profile, categorical_profile, numeric_profile, date_coverage, airport_coverage, carrier_mapping, entity_coverage,
-    table_fingerprint, null_rates, unseen_categories, airport_universe, stacked_tables, score_alignment, csv_round_trip, raw_flights, published_table, zone_dimension)}
+    table_fingerprint, null_rates, unseen_categories, airport_universe, stacked_tables, score_alignment, csv_round_trip, raw_flights, published_table, zone_dimension, feature_sets, utc_guard)}
 
 _LEFT = "lt AS (SELECT flight_id, flight_date, dep_hhmm FROM flights WHERE flight_number % 113 <> 0)"
 _RIGHT = """rt AS (SELECT flight_id, CASE WHEN flight_number % 131 = 0 THEN flight_date + 1 ELSE flight_date END AS flight_date,
@@ -335,6 +370,13 @@ q AS (SELECT *, count(*) OVER (PARTITION BY carrier) AS rights_per_left, count(*
     "entity_coverage": f"WITH {FLIGHTS}, f AS (SELECT *, {_REGIME} AS regime FROM flights) " + " UNION ALL ".join(
         f"SELECT regime, '{n}' AS role, count(DISTINCT {e}) AS entities, count(*) AS appearances FROM f GROUP BY 1"
         for n, e in (("carrier", "carrier"), ("origin", "origin"), ("destination", "destination"), ("route", "origin || '-' || destination"))),
+    "feature_sets": f"WITH {FLIGHTS}, v AS (SELECT count(*) AS n, count(*) FILTER (dep_hhmm < 2400) AS dep, count(*) FILTER (arr_hhmm < 2400) AS arr, count(distance) AS di, count(sched_elapsed) AS el FROM flights) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}{suffix}' AS feature_set, {12 + more + year} AS columns, {more} AS to_join, n AS rows, {6 + year} * n + 2 * dep + 2 * arr + di + el AS values FROM v"
+        for name, more in (("base", 0), ("base_history", 3), ("base_network", 4), ("full", 7)) for suffix, year in (("", 1), ("_no_year", 0))),
+    "utc_guard": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{form}' AS form, {ok} AS accepted, count({c}) AS values, {'min' if ok else 'any_value'}({'epoch_us(' + c + ')' if ok else 'NULL::BIGINT'}) AS first_micros, "
+        f"{'max' if ok else 'any_value'}({'epoch_us(' + c + ')' if ok else 'NULL::BIGINT'}) AS last_micros FROM {t}" for t, c in INSTANTS.items() for form, ok in (("instant", True), ("wall_clock", False))),
     "table_fingerprint": " UNION ALL ".join(_finger(t, c) for t, c in FINGERPRINTED.items()),
     "null_rates": f"WITH {FLIGHTS}, s AS (SELECT *, {_SPLITS} AS split FROM flights) " + " UNION ALL ".join(
         f"SELECT split, '{c}' AS feature, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS null_rows, count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) AS null_rate FROM s GROUP BY 1"

@@ -24,9 +24,9 @@ from skyledger.session import cut_lineage, scratch_folder, stage
 from skyledger.sources import files
 from skyledger.sources.adapters import flights
 
-NUMERIC = ("departure_month", "departure_day_of_week", "dep_hour", "dep_minute", "arr_hour", "arr_minute", "distance", "sched_elapsed")
+NUMERIC = X.NUMERIC_BASE
 LINEAR = T.Features(NUMERIC, ("origin", "destination", "carrier_id"))
-TREES = T.Features(NUMERIC, ("origin", "destination", "carrier_id"), ("route",))
+TREES = T.Features(NUMERIC, LINEAR.categorical, ("route",))
 SMALL = T.TreeSettings(iterations=5, depth=3, step=0.2, min_rows=50)
 LABEL = "severe_120"
 
@@ -113,10 +113,8 @@ def refit_check(spark, folder):
     return T.require_reproduction(T.reproduction(files.read_parquet(spark, path, ["flight_id", "label", "score"]), stage(next(scored))), 1e-9)
 
 
-LADDER = {
-    "base": T.Features(("departure_year", *NUMERIC), TREES.categorical, TREES.encoded), "base_no_year": TREES,
-    "base_history_no_year": T.Features((*NUMERIC, *X.HISTORY), TREES.categorical, TREES.encoded),
-    "full_no_year": T.Features((*NUMERIC, *X.HISTORY, *X.NETWORK), TREES.categorical, TREES.encoded)}
+LADDER = {name: T.Features(tuple(c for c in X.feature_columns(name) if c not in X.CATEGORICAL_BASE), TREES.categorical, TREES.encoded)
+          for name in ("base", "base_no_year", "base_history_no_year", "full_no_year")}
 
 
 def feature_ladder(spark, folder):
