@@ -9,6 +9,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from skyledger.operators import ablation as A
 from skyledger.operators import baselines as BL
 from skyledger.operators import calibration as K
 from skyledger.operators import explain as E
@@ -68,7 +69,7 @@ def logistic_scores(spark, folder):
     for target, rows in ((LABEL, df.where(F.col("eligible_severe"))), ("cancelled_source", df)):
         fit, valid = rows.where(F.col("split") == L.DEVELOPMENT), rows.where(F.col("split") == L.VALIDATION)
         for balanced in (False, True):
-            model = T.fit_logistic(fit, LINEAR, target, balanced, iterations=30)
+            model = T.fit_logistic(fit, LINEAR, target, balanced)
             out.append(_metrics(T.score_linear(model, valid, LINEAR), target, f"{target}_{'balanced' if balanced else 'unweighted'}"))
     return _stack(out)
 
@@ -149,12 +150,30 @@ def settings_search(spark, folder):
     return table.join(F.broadcast(chosen), "scorer").withColumns({"challenger": F.col("scorer") == best, "adopted": F.lit(bool(low > 0)) & (F.col("scorer") == best)})
 
 
-def training_ablation(spark, folder):
-    """The fit rows with the shock year, without it, and a size-matched sample, scored on validation rows."""
+#: Seeds of the ablation; the paired intervals are those of the first.
+SEEDS = (42, 43, 44)
+
+
+def _ablation_scores(spark, folder, seeds):
+    """Validation scores of the fit rows with the shock year, without it, and of a sample as large, for each seed."""
     fit, stop, valid = _parts(model_frame(spark, folder))
-    variants = cut_lineage(L.fit_variants(fit, SHOCK_YEAR, 42))
-    return _stack([_metrics(T.score_trees(T.fit_trees(variants.where(F.col("variant") == v).drop("variant"), stop, TREES, LABEL, SMALL), valid), LABEL, v)
-                   for v in ("full", "without_shock", "matched")])
+    out = []
+    for seed in seeds:
+        variants = cut_lineage(L.fit_variants(fit, SHOCK_YEAR, seed))
+        for v in ("full", "without_shock", "matched"):
+            fitted = T.fit_trees(variants.where(F.col("variant") == v).drop("variant"), stop, TREES, LABEL, replace(SMALL, seed=seed))
+            out.append(T.score_trees(fitted, valid).select("day", "prediction_utc", F.col(LABEL).alias("label"), "score", F.lit(v).alias("variant"), F.lit(seed).alias("seed")))
+    return cut_lineage(_stack(out))
+
+
+def training_ablation(spark, folder):
+    """Average precision of each training period over three seeds, by half of the validation year, and its spread."""
+    return A.seed_spread(_ablation_scores(spark, folder, SEEDS))
+
+
+def ablation_decision(spark, folder):
+    """Paired day intervals between the training periods, and whether the shock year is dropped."""
+    return A.with_drop_rule(cut_lineage(A.paired_differences(_ablation_scores(spark, folder, SEEDS[:1]), REPLICATES)))
 
 
 def yearly_backtest(spark, folder):
@@ -193,7 +212,7 @@ def group_ablation(spark, folder):
 def _contributions(spark, folder):
     df = model_frame(spark, folder).where(F.col("eligible_severe"))
     fit, valid = df.where(F.col("split") == L.DEVELOPMENT), df.where(F.col("split") == L.VALIDATION)
-    model = T.fit_logistic(fit, LINEAR, LABEL, iterations=30)
+    model = T.fit_logistic(fit, LINEAR, LABEL)
     return cut_lineage(T.linear_contributions(model, valid, fit, LINEAR))
 
 
@@ -226,7 +245,7 @@ def contribution_top(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    logistic_scores, delay_regressions, ridge_scores, elastic_net_scores, gbt_scores, refit_check, feature_ladder, settings_search, training_ablation, yearly_backtest, disjoint_holdout,
+    logistic_scores, delay_regressions, ridge_scores, elastic_net_scores, gbt_scores, refit_check, feature_ladder, settings_search, training_ablation, ablation_decision, yearly_backtest, disjoint_holdout,
     feature_variants, group_ablation, linear_contributions, contribution_check, contribution_summary, contribution_effects, contribution_top)}
 
 _VALID = f"{_COHORT}, k AS (SELECT count(*) AS rows FROM cohort WHERE split = 'validation' AND completed)"
