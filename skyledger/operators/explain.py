@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import clocks as C
 from skyledger.functions.values import nearest_count, ratio
 from skyledger.operators.attach import attach_row
-from skyledger.operators.ordering import keyed_rank, quantile_bins
+from skyledger.operators.ordering import keyed_rank, quantile_bins, running_totals
 from skyledger.session import stage
 
 OTHER_AIRPORTS = "all other airports"
@@ -108,9 +108,37 @@ def family_importance(importance: DataFrame) -> DataFrame:
 
 
 def numeric_effect(long: DataFrame, identity: str = "flight_id", bins: int = 5) -> DataFrame:
-    """Mean contribution by equal-count bin of each numeric feature's value."""
-    binned = quantile_bins(long.where(F.col("value").isNotNull()), ["feature"], ["value", identity], bins)
-    return binned.groupBy("feature", "bin").agg(F.min("value").alias("value_low"), F.max("value").alias("value_high"), F.count("*").alias("rows"), F.avg("contribution").alias("mean_contribution"))
+    """Mean contribution by equal-count bin of each numeric feature's value, ties by id.
+
+    Rows shrink to counts per (feature, value, contribution). Equal values are neighbours in rank, so running counts place
+    them; rows are ranked by id only where one value reaches over a bin edge with several contributions.
+    """
+    rows = long.where(F.col("value").isNotNull())
+    counts = stage(rows.groupBy("feature", "value", "contribution").agg(F.count("*").alias("n")))
+    values = counts.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.col("contribution")).alias("total"),
+                                                    F.sum(F.when(F.col("contribution").isNotNull(), F.col("n"))).alias("known_rows"))
+    upto = running_totals(values, ["feature"], ["value"], {"last": "n"})
+    steps = F.greatest(F.col("last_total") - 1, F.lit(1))
+
+    def bin_at(rank):
+        return F.greatest(F.lit(1), F.ceil((rank - 1) * bins / steps - 1e-9)).cast("int")
+
+    def last_of(number):
+        return F.when(number < 1, 0).when(number >= bins, F.col("last_total")).otherwise(F.floor((number + 1e-9) * steps / bins) + 1)
+
+    first = F.col("last") - F.col("n") + 1
+    placed = stage(upto.select("*", first.alias("first"), bin_at(first).alias("low"), bin_at(F.col("last")).alias("high")))
+    torn = (F.col("low") != F.col("high")) & (F.col("kinds") > 1)
+    cut = placed.where(~torn).withColumn("bin", F.explode(F.sequence("low", "high")))
+    inside = F.least(F.col("last"), last_of(F.col("bin"))) - F.greatest(F.col("first"), last_of(F.col("bin") - 1) + 1) + 1
+    share = F.col("total") * inside / F.col("n")
+    whole = cut.select("feature", "bin", "value", inside.alias("rows"), (F.col("known_rows") * inside / F.col("n")).alias("known"), share.alias("total")).where(F.col("rows") > 0)
+    ranked = keyed_rank(rows.join(placed.where(torn).select("feature", "value"), ["feature", "value"]).select("feature", "value", identity, "contribution"), ["feature", "value"], [identity], "_r")
+    torn_rows = ranked.join(placed.select("feature", "value", "first", "last_total"), ["feature", "value"])
+    single = torn_rows.select("feature", bin_at(F.col("first") + F.col("_r") - 1).alias("bin"), "value", F.lit(1).cast("long").alias("rows"),
+                              F.col("contribution").isNotNull().cast("double").alias("known"), F.col("contribution").alias("total"))
+    return whole.unionByName(single).groupBy("feature", "bin").agg(
+        F.min("value").alias("value_low"), F.max("value").alias("value_high"), F.sum("rows").cast("long").alias("rows"), ratio(F.sum("total"), F.sum("known")).alias("mean_contribution"))
 
 
 def categorical_effect(long: DataFrame, minimum: int, top: int) -> DataFrame:
