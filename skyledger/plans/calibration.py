@@ -49,7 +49,7 @@ def platt_scores(spark, folder):
 
 def isotonic_scores(spark, folder):
     """Monotone fit on the coarse score; the expected value is the max-min formula of the pooled means."""
-    df = _frame(spark, folder)
+    df = stage(_frame(spark, folder).where(F.col("period") != "final_test").select("flight_id", "period", "score_coarse", "label"))
     model = K.fit_isotonic(df.where(F.col("period") == "development"), "score_coarse")
     out = K.apply_isotonic(model, df.where(F.col("period") == "validation"), "score_coarse", "probability")
     return out.select("flight_id", F.round("probability", 8).alias("probability"))
