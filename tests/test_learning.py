@@ -94,3 +94,13 @@ def test_fits_of_several_sets_share_the_passes(spark, flights, monkeypatch):
     for a, b in zip(apart, shared):
         scores = [sorted(map(tuple, T.score_trees(f, valid).select("flight_id", F.round("score", 9)).collect())) for f in (a, b)]
         assert a.trees == b.trees and scores[0] == scores[1]
+
+
+def test_ablation_fits_full_trees_for_every_variant_and_seed(spark, flights, monkeypatch):
+    asked, plain = [], T.fit_sets
+    monkeypatch.setattr(Q, "model_frame", lambda *_: flights)
+    monkeypatch.setattr(T, "fit_sets", lambda sets: asked.extend(s for _, settings in sets for s in settings) or plain(sets))
+    scores = Q._ablation_scores(spark, "", Q.SEEDS)
+    assert {s.iterations for s in asked} == {100} and sorted(s.seed for s in asked) == sorted(3 * Q.SEEDS)
+    assert {(r["variant"], r["seed"]): r["count"] for r in scores.groupBy("variant", "seed").count().collect()} == {
+        (v, s): 400 for v in ("full", "without_shock", "matched") for s in Q.SEEDS}
